@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .line_dedup import drop_frequent_lines
 from .mixing import mix_sources
+from .simhash import simhash_groups
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), budget=2, width=3, seed=42)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +25,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op7_line_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op6_simhash, op7_line_dedup, op9_mixing)}
 
 ORACLE = {
     "op7_line_dedup": r"""
