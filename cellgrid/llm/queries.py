@@ -6,11 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licenses import find_licences
 from .line_dedup import drop_frequent_lines
 from .mixing import mix_sources
+from .secrets import BASE_KINDS, count_kind, find_secrets, spans_text
 from .simhash import simhash_groups
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return out.select(
+        "doc_id",
+        *[count_kind(F.col("spans"), k).alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+        count_kind(F.col("spans"), "novel").alias("n_novel"),
+    )
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_licences(table(spark, sf_dir, "documents"))
+    starts = F.transform(F.filter("places", lambda p: p["exact"]), lambda p: p["start"])
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(F.filter("places", lambda p: p["exact"])).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), budget=2, width=3, seed=42)
 
@@ -25,7 +55,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash, op7_line_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_licenses, op6_simhash, op7_line_dedup, op9_mixing)}
 
 ORACLE = {
     "op7_line_dedup": r"""
