@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_benchmark_leaks
 from .licenses import find_licences
 from .line_dedup import drop_frequent_lines
 from .mixing import mix_sources
@@ -55,7 +56,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_licenses, op6_simhash, op7_line_dedup, op9_mixing)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, least=0.8)
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_licenses, op6_simhash, op7_line_dedup, op9_mixing, op10_decontaminate)}
 
 ORACLE = {
     "op7_line_dedup": r"""
