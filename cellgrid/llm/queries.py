@@ -10,6 +10,7 @@ from .decontaminate import find_benchmark_leaks
 from .licenses import find_licences
 from .line_dedup import drop_frequent_lines
 from .mixing import mix_sources
+from .quality import rate_quality
 from .secrets import BASE_KINDS, count_kind, find_secrets, spans_text
 from .simhash import simhash_groups
 
@@ -42,6 +43,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rate_quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), budget=2, width=3, seed=42)
 
@@ -60,7 +66,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_licenses, op6_simhash, op7_line_dedup, op9_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_licenses, op4_quality, op6_simhash, op7_line_dedup, op9_mixing, op10_decontaminate)}
 
 ORACLE = {
     "op7_line_dedup": r"""
