@@ -13,6 +13,11 @@ from .mixing import mix_sources
 from .quality import rate_quality
 from .secrets import BASE_KINDS, count_kind, find_secrets, spans_text
 from .simhash import simhash_groups
+from .substring_dedup import passage_classes
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_classes(table(spark, sf_dir, "documents"), least_words=51, width=5, similarity=0.8)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_licenses, op4_quality, op6_simhash, op7_line_dedup, op9_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secrets, op3_licenses, op4_quality, op6_simhash, op7_line_dedup, op9_mixing, op10_decontaminate)}
 
 ORACLE = {
     "op7_line_dedup": r"""
