@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_benchmark_leaks
+from .language import fit_language_model, identify_languages
 from .licenses import find_licences
 from .line_dedup import drop_frequent_lines
 from .mixing import mix_sources
@@ -62,6 +63,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their doc_id, then pages as -1 - page_id: ids of the two tables overlap."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = fit_language_model(docs)
+    ours = identify_languages(docs, model, declared_col="lang", host_col="source")
+    theirs = identify_languages(pages, model, id_col="page_id", text_col="html", url_col="url", pages=True)
+    return ours.union(theirs.withColumn("page_id", -1 - F.col("page_id")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -71,7 +81,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secrets, op3_licenses, op4_quality, op6_simhash, op7_line_dedup, op9_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secrets, op3_licenses, op4_quality, op6_simhash, op7_line_dedup, op8_language_id, op9_mixing, op10_decontaminate)}
 
 ORACLE = {
     "op7_line_dedup": r"""
