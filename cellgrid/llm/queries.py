@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chat
 from .common import table
 from .decontaminate import find_benchmark_leaks
 from .language import fit_language_model, identify_languages
@@ -54,6 +55,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = format_chat(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "step", "role", "kind", "level", "status", "json")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), budget=2, width=3, seed=42)
 
@@ -81,9 +87,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secrets, op3_licenses, op4_quality, op6_simhash, op7_line_dedup, op8_language_id, op9_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secrets, op3_licenses, op4_quality, op5_chat, op6_simhash, op7_line_dedup, op8_language_id, op9_mixing, op10_decontaminate)}
 
 ORACLE = {
+    # The conversations hold no tool calls or results, so their messages are all there is.
+    "op5_chat": r"""
+SELECT conv_id, turn, 0::INTEGER AS step, role, 'message' AS kind, 0::INTEGER AS level, 'ok' AS status,
+       CAST(json_object('content', coalesce(text, ''), 'role', role) AS VARCHAR) AS json
+FROM conversations
+""",
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
