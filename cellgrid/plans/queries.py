@@ -512,3 +512,124 @@ def vector_algebra(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("v"))
     one = v.where("cell_id = 0").select(F.col("v").alias("w"))
     return _doubles(v.join(F.broadcast(one), F.lit(True)).select("cell_id", exprs.cosine_similarity(F.col("v"), F.col("w")).alias("similarity"), exprs.magnitude(F.col("v")).alias("length")))
+
+
+@query("SELECT p.penalty, m.mixture FROM (VALUES (1e-10), (3.1622776601683795e-08), (1e-05), (0.0031622776601683794), (1.0)) p(penalty) CROSS JOIN (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) m(mixture)".replace("(1e-10)", "(1e-10::DOUBLE)").replace("(0.0)", "(0.0::DOUBLE)"))
+def create_grid(spark, d):
+    from ..operators import modeling
+
+    return modeling.create_grid(spark)
+
+
+def _customers(spark, d):
+    """A row for each customer with orders: what they spent as features, outcomes of each kind."""
+    orders = table(spark, d, "orders")
+    spent = orders.groupBy("o_custkey").agg(
+        F.count("*").cast("double").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("max_price"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("share_f"),
+    )
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")
+    made = c.join(spent, F.col("c_custkey") == F.col("o_custkey")).drop("o_custkey")
+    return made.withColumns({
+        "rich": F.when(F.col("c_acctbal") > 4500, F.lit("yes")).otherwise(F.lit("no")), "time": F.col("n_orders") + F.col("share_f"), "event": (F.col("c_nationkey") % 2).cast("double"),
+        "score": (F.col("mean_price") / 200000).cast("double"),
+    })
+
+
+_CUSTOMERS = """
+s AS (SELECT o_custkey, count(*)::DOUBLE AS n_orders, avg(o_totalprice) AS mean_price, avg((o_orderstatus = 'F')::INTEGER) AS share_f FROM orders GROUP BY 1),
+c AS (SELECT c_custkey, CASE WHEN c_acctbal > 4500 THEN 'yes' ELSE 'no' END AS rich, round(n_orders + share_f, 6) AS time, (c_nationkey % 2)::DOUBLE AS event, round(mean_price / 200000, 6) AS score
+      FROM customer JOIN s ON c_custkey = o_custkey)"""
+
+
+def _rounded(spark, d):
+    return _customers(spark, d).withColumns({"time": F.round("time", 6), "score": F.round("score", 6)})
+
+
+@query(
+    f"""WITH {_CUSTOMERS}, g AS (SELECT score, count(*) FILTER (WHERE rich = 'yes') AS p, count(*) FILTER (WHERE rich = 'no') AS n FROM c GROUP BY 1)
+SELECT score AS threshold, {_R("sum(p) OVER (ORDER BY score DESC) / sum(p) OVER ()")} AS tpr, {_R("sum(n) OVER (ORDER BY score DESC) / sum(n) OVER ()")} AS fpr FROM g"""
+)
+def roc_curve(spark, d):
+    from ..operators import modeling
+
+    return _round(modeling.roc_curve(_rounded(spark, d), "rich", "score", "yes").where("threshold < 1e300"), ["tpr", "fpr"])
+
+
+@query(
+    f"""WITH {_CUSTOMERS}, g AS (SELECT rich, time, count(*) AS k, sum(event) AS e FROM c GROUP BY 1, 2),
+r AS (SELECT *, sum(k) OVER (PARTITION BY rich) - coalesce(sum(k) OVER (PARTITION BY rich ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_risk FROM g)
+SELECT rich, time, at_risk::BIGINT AS at_risk, e::BIGINT AS events,
+       {_R("CASE WHEN min(1 - e / at_risk) OVER w <= 0 THEN 0 ELSE exp(sum(ln(greatest(1 - e / at_risk, 1e-300))) OVER w) END")} AS survival FROM r WINDOW w AS (PARTITION BY rich ORDER BY time)
+UNION ALL SELECT rich, 0.0, count(*), 0, 1.0 FROM c GROUP BY 1"""
+)
+def km_curve(spark, d):
+    from ..operators import modeling
+
+    return _round(modeling.km_curve(_rounded(spark, d), "time", "event", "rich"), ["survival"])
+
+
+@query(
+    f"""WITH {_CUSTOMERS}, g AS (SELECT time, count(*) AS k, count(*) FILTER (WHERE score > 0.75) AS k1, sum(event) AS e, coalesce(sum(event) FILTER (WHERE score > 0.75), 0) AS e1 FROM c GROUP BY 1),
+r AS (SELECT *, sum(k) OVER (ORDER BY time DESC) AS r, sum(k1) OVER (ORDER BY time DESC) AS r1 FROM g),
+x AS (SELECT sum(e1 - e * r1 / r) AS o, sum(CASE WHEN r > 1 THEN e * r1 / r * (1 - r1 / r) * (r - e) / (r - 1) ELSE 0 END) AS v FROM r WHERE e > 0)
+SELECT {_R("o * o / v", 5)} AS chisq, 1 AS df FROM x"""
+)
+def log_rank_chisq(spark, d):
+    from ..operators import modeling
+
+    return _round(modeling.log_rank_test(_rounded(spark, d), "time", "event", F.col("score") > 0.75), ["chisq"], 5).select("chisq", "df")
+
+
+@query()
+def split_data(spark, d):
+    from ..operators import modeling
+
+    return modeling.split_data(_customers(spark, d), "k-fold", 10, seed=1).groupBy("split_id", "role").agg(F.count("*").alias("n"))
+
+
+ORACLE["split_data"] = """
+WITH n AS (SELECT count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), f AS (SELECT unnest(range(1, 11)) AS f),
+a AS (SELECT f, n, n // 10 + (CASE WHEN f - 1 BETWEEN 1 AND n % 10 THEN 1 ELSE 0 END) AS k FROM f, n)
+SELECT format('Fold{:02d}', f) AS split_id, 'assessment' AS role, k::BIGINT AS n FROM a
+UNION ALL SELECT format('Fold{:02d}', f), 'analysis', (n - k)::BIGINT FROM a"""
+
+
+def _trained(spark, d, kind: str, outcome):
+    from ..operators import modeling
+
+    splits = modeling.split_data(_customers(spark, d), "k-fold", 3, seed=1)
+    grid = modeling.create_grid(spark, [1e-4, 1e-2, 1e-1], [0.5, 1.0])
+    return modeling.train_model(splits, ["n_orders", "mean_price", "max_price", "share_f"], kind, outcome, grid)
+
+
+@query()
+def train_model_linear(spark, d):
+    return _trained(spark, d, "linear", "c_acctbal").coefficient_table(spark)
+
+
+@query()
+def train_model_two_class(spark, d):
+    from ..operators import modeling
+
+    return modeling.assess_model(_trained(spark, d, "two-class", "rich"))["model_metrics"]
+
+
+@query()
+def train_model_multiclass(spark, d):
+    from ..operators import modeling
+
+    return modeling.assess_model(_trained(spark, d, "multiclass", "c_mktsegment"))["confusion_matrix"]
+
+
+@query()
+def train_model_survival(spark, d):
+    from ..operators import modeling
+
+    return modeling.assess_model(_trained(spark, d, "survival", ["time", "event"]))["survival_curves"]
+
+
+@query()
+def predict_model(spark, d):
+    from ..operators import modeling
+
+    return modeling.predict(_trained(spark, d, "linear", "c_acctbal")).select("c_custkey", F.col("`.pred`").alias("pred"))
