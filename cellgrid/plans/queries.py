@@ -633,3 +633,116 @@ def predict_model(spark, d):
     from ..operators import modeling
 
     return modeling.predict(_trained(spark, d, "linear", "c_acctbal")).select("c_custkey", F.col("`.pred`").alias("pred"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS num_cells, strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S') AS start FROM events GROUP BY event_type, time_bucket(INTERVAL '6 hours', ts)")
+def stream_flow_rate(spark, d):
+    from ..streaming.flow import stream_flow_rate as rate
+
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return rate(events, "ts", "6 hours", by="event_type").select("event_type", "num_cells", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
+
+
+@query()
+def fcs_round_trip(spark, d):
+    """Cells written as FCS files of each cluster, read back and summed up."""
+    import uuid
+
+    from ..sources import fcs, files
+    from ..storage import scratch_dir
+
+    where = f"{scratch_dir(spark)}/fcs-{uuid.uuid4().hex}"
+    fcs.write_fcs(cells(spark, d).select("l_returnflag", *CHANNELS), where, "l_returnflag")
+    read = files.read_data(spark, where)["1"].df
+    return read.groupBy("file_name").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(f"`{c}`")), 3).alias(c) for c in read.columns if c != "file_name"])
+
+
+@query(f"WITH u AS ({_each('SELECT {c} AS v, ' + chr(39) + '{c}' + chr(39) + ' AS channel, l_returnflag FROM lineitem')}) SELECT l_returnflag, channel AS name, min(v) AS \"minRange\", max(v) AS \"maxRange\", {_R('max(v) - min(v)')} AS range FROM u GROUP BY 1, 2")
+def frame_parameters(spark, d):
+    from ..sources import bundle
+
+    out = bundle.frame_parameters(cells(spark, d).select("l_returnflag", *CHANNELS), "l_returnflag")
+    return _round(out, ["range"]).select("l_returnflag", "name", "minRange", "maxRange", "range")
+
+
+@query(f"WITH u AS ({_each('SELECT l_orderkey, l_partkey, {c} AS v, ' + chr(39) + '{c}' + chr(39) + ' AS channel FROM lineitem')}) SELECT channel, count(*)::BIGINT AS n, {_R('sum(v)', 2)} AS total FROM u GROUP BY 1")
+def bundle_assay(spark, d):
+    from ..sources import bundle
+    from ..table import CellTable, with_cell_id
+
+    ready = with_cell_id(cells(spark, d), [*KEY, "l_quantity", "l_extendedprice"])
+    assay = bundle.to_bundle(CellTable(ready), CHANNELS)["assay"]
+    return _round(assay.groupBy("channel").agg(F.count("*").alias("n"), F.sum("value").alias("total")), ["total"], 2)
+
+
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice)::BIGINT AS cell_id, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem")
+def cell_id(spark, d):
+    from ..table import with_cell_id
+
+    return with_cell_id(cells(spark, d), [*KEY, "l_quantity", "l_extendedprice"]).select("cell_id", *KEY)
+
+
+@query()
+def plot_cells_density(spark, d):
+    from . import plotdata
+
+    return plotdata.cells_density(cells(spark, d), "l_quantity", "l_returnflag")
+
+
+@query()
+def plot_cells_embedding(spark, d):
+    from . import plotdata
+
+    out = plotdata.cells_embedding(preprocess.preprocess(cells(spark, d), CHANNELS), compute_cols=CHANNELS, color="l_returnflag")
+    return out.groupBy("l_returnflag").agg(F.round(F.avg("`.pc1`"), 4).alias("pc1"), F.round(F.avg("`.pc2`"), 4).alias("pc2"))
+
+
+@query()
+def plot_cells_layout(spark, d):
+    from . import plotdata
+
+    return plotdata.cells_layout(_vec(spark, d), ["embedding"], rounds=20)[0]
+
+
+@query()
+def plot_clusters_mst(spark, d):
+    from . import plotdata
+
+    c = preprocess.preprocess(cells(spark, d), CHANNELS).withColumn("cluster", F.concat_ws("_", "l_returnflag", "l_linestatus", "l_linenumber"))
+    return plotdata.clusters_mst(c, "cluster", CHANNELS)[1]
+
+
+@query()
+def plot_clusters_volcano(spark, d):
+    from . import plotdata
+
+    tests = analyze_expression_significance(spark, d)
+    return plotdata.clusters_volcano(tests, label_col="marker")
+
+
+@query()
+def plot_clusters_heatmap(spark, d):
+    from . import plotdata
+
+    return plotdata.clusters_heatmap(cells(spark, d), "l_returnflag", CHANNELS, scale_cols=True)
+
+
+@query()
+def plot_sample_heatmap(spark, d):
+    from . import plotdata
+
+    return plotdata.sample_heatmap(cells(spark, d), "l_linenumber", CHANNELS, scale_cols=True)
+
+
+@query()
+def plot_sample_features(spark, d):
+    from . import plotdata
+
+    return plotdata.sample_features(extract_proportion_wide(spark, d), "l_suppkey")
+
+
+@query()
+def plot_model(spark, d):
+    from . import plotdata
+
+    return plotdata.model_plot(_trained(spark, d, "two-class", "rich"))["roc_curve"]
