@@ -115,12 +115,12 @@ def format_chat(
     status = lambda text: F.when(text == "", F.lit("ok")).otherwise(text)
 
     call = calls.join(ids, ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left").join(levels, ["conv_id", "call_id"], "left")
-    wrong = said((F.col("call_id").isNull(), "no id"), (F.col("n_calls") > 1, "repeated id"), (F.col("result_turn").isNull(), "no result"), (F.col("result_turn") < F.col("turn"), "result first"), (F.col("level").isNull() & F.col("call_id").isNotNull(), "cycle"))
+    wrong = said((F.col("call_id").isNull(), "no id"), (F.col("n_calls") > 1, "repeated id"), (F.col("call_id").isNotNull() & F.col("result_turn").isNull(), "no result"), (F.col("result_turn") < F.col("turn"), "result first"), (F.col("level").isNull() & F.col("call_id").isNotNull(), "cycle"))
     call = call.select("conv_id", "turn", "step", F.lit("assistant").alias("role"), F.lit("call").alias("kind"), "call_id", "level", F.col("result_turn").alias("partner"),
         status(F.concat_ws(", ", F.nullif(wrong, F.lit("")), "problems")).alias("status"),
         F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "name", F.lit("call").alias("type"))).alias("json"))
     result = results.join(ids, ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left").join(levels, ["conv_id", "call_id"], "left")
-    wrong = said((F.col("call_id").isNull(), "no id"), (F.col("n_results") > 1, "repeated id"), (F.col("call_turn").isNull(), "no call"), (F.col("turn") < F.col("call_turn"), "result first"))
+    wrong = said((F.col("call_id").isNull(), "no id"), (F.col("n_results") > 1, "repeated id"), (F.col("call_id").isNotNull() & F.col("call_turn").isNull(), "no call"), (F.col("turn") < F.col("call_turn"), "result first"))
     content = F.coalesce(F.get_json_object("text", "$.content"), F.col("text"))
     result = result.select("conv_id", "turn", F.lit(0).alias("step"), "role", F.lit("result").alias("kind"), "call_id", "level", F.col("call_turn").alias("partner"), status(wrong).alias("status"),
         F.to_json(F.struct(F.col("call_id").alias("call"), content.alias("content"), F.lit("result").alias("type"))).alias("json"))
