@@ -34,6 +34,10 @@ def _vectors(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
     return df.select(q(id_col).cast("long").alias("id"), v.alias("v"))
 
 
+def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+    return np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1) if len(pdf) else np.empty((0, 0))
+
+
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     product = a @ b.T
     if metric == "ip":
@@ -98,12 +102,12 @@ def find_knn(
         if size <= BROADCAST_NUMBERS:
             held = refs.toPandas()
             ref_ids = held["id"].to_numpy(np.int64)
-            matrix = np.array(held["v"].tolist(), float).reshape(len(held), -1)
+            matrix = _matrix(held)
 
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for pdf in batches:
                     if len(pdf) and len(ref_ids):
-                        yield nearest(pdf["id"].to_numpy(np.int64), np.array(pdf["v"].tolist(), float), ref_ids, matrix, k, metric, leave)
+                        yield nearest(pdf["id"].to_numpy(np.int64), _matrix(pdf), ref_ids, matrix, k, metric, leave)
 
             cores = asks.sparkSession.sparkContext.defaultParallelism
             best = asks.repartition(cores, "id").mapInPandas(run, schema)
@@ -120,7 +124,7 @@ def _blocked(asks: DataFrame, refs: DataFrame, k: int, metric: str, leave: bool)
     right = refs.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(n_ref)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1))))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = (np.array(p["v"].tolist(), float).reshape(len(p), -1) for p in (a, b))
+        x, y = (_matrix(p) for p in (a, b))
         ids, ref_ids = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
         return nearest(ids if len(y) else ids[:0], x if len(y) else x[:0], ref_ids, y, k, metric, leave)
 
@@ -138,13 +142,13 @@ def _bucketed(asks: DataFrame, refs: DataFrame, k: int, metric: str, leave: bool
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            signs = (np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1) - middle) @ planes.T > 0
+            signs = (_matrix(pdf) - middle) @ planes.T > 0
             codes = signs.reshape(len(pdf), tables, width) @ (1 << np.arange(width))
             for t in range(tables):
                 yield pd.DataFrame({"bucket": t * (1 << width) + codes[:, t], "id": pdf["id"], "v": pdf["v"]})
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = (np.array(p["v"].tolist(), float).reshape(len(p), -1) for p in (a, b))
+        x, y = (_matrix(p) for p in (a, b))
         ids, ref_ids = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
         return nearest(ids if len(y) else ids[:0], x if len(y) else x[:0], ref_ids, y, k, metric, leave)
 
