@@ -92,7 +92,7 @@ def identify_languages(
     url_col: str | None = None,
     host_col: str | None = None,
     pages: bool = False,
-    least: float = 0.6,
+    least: float = 0.5,
     strength: float = 8.0,
 ) -> DataFrame:
     """(id_col, lang, probability, text_lang, declared, suffix, host, kept), a row for each row of docs.
