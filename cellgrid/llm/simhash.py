@@ -86,16 +86,15 @@ def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(parent, hi, lo)
 
 
-def trie_links(fps: np.ndarray, split: int | None, budget: int) -> np.ndarray:
-    """A forest over ascending distinct fps, as each leaf's root, that joins those within budget bits.
+def _near_pairs(fps: np.ndarray, split: int | None, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of ascending distinct fps within budget bits, some at a time.
 
     split None: all pairs; else pairs of a leaf before split with one from there on. Each step takes the
     deepest node pairs first, so few are held; a pair of single leaves is settled at once.
     """
     n = len(fps)
-    parent = np.arange(n)
     if n < 2 or (split is not None and not 0 < split < n):
-        return parent
+        return
     first = (0, n, 0, n) if split is None else (0, split, split, n)
     stack = [(63, np.array([[*first, 0]], np.int64))]
     while stack:
@@ -107,7 +106,7 @@ def trie_links(fps: np.ndarray, split: int | None, budget: int) -> np.ndarray:
         if single.any():
             i, j = pairs[single, 0], pairs[single, 2]
             near = (i != j) & (_bits(fps[i] ^ fps[j]) <= budget)
-            _unite(parent, i[near], j[near])
+            yield i[near], j[near]
             pairs = pairs[~single]
         if not len(pairs) or bit < 0:
             continue
@@ -129,7 +128,27 @@ def trie_links(fps: np.ndarray, split: int | None, budget: int) -> np.ndarray:
                 kids.append(np.stack((low_a[good], high_a[good], low_b[good], high_b[good], spent[good] + cost), axis=1))
         if kids:
             stack.append((bit - 1, np.concatenate(kids)))
-    return _roots(parent, np.arange(n))
+
+
+def trie_links(fps: np.ndarray, split: int | None, budget: int) -> np.ndarray:
+    """Each leaf's root in a forest that joins the pairs of _near_pairs."""
+    parent = np.arange(len(fps))
+    for i, j in _near_pairs(fps, split, budget):
+        _unite(parent, i, j)
+    return _roots(parent, np.arange(len(fps)))
+
+
+def trie_partners(fps: np.ndarray, split: int | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf that has any, a closest leaf of _near_pairs; of equals one that a hash picks."""
+    none = np.uint64(~np.uint64(0))
+    best = np.full(len(fps), none)
+    for i, j in _near_pairs(fps, split, budget):
+        gap = _bits(fps[i] ^ fps[j]).astype(np.uint64) << np.uint64(57)
+        pick = ((fps[i] ^ fps[j]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(47)) << np.uint64(40)
+        np.minimum.at(best, i, gap | pick | j.astype(np.uint64))
+        np.minimum.at(best, j, gap | pick | i.astype(np.uint64))
+    own = np.flatnonzero(best != none)
+    return own, (best[own] & np.uint64((1 << 40) - 1)).astype(np.int64)
 
 
 def _middle(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -147,48 +166,54 @@ def _near_blocks(bounds: np.ndarray, budget: int) -> list[np.ndarray]:
     return [i + np.flatnonzero(_bits((lo[i] ^ lo[i:]) & ~(gap[i] | gap[i:])) <= budget) for i in range(len(lo))]
 
 
-def fingerprint_links(nodes: DataFrame, budget: int = 2, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between reps of fingerprints within budget bits, enough to join what is linked.
+def fingerprint_links(nodes: DataFrame, budget: int = 2, block: int = BLOCK, partners: bool = False) -> DataFrame:
+    """(a, b): links between reps of fingerprints of one lane within budget bits.
 
-    nodes: (fp, rep), fp distinct. Block bounds are quantiles, at most MAX_BLOCKS numbers on the driver.
+    nodes: (lane, fp, rep), fp distinct in a lane. The links are enough to join what is near; with partners
+    they are pairs near themselves, a closest one for each fingerprint and pair of blocks. Block bounds are
+    quantiles, at most MAX_BLOCKS numbers for each lane on the driver.
     """
-    n = nodes.count()
+    sizes = nodes.groupBy("lane").agg(F.count("*").alias("n")).agg(F.max("n")).first()
+    n = sizes[0] or 0
     blocks = max(1, min(MAX_BLOCKS, -(-n // block)))
     unsigned = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))  # a long that sorts as fp without sign
-    cuts: list[int] = []
+    cuts: dict[int, list[int]] = {r[0]: [] for r in nodes.select("lane").distinct().collect()}
     if blocks > 1:
-        found = nodes.agg(F.percentile_approx(unsigned, [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0]
-        cuts = sorted(set(found))
-    bounds = np.array(cuts, np.int64).view(np.uint64) ^ _SIGN
-    near = _near_blocks(bounds, budget)
-    count = len(near)
+        shares = [i / blocks for i in range(1, blocks)]
+        cuts = {r[0]: sorted(set(r[1])) for r in nodes.groupBy("lane").agg(F.percentile_approx(unsigned, shares, 20 * blocks)).collect()}
+    bounds = {lane: np.array(c, np.int64).view(np.uint64) ^ _SIGN for lane, c in cuts.items()}
+    near = {lane: _near_blocks(b, budget) for lane, b in bounds.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, rep = b.column("fp").to_numpy().view(np.uint64), b.column("rep").to_numpy()
-            at = np.searchsorted(bounds, fp, side="right")
-            for k in np.unique(at):
-                own = at == k
-                data = (fp[own].tobytes(), rep[own].tobytes())
-                to = [(k, int(j)) for j in near[k]] + [(i, k) for i in range(k) if k in near[i]]
-                keys = [int(i) * count + int(j) for i, j in to]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([int(k)] * len(to), pa.int64()), pa.array([data[0]] * len(to)), pa.array([data[1]] * len(to))], ["pair", "block", "fps", "reps"])
+            lanes, fps, reps = (b.column(c).to_numpy() for c in ("lane", "fp", "rep"))
+            for lane in np.unique(lanes):
+                on = lanes == lane
+                fp, rep, close = fps[on].view(np.uint64), reps[on], near[lane]
+                at = np.searchsorted(bounds[lane], fp, side="right")
+                for k in np.unique(at):
+                    own = at == k
+                    data = (fp[own].tobytes(), rep[own].tobytes())
+                    to = [(k, int(j)) for j in close[k]] + [(i, k) for i in range(k) if k in close[i]]
+                    keys = [(int(lane) * MAX_BLOCKS + int(i)) * MAX_BLOCKS + int(j) for i, j in to]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([data[0]] * len(to)), pa.array([data[1]] * len(to))], ["pair", "fps", "reps"])
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", kind="stable")
         fp = np.frombuffer(b"".join(pdf["fps"]), np.uint64)
         rep = np.frombuffer(b"".join(pdf["reps"]), np.int64)
-        i, j = divmod(int(key[0]), count)
+        lane, i, j = int(key[0]) // MAX_BLOCKS**2, int(key[0]) // MAX_BLOCKS % MAX_BLOCKS, int(key[0]) % MAX_BLOCKS
         order = np.argsort(fp, kind="stable")
         fp, rep = fp[order], rep[order]
-        split = None if i == j else int(np.searchsorted(fp, bounds[j - 1]))
-        root = trie_links(fp, split, budget)
-        own = root != np.arange(len(fp))
-        return pd.DataFrame({"a": rep[own], "b": rep[root[own]]})
-
-    if count == 1 and n < 2:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
-    dealt = nodes.select("fp", "rep").mapInArrow(deal, "pair long, block long, fps binary, reps binary")
+        split = None if i == j else int(np.searchsorted(fp, bounds[lane][j - 1]))
+        if partners:
+            own, other = trie_partners(fp, split, budget)
+        else:
+            root = trie_links(fp, split, budget)
+            own = np.flatnonzero(root != np.arange(len(fp)))
+            other = root[own]
+        return pd.DataFrame({"a": rep[own], "b": rep[other]})
+
+    dealt = nodes.select("lane", "fp", "rep").mapInArrow(deal, "pair long, fps binary, reps binary")
     return dealt.groupBy("pair").applyInPandas(walk, "a long, b long")
 
 
@@ -206,10 +231,99 @@ def simhash_groups(
     """
     made = stored(with_fingerprints(docs, id_col, text_col, width, seed))
     nodes = stored(made.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("rep")))
-    links = fingerprint_links(nodes.select("fp", F.col("fp").alias("rep")), budget)
+    links = fingerprint_links(nodes.select(F.lit(0).alias("lane"), "fp", F.col("fp").alias("rep")), budget)
     groups = connected_components(links)
     named = nodes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("group"), "rep")
     least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     ids = named.select("fp", "group").join(least, "group").select("fp", "component_id")
     out = made.join(ids, "fp", "left")
     return out.select(F.col("id").alias(id_col), hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def lanes_of(text: bytes, lanes: int, width: int, seed: int = 42) -> np.ndarray:
+    """`lanes` independent 32-bit fingerprints, each in the upper half of a 64-bit number."""
+    words = text.lower().split()
+    parts = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [b" ".join(words)]
+    base = np.array([xxhash.xxh64_intdigest(p, seed) for p in parts], np.uint64)
+    out = np.empty(lanes, np.uint64)
+    for k in range(0, lanes, 2):
+        x = base + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        total = np.zeros(64, np.int64)
+        for s in range(0, len(x), 65_536):
+            total += np.unpackbits(x[s : s + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.packbits(2 * total > len(x), bitorder="little").view(np.uint64)[0]
+        out[k] = (bits >> np.uint64(32)) << np.uint64(32)
+        if k + 1 < lanes:
+            out[k + 1] = bits << np.uint64(32)
+    return out
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """32-bit hashes of the distinct shingles, ascending."""
+    words = text.lower().split()
+    parts = {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} or {b" ".join(words)}
+    return np.unique(np.array([xxhash.xxh32_intdigest(p) for p in parts], np.uint32))
+
+
+def near_duplicate_groups(
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, lanes: int = 16, budget: int = 2, lane_width: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id_col, component_id), a row for each row of docs: groups of documents whose sets of shingles are similar.
+
+    Texts with the same words are one node. Nodes meet if one of `lanes` independent 32-bit fingerprints
+    (of lane_width-word shingles) is equal or, by the trie self-join, differs in at most budget bits: in each
+    lane a node is paired with one of its equals and with a closest other. Pairs link if the Jaccard
+    similarity of their width-word shingle sets is at least `similarity`; component_id is the smallest id
+    reachable. Equal word sequences always meet; of pairs at a similarity of 0.8 some 98 % do, of closer
+    ones nearly all. Null ids keep to themselves (component_id null) unless their words equal another's; a
+    null text is an empty one, and texts without words are one group. Other columns are not looked at.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [xxhash.xxh3_128_intdigest(b" ".join(x.as_py().lower().split())) for x in b.column(1)]
+            made = [lanes_of(x.as_py(), lanes, lane_width).view(np.int64).tolist() for x in b.column(1)]
+            high = np.array([w >> 64 for w in words], np.uint64).view(np.int64)
+            low = np.array([w & (1 << 64) - 1 for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(high), pa.array(low), pa.array(made, pa.list_(pa.int64()))], ["id", "wh", "wl", "fps"])
+
+    made = stored(given.mapInArrow(run, "id long, wh long, wl long, fps array<long>"))
+    nodes = stored(made.where(F.col("id").isNotNull()).groupBy("wh", "wl").agg(F.min("id").alias("rep"), F.min("fps").alias("fps")))
+    each = nodes.select("rep", F.posexplode("fps").alias("lane", "fp"))
+    # One of those with equal lanes stands for them, another in each lane.
+    first = stored(each.groupBy("lane", "fp").agg(F.min(F.struct(F.xxhash64("lane", "rep").alias("h"), "rep"))["rep"].alias("first")))
+    equal = each.join(first, ["lane", "fp"]).where(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    close = fingerprint_links(first.select("lane", "fp", F.col("first").alias("rep")), budget, partners=True)
+    pairs = equal.union(close).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # All lanes together tell how similar two documents can be; what is far off is not compared in full.
+    wide = nodes.select(F.col("rep").alias("a"), F.col("fps").alias("fa"))
+    gap = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    likely = stored(pairs.join(wide, "a").join(wide.select(F.col("a").alias("b"), F.col("fa").alias("fb")), "b").where(gap <= int(32 * lanes * 0.22)).select("a", "b"))
+    wanted = stored(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in b.column(1)], pa.binary())], ["id", "sh"])
+
+    # A node's text is that of its smallest id; of rows that share an id any may stand for it.
+    held = stored(given.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, sh binary"))
+    both = likely.join(held.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                u, v = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(common >= similarity * (len(u) + len(v) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    groups = connected_components(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"))
+    named = nodes.join(groups, F.col("rep") == F.col("node"), "left").select("wh", "wl", F.coalesce("component", "rep").alias("component_id"))
+    return made.join(named, ["wh", "wl"], "left").select(F.col("id").alias(id_col), "component_id")

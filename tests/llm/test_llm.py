@@ -239,7 +239,7 @@ def union_find(n, links):
 
 @pytest.mark.parametrize("block", [10, 16_384])
 def test_simhash_is_brute_force(spark, edge, corpus, block, monkeypatch):
-    monkeypatch.setattr(simhash.fingerprint_links, "__defaults__", (2, block))
+    monkeypatch.setattr(simhash.fingerprint_links, "__defaults__", (2, block, False))
     texts = {r.doc_id: r.text for r in edge.where("doc_id IS NOT NULL").collect()} | {1000 + i: t for i, t in enumerate(corpus)}
     ids = sorted(texts)
     fp = [brute_fingerprint(texts[i]) for i in ids]
@@ -253,6 +253,21 @@ def test_simhash_edge(spark, edge):
     assert simhash.simhash_groups(edge).count() == edge.count() and simhash.simhash_groups(edge.limit(0)).count() == 0
 
 
+def test_near_duplicates_are_brute_force(spark, edge, corpus):
+    texts = {r.doc_id: r.text for r in edge.where("doc_id IS NOT NULL").collect()} | {1000 + i: t for i, t in enumerate(corpus)}
+    ids = sorted(texts)
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [shingles(texts[i]) for i in ids]
+    root = union_find(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(table(spark, list(texts.items()))).collect()}
+    assert [got[i] for i in ids] == [ids[r] for r in root]
+    assert simhash.near_duplicate_groups(edge).count() == edge.count() and simhash.near_duplicate_groups(edge.limit(0)).count() == 0
+
+
 def test_trie_is_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(30):
