@@ -14,7 +14,7 @@ from cellgrid.llm.decontaminate import find_benchmark_leaks
 from cellgrid.llm.language import fit_language_model, identify_languages
 from cellgrid.llm.line_dedup import drop_frequent_lines
 from cellgrid.llm.mixing import mix_sources
-from cellgrid.llm.simhash import simhash_groups
+from cellgrid.llm.simhash import near_duplicate_groups
 
 
 def _without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -36,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with nearly the same fingerprint the one with the smallest id stays."""
-    groups = simhash_groups(docs, budget=2, width=3)
+    """Of documents whose sets of five-word shingles are similar by 0.8 or more the one with the smallest id stays."""
+    groups = near_duplicate_groups(docs, similarity=0.8, width=5)
     kept = _without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
