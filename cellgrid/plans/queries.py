@@ -171,7 +171,7 @@ def knn_density(spark, d):
 
 @query()
 def spade_density(spark, d):
-    return neighbors.estimate_density(_vec(spark, d), ["embedding"], "spade", name="density")
+    return _doubles(neighbors.estimate_density(_vec(spark, d), ["embedding"], "spade", name="density", alpha_multiplier=5.0, max_cells=100_000))
 
 
 @query()
@@ -724,14 +724,14 @@ def plot_clusters_volcano(spark, d):
 def plot_clusters_heatmap(spark, d):
     from . import plotdata
 
-    return plotdata.clusters_heatmap(cells(spark, d), "l_returnflag", CHANNELS, scale_cols=True)
+    return _doubles(plotdata.clusters_heatmap(cells(spark, d), "l_returnflag", CHANNELS, scale_cols=True).select("row", "channel", "value"))
 
 
 @query()
 def plot_sample_heatmap(spark, d):
     from . import plotdata
 
-    return plotdata.sample_heatmap(cells(spark, d), "l_linenumber", CHANNELS, scale_cols=True)
+    return _doubles(plotdata.sample_heatmap(cells(spark, d), "l_linenumber", CHANNELS, scale_cols=True).select("row", "channel", "value"))
 
 
 @query()
@@ -746,3 +746,91 @@ def plot_model(spark, d):
     from . import plotdata
 
     return plotdata.model_plot(_trained(spark, d, "two-class", "rich"))["roc_curve"]
+
+
+def _folder(spark, kind: str) -> str:
+    import uuid
+
+    from ..storage import scratch_dir
+
+    return f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT l_returnflag || '.csv' AS file_name, count(*)::BIGINT AS n, {_R('sum(l_quantity)', 2)} AS l_quantity, {_R('sum(l_tax)', 2)} AS l_tax FROM lineitem GROUP BY 1")
+def csv_round_trip(spark, d):
+    """Cells written as a CSV file for each cluster, read back and summed up."""
+    from ..sources import files
+
+    where = _folder(spark, "csv")
+    files.write_csv(cells(spark, d).select("l_returnflag", "l_quantity", "l_tax"), where, "l_returnflag", single_files=True)
+    read = files.read_data(spark, where)["1"].df
+    return _round(read.groupBy("file_name").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("l_quantity"), F.sum("l_tax").alias("l_tax")), ["l_quantity", "l_tax"], 2)
+
+
+@query(f"SELECT {_KEYS}, l_returnflag, l_quantity FROM lineitem")
+def nest_unnest(spark, d):
+    from ..table import CellTable
+
+    return CellTable(cells(spark, d).select(*KEY, "l_returnflag", "l_quantity")).nest(["l_suppkey", "l_returnflag"]).unnest().df.select(*KEY, "l_returnflag", "l_quantity")
+
+
+@query(_each("SELECT " + _KEYS + ", '{c}' AS channel, {c} AS x FROM lineitem"))
+def pivot_longer(spark, d):
+    from ..table import CellTable
+
+    return CellTable(cells(spark, d).select(*KEY, *CHANNELS)).pivot_longer(CHANNELS, "channel", "x").df
+
+
+@query("SELECT l_suppkey, " + ", ".join(f"count(*) FILTER (WHERE l_returnflag = '{x}')::BIGINT AS \"{x}\"" for x in "ANR") + " FROM lineitem GROUP BY 1")
+def pivot_wider(spark, d):
+    from ..table import CellTable
+
+    counts = cells(spark, d).groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
+    return CellTable(counts).pivot_wider("l_returnflag", "n", ["A", "N", "R"]).df.fillna(0)
+
+
+@query(
+    f"""WITH a AS (SELECT vec_id AS cell_id, [exp(x::DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+p AS (SELECT cell_id, [x / list_sum(e) FOR x IN e] AS p FROM a)
+SELECT cell_id, {_R("-list_sum([(x + 1e-20) * ln(x + 1e-20) FOR x IN p])")} AS entropy, {_R("list_max(p)")} AS top FROM p"""
+)
+def softmax_entropy(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    p = v.select("cell_id", exprs.softmax(F.col("v")).alias("p"))
+    return _doubles(p.select("cell_id", exprs.shannon_entropy(F.col("p")).alias("entropy"), F.array_max("p").alias("top")))
+
+
+@query(f"SELECT {_KEYS}, {_R('(l_quantity - min(l_quantity) OVER w) / (max(l_quantity) OVER w - min(l_quantity) OVER w)')} AS scaled FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)")
+def rescale(spark, d):
+    return _doubles(cells(spark, d).select(*KEY, exprs.rescale_over(F.col("l_quantity"), [F.col("l_suppkey")]).alias("scaled")))
+
+
+@query(f"WITH {_KNN.format(k=15)}, s AS (SELECT cell_id, -sum(distance) AS x FROM k GROUP BY 1) SELECT cell_id, {_R('(x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ())')} AS density FROM s")
+def knn_density_sum(spark, d):
+    return _doubles(neighbors.estimate_density(_vec(spark, d), ["embedding"], "sum_distance", name="density"))
+
+
+@query(f"SELECT {_KEYS}, s.s_name, l_quantity FROM lineitem LEFT JOIN supplier s ON s.s_suppkey = l_suppkey")
+def annotate_from_table(spark, d):
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    return cluster.annotate_clusters(cells(spark, d), "l_suppkey", names).select(*KEY, "s_name", "l_quantity")
+
+
+@query("SELECT l_quantity, l_extendedprice, l_returnflag, l_linestatus FROM lineitem")
+def plot_cells_scatter(spark, d):
+    from . import plotdata
+
+    return plotdata.cells_scatter(cells(spark, d), "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+
+
+def _heatmap_sql(key: str) -> str:
+    return f"""WITH m AS ({_each("SELECT " + key + "::VARCHAR AS row, '{c}' AS channel, median({c}) AS v FROM lineitem GROUP BY 1")})
+SELECT row, channel, {_R("coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0)")} AS value FROM m WINDOW w AS (PARTITION BY channel)"""
+
+
+ORACLE["plot_clusters_heatmap"], ORACLE["plot_sample_heatmap"] = _heatmap_sql("l_returnflag"), _heatmap_sql("l_linenumber")
+ORACLE["spade_density"] = f"""
+WITH {_KNN.format(k=1)}, a AS (SELECT 5 * median(distance) AS alpha FROM k), n AS (SELECT greatest(1, round(0.01 * count(*))) AS m FROM embeddings),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY distance, neighbor_id) AS r FROM p),
+c AS (SELECT cell_id, count(*) FILTER (WHERE distance < alpha AND r <= m) AS x FROM k2, a, n GROUP BY 1)
+SELECT cell_id, {_R("(x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0)")} AS density FROM c"""
