@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, hash_pair, let, text_or_empty
+from .common import WHITE, ascii_lower, hash_pair, let, stored, text_or_empty
 
 
 def line_keys(text: Column) -> Column:
@@ -52,7 +52,8 @@ def drop_frequent_lines(
         h1, h2 = hash_pair(F.col("k"))
         return df.where(F.length("k") >= min_chars).select(*keep, h1.alias("h1"), h2.alias("h2"))
 
-    frequent = (
+    # Written, so that both sides of the join are dealt by it alone and a line that very many have can be split.
+    frequent = stored(
         hashed(keyed.select(F.explode(F.array_distinct("ks")).alias("k")))
         .groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
     )
