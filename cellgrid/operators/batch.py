@@ -18,7 +18,7 @@ def batch_correct_rescale(df: DataFrame, channels: Selector = None, by: Selector
     groups = [q(c) for c in group_names]
     names = [c for c in names if c not in group_names]
     ends = df.groupBy(*groups).agg(*[f(q(c)).alias(f"__{w}_{i}") for i, c in enumerate(names) for w, f in (("low", F.min), ("high", F.max))])
-    met = join_groups(df, ends)
+    met = join_groups(df, ends, write=True)
     scaled = {c: F.try_divide(q(c) - F.col(f"__low_{i}"), F.col(f"__high_{i}") - F.col(f"__low_{i}")) for i, c in enumerate(names)}
     out = met.withColumns(scaled)
     return out.select(*[q(c) for c in df.columns]) if augment else out.select(*groups, *[q(c) for c in names])
@@ -35,7 +35,7 @@ def batch_correct_quantile(df: DataFrame, channels: Selector = None, by: Selecto
     d = len(names)
     ranked = df.withColumn("__sorted", F.sort_array(F.array(*[q(c).cast("double") for c in names])))
     means = ranked.groupBy(*groups).agg(F.array(*[F.avg(F.get("__sorted", F.lit(r))) for r in range(d)]).alias("__means"))
-    met = join_groups(ranked, means)
+    met = join_groups(ranked, means, write=True)
 
     def placed(c: str):
         x = q(c).cast("double")

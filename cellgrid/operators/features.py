@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from ..table import Selector, columns, is_numeric, q
 from .sample import join_groups
 
@@ -101,7 +102,8 @@ def compare_distributions(df: DataFrame, cluster_col: str, cols: Selector, by: S
     ref = ends.where(is_ref).select(*[q(c) for c in marker], F.col("__a").alias("__ra"), F.col("__b").alias("__rb"), F.col("__n").alias("__rn"))
     pairs = join_groups(ends.where(~is_ref), ref)
     low, high = F.floor(F.least("__a", "__ra")), F.ceil(F.greatest("__b", "__rb"))
-    pairs = pairs.select(*[q(c) for c in marker], q(level_col).alias("__level"), F.col("__n").alias("__n1"), F.col("__rn").alias("__n2"), low.alias("__low"), high.alias("__high"))
+    # Written: used three times, and its size decides whether cells have to be dealt to meet it.
+    pairs = materialize(pairs.select(*[q(c) for c in marker], q(level_col).alias("__level"), F.col("__n").alias("__n1"), F.col("__rn").alias("__n2"), low.alias("__low"), high.alias("__high")))
     bins = num_bins - 1
     place = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col("__x") - F.col("__low")) * bins / (F.col("__high") - F.col("__low"))))).cast("int")
 

@@ -24,8 +24,13 @@ def _ranked(df: DataFrame, by: list[Column], seed: int) -> DataFrame:
     return join_groups(fixed, sizes)
 
 
-def join_groups(df: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """df with the columns of right whose names begin with __, which has one row for each group; null groups meet."""
+def join_groups(df: DataFrame, right: DataFrame, how: str = "inner", write: bool = False) -> DataFrame:
+    """df with the columns of right whose names begin with __, which has one row for each group; null groups meet.
+
+    write: right is written first. Its size is then known when the join is planned, and where it is small
+    enough for a broadcast the rows of df are not dealt at all: for a df of cells.
+    """
+    right = materialize(right) if write else right
     names = [c for c in right.columns if not c.startswith("__")]
     if not names:
         return df.join(F.broadcast(right), F.lit(True), how)  # one row
