@@ -19,7 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         seen = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         seen = edges
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written, so that both sides of the join are dealt by it alone and a node with many edges can be split.
+    least = stored(seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     met = seen.join(least, "u")
     if large:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
