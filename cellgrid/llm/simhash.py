@@ -23,6 +23,8 @@ from .components import connected_components
 
 #: Leaves of a block, and blocks at most: beyond MAX_BLOCKS * BLOCK leaves, blocks grow instead.
 BLOCK, MAX_BLOCKS = 16_384, 4_096
+#: Leaves of a block of a lane: every block goes to all blocks near it, so that fewer and larger ones move less.
+LANE_BLOCK = 1 << 19
 #: Node pairs that a task holds in one step of its walk.
 FRONTIER = 1 << 18
 _SIGN = np.uint64(1 << 63)
@@ -297,9 +299,9 @@ def near_duplicate_groups(
     nodes = stored(made.where(F.col("id").isNotNull()).groupBy("wh", "wl").agg(F.min("id").alias("rep"), F.min("fps").alias("fps")))
     each = nodes.select("rep", F.posexplode("fps").alias("lane", "fp"))
     # One of those with equal lanes stands for them, another in each lane.
-    first = stored(each.groupBy("lane", "fp").agg(F.min(F.struct(F.xxhash64("lane", "rep").alias("h"), "rep"))["rep"].alias("first")))
-    equal = each.join(first, ["lane", "fp"]).where(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    close = fingerprint_links(first.select("lane", "fp", F.col("first").alias("rep")), budget, partners=True)
+    first = stored(each.groupBy("lane", "fp").agg(F.min(F.struct(F.xxhash64("lane", "rep").alias("h"), "rep"))["rep"].alias("first"), F.count("*").alias("n")))
+    equal = each.join(stored(first.where("n > 1").drop("n")), ["lane", "fp"]).where(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    close = fingerprint_links(first.select("lane", "fp", F.col("first").alias("rep")), budget, LANE_BLOCK, partners=True)
     pairs = equal.union(close).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # All lanes together tell how similar two documents can be; what is far off is not compared in full.
     wide = nodes.select(F.col("rep").alias("a"), F.col("fps").alias("fa"))
