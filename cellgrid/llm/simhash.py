@@ -88,13 +88,17 @@ def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(parent, hi, lo)
 
 
-def _near_pairs(fps: np.ndarray, split: int | None, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near_pairs(fps: np.ndarray, split: int | None, budget: int, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of ascending distinct fps within budget bits, some at a time.
 
     split None: all pairs; else pairs of a leaf before split with one from there on. Each step takes the
-    deepest node pairs first, so few are held; a pair of single leaves is settled at once.
+    deepest node pairs first, so few are held; a pair of single leaves is settled at once. With group, a
+    number for each leaf, only pairs of leaves of different groups: node pairs within one are not walked.
     """
     n = len(fps)
+    if group is not None and n:
+        ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, n)
+        until = ends[np.searchsorted(ends, np.arange(n), side="right")]  # where the run of leaves of one group ends
     if n < 2 or (split is not None and not 0 < split < n):
         return
     first = (0, n, 0, n) if split is None else (0, split, split, n)
@@ -126,6 +130,9 @@ def _near_pairs(fps: np.ndarray, split: int | None, budget: int) -> Iterator[tup
             good &= ~((low_a == low_b) & (high_a - low_a == 1) & (high_b - low_b == 1))
             if ok is not None:
                 good &= ok
+            if group is not None:
+                at, to = np.minimum(low_a, n - 1), np.minimum(low_b, n - 1)
+                good &= ~((group[at] == group[to]) & (until[at] >= high_a) & (until[to] >= high_b))
             if good.any():
                 kids.append(np.stack((low_a[good], high_a[good], low_b[good], high_b[good], spent[good] + cost), axis=1))
         if kids:
@@ -153,6 +160,36 @@ def trie_partners(fps: np.ndarray, split: int | None, budget: int) -> tuple[np.n
     return own, (best[own] & np.uint64((1 << 40) - 1)).astype(np.int64)
 
 
+def trie_apart(fps: np.ndarray, group: np.ndarray, split: np.uint64 | None, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of places of ascending fps, which may repeat, within budget bits and of different groups, some at a time.
+
+    split None: all pairs; else pairs of an fp below split with one from there on.
+    """
+    leaf, start = np.unique(fps, return_index=True)
+    end = np.append(start[1:], len(fps))
+    low, high = (f.reduceat(group, start) if len(fps) else group for f in (np.minimum, np.maximum))
+    # A leaf of several groups is one of its own: a number that no other leaf has.
+    label = np.where(low == high, np.unique(group, return_inverse=True)[1][start] if len(fps) else group, -1 - np.arange(len(leaf)))
+
+    def spread(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the leaves i, each with all places of its leaf j, about FRONTIER pairs at a time."""
+        many = (end[i] - start[i]) * (end[j] - start[j])
+        for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(many) // FRONTIER)) + 1):
+            k = np.repeat(part, many[part])
+            nth = np.arange(len(k)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+            size = end[j[k]] - start[j[k]]
+            x, y = start[i[k]] + nth // size, start[j[k]] + nth % size
+            apart = group[x] != group[y]
+            yield x[apart], y[apart]
+
+    if split is None:
+        own = np.flatnonzero(low != high)
+        for x, y in spread(own, own):
+            yield x[x < y], y[x < y]
+    for i, j in _near_pairs(leaf, None if split is None else int(np.searchsorted(leaf, split)), budget, label):
+        yield from spread(i, j)
+
+
 def _middle(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
     """Where in each range of leaves, alike above bit, the first with that bit set is."""
     base = (fps[lo] >> np.uint64(bit) | np.uint64(1)) << np.uint64(bit)
@@ -168,12 +205,13 @@ def _near_blocks(bounds: np.ndarray, budget: int) -> list[np.ndarray]:
     return [i + np.flatnonzero(_bits((lo[i] ^ lo[i:]) & ~(gap[i] | gap[i:])) <= budget) for i in range(len(lo))]
 
 
-def fingerprint_links(nodes: DataFrame, budget: int = 2, block: int = BLOCK, partners: bool = False) -> DataFrame:
-    """(a, b): links between reps of fingerprints of one lane within budget bits.
+def fingerprint_links(nodes: DataFrame, budget: int = 2, block: int = BLOCK, partners: bool = False, *, apart: bool = False) -> DataFrame:
+    """(lane, a, b): links between reps of fingerprints of one lane within budget bits.
 
     nodes: (lane, fp, rep), fp distinct in a lane. The links are enough to join what is near; with partners
-    they are pairs near themselves, a closest one for each fingerprint and pair of blocks. Block bounds are
-    quantiles, at most MAX_BLOCKS numbers for each lane on the driver.
+    they are pairs near themselves, a closest one for each fingerprint and pair of blocks. With apart, nodes
+    has a column group too, fp may repeat, and the links are all pairs of different groups, equal fp
+    included. Block bounds are quantiles, at most MAX_BLOCKS numbers for each lane on the driver.
     """
     sizes = nodes.groupBy("lane").agg(F.count("*").alias("n")).agg(F.max("n")).first()
     n = sizes[0] or 0
@@ -188,17 +226,17 @@ def fingerprint_links(nodes: DataFrame, budget: int = 2, block: int = BLOCK, par
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lanes, fps, reps = (b.column(c).to_numpy() for c in ("lane", "fp", "rep"))
+            lanes, fps, reps, groups = (b.column(c).to_numpy() for c in ("lane", "fp", "rep", "group"))
             for lane in np.unique(lanes):
                 on = lanes == lane
-                fp, rep, close = fps[on].view(np.uint64), reps[on], near[lane]
+                fp, rep, group, close = fps[on].view(np.uint64), reps[on], groups[on], near[lane]
                 at = np.searchsorted(bounds[lane], fp, side="right")
                 for k in np.unique(at):
                     own = at == k
-                    data = (fp[own].tobytes(), rep[own].tobytes())
+                    data = (fp[own].tobytes(), rep[own].tobytes(), group[own].tobytes() if apart else b"")
                     to = [(k, int(j)) for j in close[k]] + [(i, k) for i in range(k) if k in close[i]]
                     keys = [(int(lane) * MAX_BLOCKS + int(i)) * MAX_BLOCKS + int(j) for i, j in to]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([data[0]] * len(to)), pa.array([data[1]] * len(to))], ["pair", "fps", "reps"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array([x] * len(to), pa.binary()) for x in data]], ["pair", "fps", "reps", "groups"])
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fp = np.frombuffer(b"".join(pdf["fps"]), np.uint64)
@@ -206,6 +244,11 @@ def fingerprint_links(nodes: DataFrame, budget: int = 2, block: int = BLOCK, par
         lane, i, j = int(key[0]) // MAX_BLOCKS**2, int(key[0]) // MAX_BLOCKS % MAX_BLOCKS, int(key[0]) % MAX_BLOCKS
         order = np.argsort(fp, kind="stable")
         fp, rep = fp[order], rep[order]
+        if apart:
+            group = np.frombuffer(b"".join(pdf["groups"]), np.int64)[order]
+            found = list(trie_apart(fp, group, None if i == j else bounds[lane][j - 1], budget)) or [(order[:0], order[:0])]
+            own, other = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pd.DataFrame({"lane": lane, "a": rep[own], "b": rep[other]})
         split = None if i == j else int(np.searchsorted(fp, bounds[lane][j - 1]))
         if partners:
             own, other = trie_partners(fp, split, budget)
@@ -213,10 +256,10 @@ def fingerprint_links(nodes: DataFrame, budget: int = 2, block: int = BLOCK, par
             root = trie_links(fp, split, budget)
             own = np.flatnonzero(root != np.arange(len(fp)))
             other = root[own]
-        return pd.DataFrame({"a": rep[own], "b": rep[other]})
+        return pd.DataFrame({"lane": lane, "a": rep[own], "b": rep[other]})
 
-    dealt = nodes.select("lane", "fp", "rep").mapInArrow(deal, "pair long, fps binary, reps binary")
-    return dealt.groupBy("pair").applyInPandas(walk, "a long, b long")
+    dealt = nodes.select("lane", "fp", "rep", F.col("group") if apart else F.lit(0).cast("long").alias("group")).mapInArrow(deal, "pair long, fps binary, reps binary, groups binary")
+    return dealt.groupBy("pair").applyInPandas(walk, "lane int, a long, b long")
 
 
 def simhash_groups(
@@ -278,8 +321,8 @@ def near_duplicate_groups(
     """(id_col, component_id), a row for each row of docs: groups of documents whose sets of shingles are similar.
 
     Texts with the same words are one node. Nodes meet if one of `lanes` independent 32-bit fingerprints
-    (of lane_width-word shingles) is equal or, by the trie self-join, differs in at most budget bits: in each
-    lane a node is paired with one of its equals and with a closest other. Pairs link if the Jaccard
+    (of lane_width-word shingles) differs in at most budget bits: first in each lane a node with one of its
+    equals and a closest other, then all pairs that these have not joined yet. Pairs link if the Jaccard
     similarity of their width-word shingle sets is at least `similarity`; component_id is the smallest id
     reachable. Equal word sequences always meet; of pairs at a similarity of 0.8 some 98 % do, of closer
     ones nearly all. Null ids keep to themselves (component_id null) unless their words equal another's; a
@@ -301,22 +344,16 @@ def near_duplicate_groups(
     # One of those with equal lanes stands for them, another in each lane.
     first = stored(each.groupBy("lane", "fp").agg(F.min(F.struct(F.xxhash64("lane", "rep").alias("h"), "rep"))["rep"].alias("first"), F.count("*").alias("n")))
     equal = each.join(stored(first.where("n > 1").drop("n")), ["lane", "fp"]).where(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    close = fingerprint_links(first.select("lane", "fp", F.col("first").alias("rep")), budget, LANE_BLOCK, partners=True)
-    pairs = equal.union(close).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    close = stored(fingerprint_links(first.select("lane", "fp", F.col("first").alias("rep")), budget, LANE_BLOCK, partners=True))
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = equal.union(close.select("a", "b")).where("a <> b").select(*ordered).distinct()
     # All lanes together tell how similar two documents can be; what is far off is not compared in full.
     wide = nodes.select(F.col("rep").alias("a"), F.col("fps").alias("fa"))
     gap = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-    likely = stored(pairs.join(wide, "a").join(wide.select(F.col("a").alias("b"), F.col("fa").alias("fb")), "b").where(gap <= int(32 * lanes * 0.22)).select("a", "b"))
-    wanted = stored(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct())
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in b.column(1)], pa.binary())], ["id", "sh"])
 
-    # A node's text is that of its smallest id; of rows that share an id any may stand for it.
-    held = stored(given.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, sh binary"))
-    both = likely.join(held.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -326,6 +363,22 @@ def near_duplicate_groups(
                 keep.append(common >= similarity * (len(u) + len(v) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    groups = connected_components(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"))
+    def similar(pairs: DataFrame) -> DataFrame:
+        likely = stored(pairs.join(wide, "a").join(wide.select(F.col("a").alias("b"), F.col("fa").alias("fb")), "b").where(gap <= int(32 * lanes * 0.22)).select("a", "b"))
+        wanted = stored(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct())
+        # A node's text is that of its smallest id; of rows that share an id any may stand for it.
+        held = stored(given.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, sh binary"))
+        both = likely.join(held.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
+        return stored(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"))
+
+    links = similar(pairs)
+    groups = connected_components(links)
+    # Only lane values that are near others, or that three nodes or more have, can have pairs that were not tried.
+    more = stored(close.select("lane", F.explode(F.array("a", "b")).alias("first")).union(first.where("n > 2").select("lane", "first")).distinct())
+    values = stored(first.join(more, ["lane", "first"], "left_semi").select("lane", "fp"))
+    again = each.join(values, ["lane", "fp"], "left_semi").join(groups, F.col("rep") == F.col("node"), "left")
+    again = stored(again.select("lane", "fp", "rep", F.coalesce("component", "rep").alias("group")))
+    rest = fingerprint_links(again, budget, LANE_BLOCK, apart=True).select(*ordered).distinct()
+    groups = connected_components(links.union(similar(rest)))
     named = nodes.join(groups, F.col("rep") == F.col("node"), "left").select("wh", "wl", F.coalesce("component", "rep").alias("component_id"))
     return made.join(named, ["wh", "wl"], "left").select(F.col("id").alias(id_col), "component_id")

@@ -280,6 +280,39 @@ def test_trie_is_brute_force():
             assert simhash.trie_links(f, split, 2).tolist() == union_find(len(f), near)
 
 
+def test_trie_finds_all_pairs_of_different_groups():
+    rng = np.random.default_rng(1)
+    for n_groups in (1, 3, 40):
+        f = rng.integers(0, 1 << 63, 5, dtype=np.uint64)[rng.integers(0, 5, 120)]
+        for _ in range(2):
+            f = f ^ (np.uint64(rng.integers(0, 2)) << rng.integers(0, 64, 120).astype(np.uint64))
+        f = np.sort(f)
+        group = rng.integers(0, n_groups, len(f))
+        for split in (None, f[60]):
+            want = {(i, j) for j in range(len(f)) for i in range(j) if group[i] != group[j] and int(f[i] ^ f[j]).bit_count() <= 2 and (split is None or f[i] < split <= f[j])}
+            got = [(int(i), int(j)) for x, y in simhash.trie_apart(f, group, split, 2) for i, j in zip(x, y, strict=True)]
+            assert {tuple(sorted(p)) for p in got} == want and len(got) == len(want)
+    assert not any(len(x) for x, _ in simhash.trie_apart(f[:0], group[:0], None, 2))
+
+
+def test_tight_clusters_of_a_family_meet(spark, monkeypatch):
+    """Two tight clusters, lanes equal inside each: only one pair of documents of different clusters is similar."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    new = [word() for _ in range(24)]
+    other = base[:30] + new + base[54:]
+    ends = [base[:30] + new[:6] + base[36:], base[:30] + new[:18] + base[48:]]
+    texts = [" ".join(x[:199] + [word()]) for x in [base] * 150 + [other] * 150 + ends]
+    near = lambda made: {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(made).collect()}
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    root = union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    monkeypatch.setattr(simhash, "lanes_of", lambda text, lanes, width: np.full(lanes, 1 << 40, np.uint64))
+    for block in (8, 1 << 19):
+        monkeypatch.setattr(simhash, "LANE_BLOCK", block)
+        assert near(table(spark, list(enumerate(texts)))) == dict(enumerate(root))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
