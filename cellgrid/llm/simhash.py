@@ -286,9 +286,9 @@ def simhash_groups(
 
 
 def lanes_of(text: bytes, lanes: int, width: int, seed: int = 42) -> np.ndarray:
-    """`lanes` independent 32-bit fingerprints, each in the upper half of a 64-bit number."""
+    """`lanes` independent 32-bit fingerprints of the distinct shingles, each in the upper half of a 64-bit number."""
     words = text.lower().split()
-    parts = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [b" ".join(words)]
+    parts = {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} or {b" ".join(words)}
     base = np.array([xxhash.xxh64_intdigest(p, seed) for p in parts], np.uint64)
     out = np.empty(lanes, np.uint64)
     for k in range(0, lanes, 2):
@@ -321,7 +321,7 @@ def near_duplicate_groups(
     """(id_col, component_id), a row for each row of docs: groups of documents whose sets of shingles are similar.
 
     Texts with the same words are one node. Nodes meet if one of `lanes` independent 32-bit fingerprints
-    (of lane_width-word shingles) differs in at most budget bits: first in each lane a node with one of its
+    (of distinct lane_width-word shingles) differs in at most budget bits: first in each lane a node with one of its
     equals and a closest other, then all pairs that these have not joined yet. Pairs link if the Jaccard
     similarity of their width-word shingle sets is at least `similarity`; component_id is the smallest id
     reachable. Equal word sequences always meet; of pairs at a similarity of 0.8 some 98 % do, of closer

@@ -313,6 +313,17 @@ def test_tight_clusters_of_a_family_meet(spark, monkeypatch):
         assert near(table(spark, list(enumerate(texts)))) == dict(enumerate(root))
 
 
+def test_repeats_do_not_keep_near_duplicates_apart(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(5):
+        body, line = " ".join(word() for _ in range(100)), " " + " ".join(word() for _ in range(10))
+        texts += [body + line * 2, body + line * 40]
+    got = [r.component_id for r in simhash.near_duplicate_groups(table(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert got == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
