@@ -17,6 +17,11 @@ from cellgrid.llm.mixing import mix_sources
 from cellgrid.llm.simhash import near_duplicate_groups
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __key, which tells rows apart whose ids are null or repeat: id and a hash of the text."""
+    return docs.withColumn("__key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
+
+
 def _without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the rows whose key is in gone; gone is written first, so that its size decides how it is joined."""
     return docs.join(stored(gone.select(F.col(key).alias("__gone")).distinct()), F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
@@ -24,7 +29,7 @@ def _without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those of no clear language. The declared language is evidence, the source the host."""
-    marked = docs.withColumn("__key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
+    marked = _keyed(docs)
     found = identify_languages(marked, fit_language_model(docs), id_col="__key", declared_col="lang", host_col="source")
     return _without(marked, found.where(~F.col("kept")), "__key").select(*docs.columns)
 
@@ -36,17 +41,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles are similar by 0.8 or more the one with the smallest id stays."""
-    groups = near_duplicate_groups(docs, similarity=0.8, width=5)
-    kept = _without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """Of documents whose sets of five-word shingles are similar by 0.8 or more the one with the smallest id stays, a null id only without others."""
+    # Numbers are written with their rows, as ids may be null or repeat.
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_duplicate_groups(rows, similarity=0.8, width=5, id_col="__row")
+    found = stored(rows.select("__row", F.col("doc_id").isNull().alias("no"), "doc_id", F.xxhash64("text").alias("h")).join(groups, "__row"))
+    stays = found.groupBy("component_id").agg(F.min(F.struct("no", "doc_id", "h", "__row"))["__row"].alias("stays"))
+    gone = found.select("__row").join(stays, F.col("__row") == F.col("stays"), "left_anti")
+    return _without(rows, gone, "__row").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, find_benchmark_leaks(docs, table(spark, sf_dir, "benchmark")))
+    marked = _keyed(docs)
+    return _without(marked, find_benchmark_leaks(marked, table(spark, sf_dir, "benchmark"), id_col="__key"), "__key").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -503,3 +503,19 @@ def test_pipeline_edge(spark, edge, sf_dir):
     for docs in (edge.select("doc_id", "text", "lang", "source", "n_chars"), edge.select("doc_id", "text", "lang", "source", "n_chars").limit(0)):
         for _, stage in p.STAGES:
             docs = p.stored(stage(spark, docs, sf_dir))
+
+
+def test_pipeline_drops_only_flagged_rows(spark, sf_dir):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    one, two, three, four, five = (text() for _ in range(5))
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    docs = [(1, one), (None, one), (None, two), (None, three), (2, four), (2, five), (2, five), (None, leak), (2, leak)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars int")
+    names = {one: "one", two: "two", three: "three", four: "four", five: "five", leak: "leak"}
+    held = lambda df: sorted((r.doc_id or 0, names[r.text]) for r in df.collect())
+    clean = [(0, "three"), (0, "two"), (1, "one"), (2, "five"), (2, "four")]
+    assert held(p.near_dedup(spark, docs, sf_dir)) == sorted([*clean, (2, "leak")])
+    assert held(p.decontaminate(spark, docs, sf_dir)) == sorted([*clean, (0, "one"), (2, "five")])
