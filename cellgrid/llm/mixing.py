@@ -35,9 +35,13 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     target = F.least((F.col("source_size") * cap).cast("double"), F.col("rate") * F.col("w"))
     x = x.withColumn("target", target)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    return x.withColumn("full", full).select(
-        "source", "source_size", "target", "full",
-        F.greatest(F.round(F.col("target") - F.col("full") * F.col("source_size")).cast("long"), F.lit(0)).alias("budget"),
+    budget = F.greatest(F.round(F.col("target") - F.col("full") * F.col("source_size")).cast("long"), F.lit(0))
+    x = x.withColumn("full", full).withColumn("budget", budget)
+    # A budget of the whole source is one more pass over it.
+    whole = (F.col("source_size") > 0) & (F.col("budget") >= F.col("source_size"))
+    return x.select(
+        "source", "source_size", "target", (F.col("full") + whole.cast("long")).alias("full"),
+        F.when(whole, F.lit(0)).otherwise(F.col("budget")).cast("long").alias("budget"),
     )
 
 

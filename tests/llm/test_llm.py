@@ -416,6 +416,13 @@ def test_targets_stop_at_three_times(spark):
     assert {r.source: r.target for r in got} == pytest.approx(brute_targets(sizes))
 
 
+def test_mix_takes_a_source_whose_budget_is_its_size(spark):
+    docs = [(i, "w", "a") for i in range(100)] + [(100 + i, "w", "b") for i in range(199)]
+    got = mixing.mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string"), weights=(1, 2)).toPandas()
+    assert set(got.copies) == {1}
+    assert got[["source_size", "target"]].round(2).drop_duplicates().sort_values("target").values.tolist() == [[100, 99.67], [199, 199.33]]
+
+
 def test_mix_edge(spark, edge):
     assert mixing.mix_sources(edge).count() == edge.count() and mixing.mix_sources(edge.limit(0)).count() == 0
     assert mixing.mix_sources(table(spark, [(1, ""), (2, None)])).agg(F.sum("taken")).first()[0] == 0
