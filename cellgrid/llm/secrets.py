@@ -23,7 +23,9 @@ KINDS = ("assign", "access", "hex", "novel")
 BASE_KINDS = KINDS[:3]
 
 #: Strings worth measuring, and the words that make their surroundings sensitive.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,512}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: Characters that are measured at a time: the cost of a longer string is the sum of its blocks'.
+MEASURE = 512
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|bearer|credential|private|signature|session|cookie|connection", re.I | re.A)
 MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
 #: Identifiers and words that code has around secrets.
@@ -76,14 +78,24 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
     """(start, kind, end, bytes) of strings outside the taken spans that hardly compress in sensitive surroundings."""
     found = []
     for m in CANDIDATE.finditer(text):
-        i, j = m.span()
-        if not MIXED.match(m.group()) or not SENSITIVE.search(text, max(0, i - near), i):
-            continue
-        if any(s < j and i < e for s, _, e in taken):
-            continue
-        cost = novelty(text, i, j)
-        if cost >= least_ratio * (j - i):
-            found.append((i, 3, j, cost))
+        ends = [*range(m.start(), m.end(), MEASURE), m.end()]
+        costs: dict[int, int] = {}
+        k = 0
+        while k < len(ends) - 1:
+            i, best = ends[k], None
+            if ends[k + 1] - i >= 16 and MIXED.match(text[i : ends[k + 1]]) and SENSITIVE.search(text, max(0, i - near), i):
+                cost = 0
+                for b in range(k, len(ends) - 1):
+                    if any(s < ends[b + 1] and ends[b] < e for s, _, e in taken):
+                        break
+                    if b not in costs:
+                        costs[b] = novelty(text, ends[b], ends[b + 1])
+                    cost += costs[b]
+                    if cost >= least_ratio * (ends[b + 1] - i):
+                        best = (b + 1, cost)
+            if best:
+                found.append((i, 3, ends[best[0]], best[1]))
+            k = best[0] if best else k + 1
     return found
 
 
@@ -93,10 +105,11 @@ def find_secrets(
     """(id_col, spans), a row for each row of docs.
 
     spans: array of (kind, start, end, value, novelty) by start, then kind as in KINDS; code points, end
-    exclusive. assign, access and hex are the fixed patterns and have no novelty. novel: strings of 16 to
-    512 characters with letters and digits, at most near characters after a sensitive word, not touching
+    exclusive. assign, access and hex are the fixed patterns and have no novelty. novel: strings of 16
+    characters or more with letters and digits, at most near characters after a sensitive word, not touching
     a fixed pattern's span, that add at least least_ratio bytes a character to the compressed text around
-    them. A null or empty text has no spans. Ids may be null or repeat and are passed on; other columns
+    them; longer ones are measured by blocks of MEASURE characters and reach as far as all of them together
+    do so. A null or empty text has no spans. Ids may be null or repeat and are passed on; other columns
     are not looked at. An empty table gives an empty one.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("novelty", pa.int64())])

@@ -128,6 +128,16 @@ def test_novel_strings(spark):
     assert got == {1: ["zQ9xW7vB2nM4kL8pR5tY1"], 2: [], 3: [], 4: []}
 
 
+def test_long_novel_strings_are_whole(spark):
+    rng = random.Random(2)
+    long = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n)) for n in (512, 513, 600, 4000)]
+    docs = [(i, f"the private key is {x} ok") for i, x in enumerate(long)]
+    got = {r.doc_id: [s.value for s in r.spans] for r in secrets.find_secrets(table(spark, docs)).collect()}
+    assert got == {i: [x] for i, x in enumerate(long)}
+    [span] = secrets.find_secrets(table(spark, [(1, f"the private key is {long[0]}{'-' * 2000} ok")])).first().spans
+    assert span.value.startswith(long[0])
+
+
 # 3
 
 
