@@ -150,24 +150,56 @@ class Matcher:
             own = own[own != 0]
             share = n / len(np.unique(own))
             if share >= self.least and (way == 0 or len(own) * 2 >= len(self.items[k].windows[0])):
-                fit = self._slots(doc, ways[way], self.items[k], way)
-                if fit >= self.consistent:
-                    best[k] = max(best.get(k, (0.0, 0.0)), (share, fit))
+                first, each = self._places(ways[way], self.items[k], way)
+                found = [(share, self._slots(doc, first, self.items[k], way))]
+                if found[0][1] < 1:
+                    found += [(part, self._slots(doc, at, self.items[k], way)) for part, at in self._occurrences(each, self.items[k], way)]
+                for one in found:
+                    if one[1] >= self.consistent:
+                        best[k] = max(best.get(k, (0.0, 0.0)), one)
         return [(self.items[k].item_id, *best[k]) for k in sorted(best)]
 
-    def _slots(self, doc: Reading, hashes: np.ndarray, item: Item, way: int) -> float:
-        """The share of slots whose value follows from the item's by the commonest substitution; 1 without slots."""
-        where: dict[int, int] = {}
+    def _places(self, hashes: np.ndarray, item: Item, way: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """(place in the document, place in the item) of windows in both: with the window's first place in the item, and with each."""
+        where: dict[int, list[int]] = defaultdict(list)
         for i, h in enumerate(item.windows[way].tolist()):
-            where.setdefault(h, i)
+            where[h].append(i)
+        first, each = [], []
+        for at in self.known(hashes).tolist():
+            starts = where.get(int(hashes[at]))
+            if starts:
+                first.append((at, starts[0]))
+                each += [(at, start) for start in starts]
+        return first, each
+
+    def _occurrences(self, each: list[tuple[int, int]], item: Item, way: int) -> Iterator[tuple[float, list[tuple[int, int]]]]:
+        """(share, places) of each stretch of the document that holds the share least of the item's windows by itself.
+
+        A stretch has one place for each place of the item: of those whose distance is the stretch's, give or
+        take as much as may be missing or put in, the nearest.
+        """
+        windows = item.windows[way].tolist()
+        many = len(set(windows) - {0})
+        slack = max(self.width, len(windows) // 5)
+        each = sorted(each, key=lambda p: p[0] - p[1])
+        off = np.array([at - start for at, start in each], np.int64)
+        for d in np.unique(off).tolist():
+            lo, hi = np.searchsorted(off, [d - slack, d + slack + 1]).tolist()
+            near: dict[int, int] = {}
+            for at, start in each[lo:hi] if hi - lo >= self.least * many else ():
+                if start not in near or abs(at - start - d) < abs(near[start] - start - d):
+                    near[start] = at
+            share = len({windows[start] for start in near}) / many
+            if share >= self.least:
+                yield share, [(at, start) for start, at in near.items()]
+
+    def _slots(self, doc: Reading, places: list[tuple[int, int]], item: Item, way: int) -> float:
+        """The share of slots whose value follows from the item's by the commonest substitution; 1 without slots."""
         codes = item.reading.plain if way == 0 else item.reading.named
         width = min(self.width, len(codes))
         pairs: dict[tuple[int, str], Counter[str]] = defaultdict(Counter)
         seen = set()
-        for at in self.known(hashes).tolist():
-            start = where.get(int(hashes[at]))
-            if start is None:
-                continue
+        for at, start in places:
             for j in range(width):
                 code = int(codes[start + j])
                 if code <= NAME and at + j < len(doc.tokens) and (start + j, at + j) not in seen:
@@ -197,7 +229,7 @@ def find_benchmark_leaks(
     A window is width tokens (numbers, runs of letters, unit signs; case does not count). An item is held
     if at least the share least of its distinct windows is in the document, in the plain reading or in
     the one with names replaced, and at least the share consistent of its slots take values by one
-    substitution. Items and documents with fewer tokens than a window are one window; those without any,
+    substitution, in the whole document or in one stretch that holds that share of windows by itself. Items and documents with fewer tokens than a window are one window; those without any,
     and null texts, match nothing. Ids may be null or repeat: a row stands for each row of docs. Items
     with a null id or equal texts count as items of their own. Other columns are not looked at; where
     either table is empty so is the result.

@@ -453,6 +453,16 @@ def test_leaks_and_changed_numbers(spark):
         assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1)}
 
 
+def test_leaks_among_variants(spark):
+    line = "Maria has {} apples and gives {} km of rope to Tom while Zoe keeps the other {} apples in a box"
+    item = line.format(3, 4, 8)
+    docs = [(1, f"{item}. {line.format(5, 6, 9)}. {line.format(7, 2, 1)}."), (2, f"{line.format(5, 6, 9)} {'filler ' * 50} {line.format(5, 5, 6)} {item}")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        got = decontaminate.find_benchmark_leaks(table(spark, docs), bench, broadcast_windows=limit).collect()
+        assert sorted(map(tuple, got)) == [(1, 1, 1.0, 1.0), (2, 1, 1.0, 1.0)]
+
+
 def test_leak_paths_agree(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     one, two = (sorted(decontaminate.find_benchmark_leaks(docs, bench, broadcast_windows=n).collect()) for n in (10**9, 0))
