@@ -96,6 +96,21 @@ def test_passages_are_found(spark, corpus):
     assert all(len(corpus[i].split()) >= 51 for i in extra)
 
 
+def test_passages_between_ends_that_do_not_match(spark):
+    """Twenty pairs of documents share a passage each; smaller and larger ids have halves of all passages and match nobody."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    docs = []
+    for k in range(20):
+        passage = words(60)
+        docs += [(1000 + k, passage), (2000 + k, passage)]
+        docs += [(10 * k + j, words(30) + passage[:30] + words(30)) for j in range(3)] + [(9000 + 10 * k + j, words(30) + passage[30:] + words(30)) for j in range(3)]
+        docs += [(500 + 10 * k + j, words(30) + passage[15:45] + words(30)) for j in range(3)] + [(9500 + 10 * k + j, words(30) + passage[15:45] + words(30)) for j in range(3)]
+    docs = table(spark, [(i, " ".join(x if i < 1000 or i >= 9000 else words(40) + x + words(40))) for i, x in docs])
+    got = {(r.a, r.b) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert {tuple(sorted(p)) for p in got} == {(1000 + k, 2000 + k) for k in range(20)}
+
+
 def test_passages_edge(spark, edge):
     got = rows(substring_dedup.passage_classes(edge))
     assert all(r["doc_id"] is not None for r in got)
