@@ -111,6 +111,20 @@ def test_passages_between_ends_that_do_not_match(spark):
     assert {tuple(sorted(p)) for p in got} == {(1000 + k, 2000 + k) for k in range(20)}
 
 
+def test_all_copies_of_a_passage_are_spans(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage = words(60)
+    twice = words(230) + passage + words(30) + passage + words(30)
+    fragment = words(30) + passage[20:45] + words(200) + passage + words(30)
+    for x in (twice, fragment):
+        for docs in ([(1, x), (2, words(30) + passage)], [(2, x), (1, words(30) + passage)]):
+            got = {r.doc_id: r for r in substring_dedup.passage_classes(table(spark, [(i, " ".join(w)) for i, w in docs])).collect()}
+            one = got[docs[0][0]]
+            assert one.spans == ("230:290,320:380" if x is twice else "255:315") and one.n_passages == one.n_links == (2 if x is twice else 1)
+            assert got[docs[1][0]].spans == "30:90"
+
+
 def test_passages_edge(spark, edge):
     got = rows(substring_dedup.passage_classes(edge))
     assert all(r["doc_id"] is not None for r in got)
