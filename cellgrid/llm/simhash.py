@@ -205,6 +205,17 @@ def _near_blocks(bounds: np.ndarray, budget: int) -> list[np.ndarray]:
     return [i + np.flatnonzero(_bits((lo[i] ^ lo[i:]) & ~(gap[i] | gap[i:])) <= budget) for i in range(len(lo))]
 
 
+def _block_pairs(near: list[np.ndarray]) -> list[np.ndarray]:
+    """For each block the numbers i * MAX_BLOCKS + j of the pairs i <= j of near blocks that it is in."""
+    first = np.repeat(np.arange(len(near)), [len(x) for x in near])
+    second = np.concatenate(near)
+    pair = first * MAX_BLOCKS + second
+    apart = first != second
+    block, pair = np.concatenate((first, second[apart])), np.concatenate((pair, pair[apart]))
+    order = np.argsort(block, kind="stable")
+    return np.split(pair[order], np.searchsorted(block[order], np.arange(1, len(near))))
+
+
 def fingerprint_links(nodes: DataFrame, budget: int = 2, block: int = BLOCK, partners: bool = False, *, apart: bool = False) -> DataFrame:
     """(lane, a, b): links between reps of fingerprints of one lane within budget bits.
 
@@ -222,21 +233,21 @@ def fingerprint_links(nodes: DataFrame, budget: int = 2, block: int = BLOCK, par
         shares = [i / blocks for i in range(1, blocks)]
         cuts = {r[0]: sorted(set(r[1])) for r in nodes.groupBy("lane").agg(F.percentile_approx(unsigned, shares, 20 * blocks)).collect()}
     bounds = {lane: np.array(c, np.int64).view(np.uint64) ^ _SIGN for lane, c in cuts.items()}
-    near = {lane: _near_blocks(b, budget) for lane, b in bounds.items()}
+    # For each block the pairs that it is in, worked out once.
+    pairs_of = {lane: _block_pairs(_near_blocks(b, budget)) for lane, b in bounds.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lanes, fps, reps, groups = (b.column(c).to_numpy() for c in ("lane", "fp", "rep", "group"))
             for lane in np.unique(lanes):
                 on = lanes == lane
-                fp, rep, group, close = fps[on].view(np.uint64), reps[on], groups[on], near[lane]
+                fp, rep, group = fps[on].view(np.uint64), reps[on], groups[on]
                 at = np.searchsorted(bounds[lane], fp, side="right")
                 for k in np.unique(at):
                     own = at == k
                     data = (fp[own].tobytes(), rep[own].tobytes(), group[own].tobytes() if apart else b"")
-                    to = [(k, int(j)) for j in close[k]] + [(i, k) for i in range(k) if k in close[i]]
-                    keys = [(int(lane) * MAX_BLOCKS + int(i)) * MAX_BLOCKS + int(j) for i, j in to]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array([x] * len(to), pa.binary()) for x in data]], ["pair", "fps", "reps", "groups"])
+                    keys = pairs_of[lane][k] + int(lane) * MAX_BLOCKS**2
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array([x] * len(keys), pa.binary()) for x in data]], ["pair", "fps", "reps", "groups"])
 
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fp = np.frombuffer(b"".join(pdf["fps"]), np.uint64)
