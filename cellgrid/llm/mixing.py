@@ -6,7 +6,7 @@ alone is refined by the hash's next bits. What lies below the threshold is taken
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_words_of, stored, text_or_empty
@@ -15,6 +15,16 @@ from .common import n_words_of, stored, text_or_empty
 BROADCAST_SOURCES = 50_000
 
 
+#: Bits of a document's place.
+PLACE_BITS = 52
+
+
+def place_of(id_: Column, text: Column) -> Column:
+    """The first 52 bits of the MD5 of id and text, a hash that SQL engines share."""
+    whole = F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit("|"), text)
+    return F.conv(F.substring(F.md5(whole), 1, PLACE_BITS // 4), 16, 10).cast("long")
+
+
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """totals (source, source_size) with target, full and budget.
 
@@ -49,8 +59,7 @@ def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
     cap: int = 3,
-    bits: int = 10,
-    levels: int = 5,
+    bits: int = 13,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -72,7 +81,7 @@ def mix_sources(
     sized = stored(docs.select(
         *[F.col(c).alias(f"in_{i}") for i, c in enumerate(carry)],
         F.col(source_col).alias("source"), n_words_of(text).alias("size"),
-        F.xxhash64(F.lit(11), F.col(id_col), text).alias("h"),
+        place_of(F.col(id_col), text).alias("h"),
     ))
     state = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     facts = ["source", "source_size", "target", "full"]
@@ -83,18 +92,18 @@ def mix_sources(
         right = state.withColumnRenamed("source", "s")
         return df.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("s")), how).drop("s")
 
+    levels = -(-PLACE_BITS // bits)
     for level in range(1, levels + 1):
-        before, now = 64 - bits * (level - 1), 64 - bits * level
+        before, now = max(0, PLACE_BITS - bits * (level - 1)), max(0, PLACE_BITS - bits * level)
         inside = meet(sized.select("source", "size", "h"), "inner")
         if level > 1:
-            inside = inside.where(F.shiftrightunsigned("h", before) == F.col("prefix"))
-        hist = inside.groupBy(*facts, "budget", "prefix", F.shiftrightunsigned("h", now).alias("bucket")).agg(F.sum("size").alias("n"))
+            inside = inside.where(F.shiftright("h", before) == F.col("prefix"))
+        hist = inside.groupBy(*facts, "budget", "prefix", F.shiftright("h", now).alias("bucket")).agg(F.sum("size").alias("n"))
         up_to = Window.partitionBy("source").orderBy("bucket")
         crossed = hist.withColumn("sum", F.sum("n").over(up_to)).where((F.col("sum") > F.col("budget")) & (F.col("sum") - F.col("n") <= F.col("budget")) & (F.col("n") > 0))
         left = F.col("budget") - F.col("sum") + F.col("n")
         state = stored(crossed.select(*facts, left.alias("budget"), F.col("bucket").alias("prefix"), (left * 2 > F.col("n")).alias("closer")))
-    place = F.shiftrightunsigned("h", 64 - bits * levels)
-    extra = (place < F.col("prefix")) | ((place == F.col("prefix")) & F.col("closer"))
+    extra = (F.col("h") < F.col("prefix")) | ((F.col("h") == F.col("prefix")) & F.col("closer"))
     out = meet(sized, "left").withColumn("copies", F.coalesce(F.col("full") + extra.cast("long"), F.lit(0)).cast("long"))
     return out.select(
         *[F.col(f"in_{i}").alias(c) for i, c in enumerate(carry)],

@@ -107,5 +107,24 @@ m AS (SELECT k.doc_id, k.line, k.pos, f.key IS NOT NULL AS gone FROM k LEFT JOIN
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    # A target stops at three times its source: sources whose share is above their cap come first by ratio.
+    "op9_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || md5(concat(coalesce(doc_id::VARCHAR, ''), '|', coalesce(text, '')))[:13])::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM s),
+x AS (SELECT *, 1 + r % 3 AS w, source_size * 3 / (1 + r % 3) AS ratio FROM w),
+y AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER below, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER below, 0)) AS rate
+      FROM x WINDOW below AS (ORDER BY ratio, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least((source_size * 3)::DOUBLE, w * (SELECT arg_min(rate, (ratio, r)) FROM y WHERE rate <= ratio)) AS target FROM y),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS passes FROM t),
+b AS (SELECT *, greatest(round(target - passes * source_size), 0)::BIGINT AS rest FROM f),
+c AS (SELECT source, place, sum(size)::BIGINT AS n FROM d GROUP BY source, place),
+u AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY place) - n AS before FROM c),
+k AS (SELECT u.source, u.place, CASE WHEN before + n <= rest OR (before < rest AND 2 * (rest - before) > n) THEN 1 ELSE 0 END AS extra
+      FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source)
+SELECT d.doc_id, d.size, b.source_size, b.target, CASE WHEN d.size = 0 THEN 0 ELSE (b.passes + k.extra) * d.size END::BIGINT AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.place = k.place
 """,
 }
