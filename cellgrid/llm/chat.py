@@ -1,6 +1,7 @@
 """Chat formatting with tool calls: calls and results linked, ordered, validated and serialised.
 
-A call is a JSON object in <tool_call>...</tool_call> in an assistant's message: id, name, arguments.
+A call is a JSON object in <tool_call>...</tool_call> in an assistant's message: id, name, arguments. A
+block ends at its end tag, at the next block or with the text; one that is no JSON object is malformed.
 A result is a tool's message, a JSON object with tool_call_id and content. An argument "$id" stands for
 the result of another call of the conversation. All of it is DataFrame expressions; calls and results
 are first summed up for each identifier, so that the joins multiply no rows.
@@ -8,12 +9,12 @@ are first summed up for each identifier, so that the joins multiply no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
 
-CALL = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
+CALL = r"(?s)<tool_call>(.*?)(?:</tool_call>|(?=<tool_call>)|\z)"
 REFERENCE = r'"\$([A-Za-z0-9_.:-]+)"'
 #: Names of types in schemas, and what they are called of a variant.
 TYPES = {
@@ -36,30 +37,50 @@ def canonical(text: Column) -> Column:
 def _calls(turns: DataFrame) -> DataFrame:
     blocks = turns.where((F.col("role") == "assistant") & F.col("text").contains("<tool_call>"))
     blocks = blocks.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("step", "block"))
-    arguments = F.coalesce(F.get_json_object("block", "$.arguments"), F.lit("{}"))
+    # What is no JSON object has no parts.
+    whole = F.col("block").contains("{") & F.coalesce(F.schema_of_variant(F.try_parse_json("block")).startswith("OBJECT<"), F.lit(False))
+    blocks = blocks.withColumn("whole", whole)
+    part = lambda path: F.when(F.col("whole"), F.get_json_object("block", path))
+    arguments = F.when(F.col("whole"), F.coalesce(F.get_json_object("block", "$.arguments"), F.lit("{}")))
     return blocks.select(
-        "conv_id", "turn", (F.col("step") + 1).alias("step"), F.get_json_object("block", "$.id").alias("call_id"), F.get_json_object("block", "$.name").alias("name"), canonical(arguments).alias("arguments")
-    )
+        "conv_id", "turn", (F.col("step") + 1).alias("step"), part("$.id").alias("call_id"), part("$.name").alias("name"), canonical(arguments).alias("arguments"),
+        F.when(~F.col("whole"), F.col("block")).alias("bad"),
+    )
 
 
 def _levels(calls: DataFrame, ids: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls in topological order, level 0 first; those on or behind a cycle or a missing call have none."""
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("needs"))
-    edges = stored(edges.where("call_id IS NOT NULL").distinct())
-    nodes = ids.select("conv_id", "call_id")
-    if edges.isEmpty():
-        return nodes.withColumn("level", F.lit(0))
-    done = stored(nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    open_, level = edges, 0
-    while True:
-        level += 1
-        known = done.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("met"))
-        waits = open_.join(known, ["conv_id", "needs"], "left").groupBy("conv_id", "call_id").agg(F.bool_and(F.coalesce("met", F.lit(False))).alias("ready"))
-        fresh = stored(waits.where("ready").select("conv_id", "call_id", F.lit(level).alias("level")))
-        if fresh.isEmpty():
-            return done
-        done = stored(done.union(fresh))
-        open_ = stored(open_.join(fresh, ["conv_id", "call_id"], "left_anti"))
+    """(conv_id, call_id, level) of calls in topological order, level 0 first; those on or behind a cycle or a missing call have none.
+
+    A call's level is the greatest of max(b, level + w) over the calls it needs, at first with b and w of one.
+    In each round all calls that wait for one call alone are stepped over: who needs them needs that call
+    instead, with greater b and w. So a chain of n calls takes about log2 n rounds. Once as many rounds have
+    settled nothing, what is left waits for itself.
+    """
+    key = ["conv_id", "call_id"]
+    edges = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select(*key, F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("needs"))
+    one = F.lit(1).cast("long")
+    open_ = stored(edges.distinct().withColumns({"b": one, "w": one}))
+    nodes = ids.select(*key)
+    free = nodes.join(open_, key, "left_anti").select(*key, F.lit(0).cast("long").alias("level"), F.lit(False).alias("dead"))
+    missing = open_.select("conv_id", F.col("needs").alias("call_id")).distinct().join(nodes, key, "left_anti")
+    done = stored(free.union(missing.select(*key, F.lit(None).cast("long"), F.lit(True))))
+    left, idle = open_.count(), 0
+    while left and idle <= left.bit_length():
+        known = done.select("conv_id", F.col("call_id").alias("needs"), "level", F.col("dead").alias("gone"))
+        alone = open_.groupBy(*key).agg(F.count("*").alias("n"), F.max("needs").alias("to"), F.max("b").alias("to_b"), F.max("w").alias("to_w")).where("n = 1")
+        met = open_.join(known, ["conv_id", "needs"], "left").join(alone.select("conv_id", F.col("call_id").alias("needs"), "to", "to_b", "to_w"), ["conv_id", "needs"], "left")
+        over = F.col("gone").isNull() & F.col("to").isNotNull()
+        moved = stored(met.select(
+            *key, F.when(F.col("gone").isNull(), F.coalesce("to", "needs")).alias("needs"), F.greatest("b", F.col("level") + F.col("w")).alias("so_far"), F.col("gone"),
+            F.when(over, F.greatest("b", F.col("to_b") + F.col("w"))).otherwise(F.col("b")).alias("b"), F.when(over, F.col("w") + F.col("to_w")).otherwise(F.col("w")).alias("w"),
+        ))
+        facts = stored(moved.groupBy(*key).agg(F.max(F.when(F.col("gone") == F.lit(False), F.col("so_far"))).alias("level"), F.coalesce(F.bool_or("gone"), F.lit(False)).alias("dead"), F.count("needs").alias("waits")))
+        fresh = facts.where("dead OR waits = 0").select(*key, F.when(~F.col("dead"), F.col("level")).alias("level"), "dead")
+        still = facts.where("NOT dead AND waits > 0").select(*key, F.coalesce("level", F.lit(0)).alias("at_least"))
+        open_ = stored(moved.where("needs IS NOT NULL").join(still, key).groupBy(*key, "needs").agg(F.max(F.greatest("b", "at_least")).alias("b"), F.max("w").alias("w")))
+        idle = idle + 1 if fresh.isEmpty() else 0
+        done, left = done.union(fresh), open_.count()
+    return done.where("NOT dead").select(*key, F.col("level").cast("int"))
 
 
 def _problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -98,7 +119,7 @@ def format_chat(
     kind: message (step 0), call (steps from 1, in the order of its message) or result. level: of a call,
     how many calls its arguments need before it; a result has its call's; messages have 0; null if it waits
     for ever. partner: turn of the result or of the call. status: ok, or what is wrong, comma-joined:
-    no id, repeated id, no result, no call, result first, cycle (or a reference to no call), and problems
+    malformed (a block that is no JSON object; its json holds its text), no id, repeated id, no result, no call, result first, cycle (or a reference to no call), and problems
     with the schema, which has a row (name, parameter, type, required) for each parameter; without schemas
     arguments are not checked. json: the row in canonical JSON, keys sorted. Messages keep their whole
     text; a null text is an empty one. Null conversations or turns are kept, but nothing in a null
@@ -114,11 +135,11 @@ def format_chat(
     said = lambda *tests: F.concat_ws(", ", *[F.when(test, F.lit(word)) for test, word in tests])
     status = lambda text: F.when(text == "", F.lit("ok")).otherwise(text)
 
-    call = calls.join(ids, ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left").join(levels, ["conv_id", "call_id"], "left")
-    wrong = said((F.col("call_id").isNull(), "no id"), (F.col("n_calls") > 1, "repeated id"), (F.col("call_id").isNotNull() & F.col("result_turn").isNull(), "no result"), (F.col("result_turn") < F.col("turn"), "result first"), (F.col("level").isNull() & F.col("call_id").isNotNull(), "cycle"))
+    call = calls.withColumn("problems", F.when(F.col("bad").isNull(), F.col("problems")).otherwise(F.array(F.lit("malformed")))).join(ids, ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left").join(levels, ["conv_id", "call_id"], "left")
+    wrong = said((F.col("call_id").isNull() & F.col("bad").isNull(), "no id"), (F.col("n_calls") > 1, "repeated id"), (F.col("call_id").isNotNull() & F.col("result_turn").isNull(), "no result"), (F.col("result_turn") < F.col("turn"), "result first"), (F.col("level").isNull() & F.col("call_id").isNotNull(), "cycle"))
     call = call.select("conv_id", "turn", "step", F.lit("assistant").alias("role"), F.lit("call").alias("kind"), "call_id", "level", F.col("result_turn").alias("partner"),
         status(F.concat_ws(", ", F.nullif(wrong, F.lit("")), "problems")).alias("status"),
-        F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "name", F.lit("call").alias("type"))).alias("json"))
+        F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("bad").alias("text"), F.lit("call").alias("type"))).alias("json"))
     result = results.join(ids, ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left").join(levels, ["conv_id", "call_id"], "left")
     wrong = said((F.col("call_id").isNull(), "no id"), (F.col("n_results") > 1, "repeated id"), (F.col("call_id").isNotNull() & F.col("call_turn").isNull(), "no call"), (F.col("turn") < F.col("call_turn"), "result first"))
     content = F.coalesce(F.get_json_object("text", "$.content"), F.col("text"))
@@ -128,3 +149,29 @@ def format_chat(
         F.lit(None).cast(told.schema["turn"].dataType).alias("partner"), F.lit("ok").alias("status"),
         F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"))
     return message.union(call).union(result)
+
+
+def exchanges_as_calls(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, text), and calls and results that say who answers whom.
+
+    Each user turn is also a call of the tool `answer` by the assistant, with id t and the number of the
+    turn after it; its arguments are the question, its length and, from the third turn on, the answer two
+    turns before. Each assistant turn is also the result t and its own number. Null turns give neither.
+    """
+    at = lambda role: turns.where((F.col("role") == role) & F.col("turn").isNotNull())
+    id_of = lambda shift: F.concat(F.lit("t"), (F.col("turn") + shift).cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    previous = F.when(F.col("turn") >= 2, F.concat(F.lit("$"), id_of(-1)))
+    call = F.struct(F.struct(F.length(text).alias("chars"), previous.alias("previous"), text.alias("question")).alias("arguments"), id_of(1).alias("id"), F.lit("answer").alias("name"))
+    asked = F.concat(F.lit("<tool_call>"), F.to_json(call), F.lit("</tool_call>"))
+    told = F.to_json(F.struct(text.alias("content"), id_of(0).alias("tool_call_id")))
+    return (
+        turns.select("conv_id", "turn", "role", "text")
+        .union(at("user").select("conv_id", "turn", F.lit("assistant"), asked))
+        .union(at("assistant").select("conv_id", "turn", F.lit("tool"), told))
+    )
+
+
+def answer_schema(spark: SparkSession) -> DataFrame:
+    """The schema of the tool that exchanges_as_calls makes calls of."""
+    return spark.sql("SELECT * FROM VALUES ('answer', 'chars', 'integer', true), ('answer', 'previous', 'string', false), ('answer', 'question', 'string', true) AS t(name, parameter, type, required)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_chat
+from .chat import answer_schema, exchanges_as_calls, format_chat
 from .common import table
 from .decontaminate import find_benchmark_leaks
 from .language import fit_language_model, identify_languages
@@ -56,8 +56,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = format_chat(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "step", "role", "kind", "level", "status", "json")
+    """The table has no tool calls of its own: each question becomes a call whose result is its answer."""
+    out = format_chat(exchanges_as_calls(table(spark, sf_dir, "conversations")), answer_schema(spark))
+    return out.select("conv_id", "turn", "step", "role", "kind", "call_id", "level", "partner", "status", "json")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +91,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secrets, op3_licenses, op4_quality, op5_chat, op6_simhash, op7_line_dedup, op8_language_id, op9_mixing, op10_decontaminate)}
 
 ORACLE = {
-    # The conversations hold no tool calls or results, so their messages are all there is.
     "op5_chat": r"""
-SELECT conv_id, turn, 0::INTEGER AS step, role, 'message' AS kind, 0::INTEGER AS level, 'ok' AS status,
-       CAST(json_object('content', coalesce(text, ''), 'role', role) AS VARCHAR) AS json
-FROM conversations
+WITH RECURSIVE c AS (SELECT conv_id, turn, 't' || (turn + 1) AS id, CASE WHEN turn >= 2 THEN 't' || (turn - 1) END AS needs, coalesce(text, '') AS text
+                     FROM conversations WHERE role = 'user' AND turn IS NOT NULL),
+r AS (SELECT conv_id, turn, 't' || turn AS id, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL),
+ci AS (SELECT conv_id, id, min(turn) AS turn, count(*) AS n FROM c WHERE conv_id IS NOT NULL GROUP BY conv_id, id),
+ri AS (SELECT conv_id, id, min(turn) AS turn, count(*) AS n FROM r WHERE conv_id IS NOT NULL GROUP BY conv_id, id),
+e AS (SELECT DISTINCT conv_id, id, needs FROM c WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, id, 0 AS level FROM e WHERE needs IS NULL UNION ALL SELECT e.conv_id, e.id, l.level + 1 FROM e JOIN l ON e.conv_id = l.conv_id AND e.needs = l.id),
+j AS (SELECT *, CASE WHEN needs IS NULL THEN json_object('chars', length(text), 'question', text)
+                     ELSE json_object('chars', length(text), 'previous', '$' || needs, 'question', text) END AS arguments FROM c),
+m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT conv_id, turn, 'assistant', '<tool_call>' || json_object('arguments', arguments, 'id', id, 'name', 'answer') || '</tool_call>' FROM j)
+SELECT conv_id, turn, 0::INTEGER AS step, role, 'message' AS kind, NULL::VARCHAR AS call_id, 0::INTEGER AS level, NULL::BIGINT AS partner, 'ok' AS status,
+       CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json FROM m
+UNION ALL
+SELECT j.conv_id, j.turn, 1, 'assistant', 'call', j.id, l.level, ri.turn,
+       coalesce(nullif(concat_ws(', ', CASE WHEN ci.n > 1 THEN 'repeated id' END, CASE WHEN ri.turn IS NULL THEN 'no result' END, CASE WHEN ri.turn < j.turn THEN 'result first' END,
+                                 CASE WHEN l.level IS NULL THEN 'cycle' END), ''), 'ok'),
+       CAST(json_object('arguments', arguments, 'id', j.id, 'name', 'answer', 'type', 'call') AS VARCHAR)
+FROM j LEFT JOIN ci USING (conv_id, id) LEFT JOIN ri USING (conv_id, id) LEFT JOIN l USING (conv_id, id)
+UNION ALL
+SELECT r.conv_id, r.turn, 0, 'tool', 'result', r.id, l.level, ci.turn,
+       coalesce(nullif(concat_ws(', ', CASE WHEN ri.n > 1 THEN 'repeated id' END, CASE WHEN ci.turn IS NULL THEN 'no call' END, CASE WHEN r.turn < ci.turn THEN 'result first' END), ''), 'ok'),
+       CAST(json_object('call', r.id, 'content', r.text, 'type', 'result') AS VARCHAR)
+FROM r LEFT JOIN ci USING (conv_id, id) LEFT JOIN ri USING (conv_id, id) LEFT JOIN l USING (conv_id, id)
 """,
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
