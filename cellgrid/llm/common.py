@@ -31,11 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/cellgrid-{uuid.uuid4().hex}"
+def stored(df: DataFrame, release: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends here. The files go when the session's driver ends.
+
+    release: the shuffle files behind it go at once. Nothing refers to them any more, but Spark removes what
+    nothing refers to only when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cellgrid-scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if release:
+        spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes tables that stored has written and that nothing will read again."""
+    for df in dfs:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -65,19 +65,87 @@ def rows(df, key="doc_id"):
 
 def test_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(1)
-    for _ in range(100):
-        n, least = int(rng.integers(1, 80)), int(rng.integers(1, 15))
-        v = rng.integers(0, 1 << 62, n, dtype=np.uint64) << np.uint64(1)
+    for _ in range(60):
+        n, least, reach = int(rng.integers(1, 80)), int(rng.integers(1, 15)), int(rng.integers(1, 10))
+        reach = min(reach, least)
+        values = rng.integers(0, 1 << 62, (3, n), dtype=np.uint64) << np.uint64(1)
         want = []
-        for i in range(n):
-            a = b = i
-            while a > 0 and v[a - 1] > v[i]:
-                a -= 1
-            while b < n - 1 and v[b + 1] >= v[i]:
-                b += 1
-            if b - a + 1 >= least:
-                want.append((i, a, b))
-        assert sorted(zip(*[x.tolist() for x in substring_dedup.compact_windows(v, least)])) == want
+        for k, v in enumerate(values.tolist()):
+            for i in range(n):
+                a = b = i
+                while a > 0 and v[a - 1] > v[i]:
+                    a -= 1
+                while b < n - 1 and v[b + 1] >= v[i]:
+                    b += 1
+                if b - a + 1 >= least:
+                    beside = [min(x, default=(1 << 64) - 1) >> 32 for x in (v[max(0, i - reach) : i], v[i + 1 : i + 1 + reach])]
+                    want.append((k, i, a, b, *beside))
+        assert sorted(zip(*[x.tolist() for x in substring_dedup.compact_windows(values, least, reach)])) == sorted(want)
+
+
+def test_shingle_hashes_tell_words_apart():
+    powers = substring_dedup.Powers()
+    hashes = lambda t, w=1: substring_dedup.shingle_hashes(t, w, powers).tolist()
+    words = [b"a", b"b", b"ab", b"ba", b"aa", b"aaa", b"\xc3\xa9", b"x" * 5000, b"x" * 5001]
+    assert len(set(sum(map(hashes, words), []))) == len(words)
+    assert hashes(b" A\tb\n", 2) == hashes(b"a B", 2) and hashes(b"") == hashes(None) == hashes(b" \n") == hashes(b"a", 2) == []
+    assert hashes(b"one two three", 2)[1:] == hashes(b"TWO three", 2)
+
+
+def near_pairs(rng, count, phrase=()):
+    """Pairs of documents that share passages of 51 to 120 words, Jaccard similarity at least 0.8, changed, put in or left out anywhere."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    words = lambda n: [word() for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    docs = []
+    while len(docs) < 2 * count:
+        one = words(rng.randint(51, 120))
+        if phrase:
+            at = rng.randrange(5, len(one) - len(phrase) - 5)
+            one[at : at + len(phrase)] = phrase
+        two = list(one)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(two))
+            two[at : at + rng.randint(0, 1)] = words(rng.randint(0, 1))
+        x, y = shingles(one), shingles(two)
+        if len(two) >= 51 and len(x & y) >= 0.8 * len(x | y):
+            docs += [words(rng.randint(0, 60)) + p + words(rng.randint(0, 60)) for p in (one, two)]
+    return [" ".join(d) for d in docs]
+
+
+def test_stretches_with_edits_are_similar():
+    rng, powers = random.Random(21), substring_dedup.Powers()
+    docs = [substring_dedup.shingle_hashes(d.encode(), 5, powers) for d in near_pairs(rng, 300)]
+    found = 0
+    for a, b in zip(docs[::2], docs[1::2], strict=True):
+        got = substring_dedup.shared_passages(a, b, 47, 0.8)
+        for i, j, k, m in got:
+            x, y = set(a[i:j].tolist()), set(b[k:m].tolist())
+            assert min(j - i, m - k) >= 47 and len(x & y) >= 0.8 * len(x | y)
+        found += bool(got)
+    assert found >= 295
+
+
+@pytest.mark.parametrize("phrase", [0, 8, 28])
+def test_passages_with_edits_are_found(spark, phrase):
+    """Also where all of them hold one phrase, and ids that say nothing of who belongs to whom."""
+    rng = random.Random(22 + phrase)
+    docs = near_pairs(rng, 100, ["common" + str(i) for i in range(phrase)])
+    ids = list(range(len(docs)))
+    rng.shuffle(ids)
+    got = {r.doc_id: r.class_id for r in substring_dedup.passage_classes(table(spark, list(zip(ids, docs, strict=True)))).collect()}
+    same = sum(got.get(a, -1) == got.get(b, -2) for a, b in zip(ids[::2], ids[1::2], strict=True))
+    assert same >= 95
+
+
+def test_rows_of_one_id_are_all_compared(spark):
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    one, two, three = words(60), words(60), words(60)
+    docs = [(1, one), (1, two), (1, two), (2, f"{words(20)} {one}"), (3, f"{two} {words(20)}"), (4, three), (4, three)]
+    for order in (docs, docs[::-1]):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in substring_dedup.passage_classes(table(spark, order)).collect()}
+        assert got == {1: (1, 2), 2: (1, 1), 3: (1, 1)}
 
 
 def test_passages_are_found(spark, corpus):
@@ -136,7 +204,9 @@ def test_passages_edge(spark, edge):
 
 def brute_secrets(t):
     t = t or ""
-    found = [(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 6]
+    name = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    name = "".join(f"[{c}{c.upper()}]" if k < name.index(")") and c.islower() else c for k, c in enumerate(name))
+    found = [(m.start(), 0, m.end()) for m in re.finditer(name, t) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
     return sorted(found)
@@ -167,6 +237,16 @@ def test_long_novel_strings_are_whole(spark):
     assert span.value.startswith(long[0])
 
 
+def test_secrets_in_long_texts(spark):
+    """Many fixed spans beside many candidates: searched, not looked through."""
+    rng = random.Random(5)
+    one = lambda: "token=" + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(20)) + " and "
+    text = "".join(one() for _ in range(20_000)) + "the private key is zQ9xW7vB2nM4kL8pR5tY1"
+    spans = secrets.find_secrets(table(spark, [(1, text)])).first().spans
+    assert [(s.start, s.end) for s in spans if s.kind == "assign"] == [(s, e) for s, k, e in brute_secrets(text) if k == 0]
+    assert spans[-1].value == "zQ9xW7vB2nM4kL8pR5tY1"
+
+
 # 3
 
 
@@ -188,6 +268,35 @@ def test_templates_with_changed_words(spark):
     assert got == {1: {label}, 2: set(), 3: set()}
 
 
+def test_templates_with_words_put_in_and_left_out(spark):
+    rng = random.Random(9)
+    docs, want = [], {}
+    for k, (label, text, keys) in enumerate(licenses.TEMPLATES):
+        w, fixed = text.split(), {x for key in keys for x in key.split()}
+        free = [i for i in range(len(w)) if w[i] not in fixed]
+        changed = list(w)
+        for i in sorted(rng.sample(free, min(len(free), len(w) // 10)), reverse=True):
+            changed[i : i + 1] = rng.choice([[], [w[i], "really"], ["other"]])
+        noise = [rng.choice(w) for _ in range(40)]
+        docs += [(k, " ".join(["start", *changed, "end"])), (100 + k, " ".join(noise + changed + noise))]
+        want |= {k: label, 100 + k: label}
+    got = {r.doc_id: {p.label for p in r.places if not p.exact} for r in licenses.find_licences(table(spark, docs)).collect()}
+    assert all(want[k] in got[k] for k in want)
+    assert all(got[k] <= {want[k], "gpl", "lgpl", "agpl", "mit", "cc-by", "cc-by-sa"} for k in want)
+
+
+def test_common_length_is_brute_force():
+    rng = random.Random(10)
+    for _ in range(100):
+        a, b = ([rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(1, 70))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        assert licenses.common_length(tuple(a), b) == row[-1]
+
+
 # 4
 
 
@@ -215,6 +324,40 @@ def test_quality_keeps_clean_and_drops_odd(spark, corpus):
     assert all(got[i] for i, _ in docs) and not any(got[i] for i, _ in odd)
 
 
+def test_estimates_have_the_least_determinant(spark):
+    """Against the best of many random starts, each concentrated until it settles."""
+    rng = np.random.default_rng(3)
+    names = list(quality.FEATURES)
+    p, share = len(names), 0.75
+    scale = share / quality.chi2_cdf(quality.chi2_quantile(share, p), p + 2)
+    floors = np.diag(np.array(list(quality.FEATURES.values())) ** 2)
+    groups, rows = {}, []
+    for g, (n, odd) in enumerate([(400, 0.0), (400, 0.2), (300, 0.1)]):
+        mix = rng.normal(size=(p, p))
+        x = rng.normal(size=(n, p)) @ mix + rng.normal(size=p)
+        x[: int(odd * n)] += rng.choice([-1, 1], p) * 8
+        groups[f"g{g}"] = x
+        rows += [(0, f"g{g}", None, *map(float, r)) for r in x]
+    df = spark.createDataFrame(rows, "level int, a string, b string, " + ", ".join(f"{c} double" for c in names))
+    got = {r.a: r for r in quality.mcd_estimates(df, share, 20).collect()}
+    for g, x in groups.items():
+        def settled(idx, x=x):
+            for _ in range(50):
+                centre, cov = x[idx].mean(0), np.cov(x[idx].T, bias=True) * scale + floors
+                d2 = np.einsum("ij,ij->i", (x - centre) @ np.linalg.inv(cov), x - centre)
+                new = np.sort(np.argsort(d2, kind="stable")[: int(share * len(x))])
+                if np.array_equal(new, idx):
+                    break
+                idx = new
+            return np.linalg.slogdet(cov)[1], centre, cov
+        _, centre, cov = min((settled(np.sort(rng.choice(len(x), p + 1, False))) for _ in range(60)), key=lambda r: r[0])
+        d2 = np.einsum("ij,ij->i", (x - centre) @ np.linalg.inv(cov), x - centre)
+        near = x[d2 <= quality.chi2_quantile(0.975, p)]
+        cov = np.cov(near.T, bias=True) * 0.975 / quality.chi2_cdf(quality.chi2_quantile(0.975, p), p + 2) + floors
+        assert got[g].det == pytest.approx(np.linalg.slogdet(cov)[1], abs=0.15)
+        assert [got[g][f"c_{i}"] for i in range(p)] == pytest.approx(near.mean(0).tolist(), abs=0.15 * np.sqrt(np.diag(cov)).max())
+
+
 def test_quality_edge(spark, edge):
     got = quality.rate_quality(edge)
     assert got.count() == edge.count() and not got.where("kept").count()
@@ -250,6 +393,35 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_with_malformed_blocks(spark):
+    good = '<tool_call>{"id":"b","name":"x","arguments":{}}</tool_call>'
+    turns = [(1, 0, "assistant", '<tool_call>{"id":"a","name":"x"</tool_call> and ' + good), (1, 1, "tool", '{"tool_call_id":"b","content":"ok"}'), (2, 0, "assistant", "<tool_call>no object</tool_call><tool_call>[1]</tool_call>"), (3, 0, "assistant", good[:-12] + good[:-12])]
+    got = {(r.conv_id, r.turn, r.step): r for r in chat.format_chat(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).where("kind <> 'message'").collect()}
+    assert got[1, 0, 1].status == got[2, 0, 1].status == got[2, 0, 2].status == "malformed" and got[1, 0, 1].call_id is None
+    assert json.loads(got[1, 0, 1].json) == {"type": "call", "text": '{"id":"a","name":"x"'}
+    assert got[1, 0, 2].status == "ok" and got[1, 0, 2].partner == 1 and got[1, 1, 0].status == "ok"
+    assert got[3, 0, 1].status == got[3, 0, 2].status == "repeated id, no result" and len(got) == 7
+
+
+def test_levels_are_brute_force(spark):
+    """Long chains, branches, cycles, what waits for them, and calls of nobody."""
+    rng = random.Random(6)
+    needs = {}
+    for conv in range(12):
+        for k in range(60):
+            needs[conv, f"c{k}"] = {f"c{j}" for j in ([k - 1] if conv == 0 else rng.sample(range(k), min(k, rng.choice([0, 1, 1, 2, 3]))))if j >= 0}
+        if conv > 2:
+            needs[conv, "c5"] = {rng.choice(["c5", "c9", "gone"])}
+    turns = [(conv, k, "assistant", "<tool_call>" + json.dumps({"id": c, "name": "f", "arguments": {"x": [f"${n}" for n in sorted(need)]}}) + "</tool_call>") for k, ((conv, c), need) in enumerate(needs.items())]
+    level = {}
+    for _ in range(70):
+        for (conv, c), need in needs.items():
+            if all((conv, n) in level for n in need):
+                level[conv, c] = max((level[conv, n] + 1 for n in need), default=0)
+    got = {(r.conv_id, r.call_id): r.level for r in chat.format_chat(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()}
+    assert got == {x: level.get(x) for x in needs}
+
+
 # 6
 
 
@@ -408,6 +580,50 @@ def test_language_uses_declarations_where_text_is_silent(spark):
     assert not got[1001].kept and not got[1002].kept and got[0].kept
 
 
+def test_language_is_brute_force(spark):
+    """Every part of the posterior by hand, from the model's likelihoods on."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit_language_model(docs, sample=400)
+    rng = random.Random(7)
+    texts = [(r.lang, r.text) for r in docs.limit(150).collect()]
+    pages = []
+    for i, (c, t) in enumerate(texts):
+        host = rng.choice([f"www.site{c}.example.{c}", f"a{rng.randrange(3)}.shared.com", f"own{i}.net"])
+        pages.append((i, rng.choice([f'<html lang="{c}-XX">', "<html>", f'<html data-lang="{c}">']) + f"<p>{' '.join(t.split()[: rng.choice([0, 2, 5, 50])])}</p></html>", f"https://{host}/{rng.choice([c, 'x', 'en'])}/p"))
+    got = {r.doc_id: r for r in language.identify_languages(spark.createDataFrame(pages, "doc_id long, text string, url string"), model, url_col="url", pages=True).collect()}
+    size, seen = len(model.languages), []
+    for i, t, url in pages:
+        at = language.trigrams(language.visible_text(t))
+        ll = model.logs[at].astype(float).sum(0) * min(1, 60 / len(at)) if len(at) else np.zeros(size)
+        own = np.exp(ll - ll.max()) if len(at) else np.zeros(size)
+        host = url.split("/")[2]
+        declared = re.search(r'<html lang="(\w\w)', t)
+        first = re.match(r"([a-z]{2})$", url.split("/")[3])
+        seen.append((i, ll, own / max(own.sum(), 1e-300), declared and declared[1], first[1] if first else host.rsplit(".", 1)[1], host, ".".join(host.split(".")[-2:]), len(at)))
+    add = lambda k, v: sum((x[2] for x in seen if x[k] == v), np.zeros(size))
+    base = sum(x[2] for x in seen) + 1
+    base = base / base.sum()
+    for i, ll, own, declared, suffix, host, domain, n in seen:
+        smooth = lambda counts, up: (np.maximum(counts, 0) + 8 * up) / (np.maximum(counts, 0).sum() + 8)
+        total = ll + (np.log(smooth(add(5, host) - own, smooth(add(6, domain) - own, base))) if any(x[5] == host and x[7] for x in seen) else np.log(base))
+        for k, v in ((3, declared), (4, suffix)):
+            kinds = {x[k] for x in seen if x[7] and x[k]}
+            if v in kinds:
+                total = total + np.log((add(k, v) + 0.5) / (sum(x[2] for x in seen if x[k] in kinds) + 0.5 * (len(kinds) + 1)))
+        p = np.exp(total - total.max())
+        assert got[i].probability == pytest.approx(1 / p.sum(), rel=1e-6) and got[i].lang == model.languages[int(np.argmax(total))]
+        assert (got[i].declared, got[i].suffix, got[i].host) == (declared, suffix, host) and got[i].kept == (n > 0 and 1 / p.sum() >= 0.5)
+
+
+def test_what_a_page_shows():
+    show = lambda x: " ".join(language.visible_text(x).split())
+    assert show("a<b>c</b>d &amp; e") == "a c d & e" and show("x<!-- <p>no --> y") == "x y" and show("") == ""
+    assert show("<SCRIPT>no</script >yes<style>no</style><nav a=1>no<b></nav>!<head>no</head>") == "yes !" and show("<header>yes</header>") == "yes"
+    assert show("<nav>open <b>yes") == "open yes" and show("<!-- open <b>yes") == "yes" and show("1 < 2") == "1 < 2"
+    for part in ("<nav>", "<a ", "<!--", "</nav ", "<script ", "x"):  # a page of megabytes takes no longer than in proportion
+        language.visible_text(part * 400_000)
+
+
 def test_language_edge(spark, edge):
     model = language.fit_language_model(edge.where("text IS NOT NULL"))
     assert language.identify_languages(edge, model, declared_col="lang", host_col="source").count() == edge.count()
@@ -462,6 +678,18 @@ def test_mix_takes_a_source_whose_budget_is_its_size(spark):
     assert got[["source_size", "target"]].round(2).drop_duplicates().sort_values("target").values.tolist() == [[100, 99.67], [199, 199.33]]
 
 
+def test_mix_of_small_sources_is_the_sql(spark):
+    con, rng = duckdb.connect(), random.Random(13)
+    for _ in range(6):
+        rows = [(i, " ".join(["w"] * rng.choice([0, 1, 1, 2, 7, 40])), rng.choice(["a", "b", "c", "d", "e", "f", "g", None][: rng.randint(1, 8)])) for i in range(rng.choice([1, 5, 30, 80]))]
+        rows += rows[: rng.randint(0, 3)] + [(None, None, "a"), (1, None, None), (2, "one", "lonely")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        documents = df.toPandas()  # noqa: F841
+        want = con.sql(queries.ORACLE["op9_mixing"].replace("FROM documents", "FROM (SELECT doc_id::DOUBLE::BIGINT AS doc_id, text, source FROM documents)")).fetchall()
+        got = mixing.mix_sources(df).select("doc_id", "size", "source_size", "target", "taken").collect()
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
 def test_mix_edge(spark, edge):
     assert mixing.mix_sources(edge).count() == edge.count() and mixing.mix_sources(edge.limit(0)).count() == 0
     assert mixing.mix_sources(table(spark, [(1, ""), (2, None)])).agg(F.sum("taken")).first()[0] == 0
@@ -492,6 +720,14 @@ def test_leaks_among_variants(spark):
         assert sorted(map(tuple, got)) == [(1, 1, 1.0, 1.0), (2, 1, 1.0, 1.0)]
 
 
+def test_short_items_stand_in_longer_documents(spark):
+    items = [(1, "What is entropy?"), (2, "entropy"), (3, "add 5 apples")]
+    docs = [(1, "they asked: what is Entropy, and why"), (2, "what is 7"), (3, "please add 5 apples to the box"), (4, "please add 6 apples to the box"), (5, "Add 7 apples"), (6, "entropy")]
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        got = decontaminate.find_benchmark_leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=limit).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (1, 2), (3, 3), (5, 3), (6, 2)}
+
+
 def test_leak_paths_agree(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     one, two = (sorted(decontaminate.find_benchmark_leaks(docs, bench, broadcast_windows=n).collect()) for n in (10**9, 0))
@@ -523,8 +759,16 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
-def test_query_runs(spark, sf_dir, name):
-    assert queries.QUERIES[name](spark, sf_dir).count() >= 0
+def test_query_has_its_rows(spark, sf_dir, name):
+    """All documents, or for searches some of them, each once for each match."""
+    got = queries.QUERIES[name](spark, sf_dir).toPandas()
+    n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "pages")}
+    if name == "op1_substring_dedup":
+        assert 0 < len(got) < n["documents"] and got.doc_id.is_unique and (got.class_id <= got.doc_id).all() and (got.n_links > 0).all()
+    elif name == "op10_decontaminate":
+        assert 0 < got.doc_id.nunique() < n["documents"] and not got.duplicated(["doc_id", "item_id"]).any() and (got[["share", "consistency"]] >= 0.8).all(axis=None)
+    else:
+        assert len(got) == n["documents"] + n["pages"] * (name == "op8_language_id") and got.doc_id.is_unique
 
 
 def test_query_digests(spark, sf_dir):
@@ -553,10 +797,58 @@ def test_pipeline_stages(spark, sf_dir):
     assert p.run(spark, sf_dir).count() == docs.count()
 
 
+def test_pipeline_stages_are_brute_force(spark, sf_dir):
+    """What stays after each stage, from the stage before it, with repeated and null ids among the rows."""
+    import corpus_pipeline as p
+
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in p.table(spark, sf_dir, "documents").collect()]
+    rows += [(None, *r[1:]) for r in rows[:3]] + [(rows[5][0], *rows[6][1:]), rows[7], (None, None, None, None, None), (900, "1 2 3", "en", "s", 5), (901, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("doc_id", "text", "lang", "source")
+    held = lambda df: Counter(tuple(r[c] for c in names) for r in df.collect())
+
+    out = p.stored(p.language_id(spark, docs, sf_dir))
+    kept = language.identify_languages(docs.withColumn("doc_id", F.struct(*names)), language.fit_language_model(docs), declared_col="lang", host_col="source")
+    assert held(out) == Counter(tuple(r.doc_id) for r in kept.where("kept").collect())
+    assert not any(not re.search(r"[^\W\d_]", r[1] or "") for r in held(out))
+
+    before, out = out, p.stored(p.line_dedup(spark, out, sf_dir))
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    texts = list(held(before).elements())
+    n = Counter(k for r in texts for k in {key(x) for x in r[1].split("\n")})
+    assert held(out) == Counter((r[0], "\n".join(x for x in r[1].split("\n") if not (key(x) and n[key(x)] >= 10)), *r[2:]) for r in texts)
+    assert out.where("n_chars <> length(text)").isEmpty()
+
+    before, out = out, p.stored(p.near_dedup(spark, out, sf_dir))
+    rows = sorted(held(before).elements(), key=str)
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    sets = [shingles(r[1]) for r in rows]
+    root = union_find(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    groups = defaultdict(list)
+    for r, g in zip(rows, root, strict=True):
+        groups[g].append(r)
+    least = lambda rs: min((r[0] is None, r[0] or 0) for r in rs)
+    stays = list(held(out).elements())
+    assert len(stays) == len(groups) and all(sum(s in rs for s in set(stays)) == 1 for rs in groups.values())
+    assert sorted((s[0] is None, s[0] or 0) for s in stays) == sorted(map(least, groups.values()))
+
+    before, out = out, p.stored(p.decontaminate(spark, out, sf_dir))
+    found = decontaminate.find_benchmark_leaks(before.withColumn("doc_id", F.struct(*names)), p.table(spark, sf_dir, "benchmark"))
+    assert held(out) == held(before) - Counter({tuple(r.doc_id): 10**6 for r in found.collect()})
+
+    mixed = p.stored(p.mix(spark, out, sf_dir))
+    taken = mixing.mix_sources(out, keep=names)
+    assert Counter(tuple(r[c] for c in (*names, "copies")) for r in mixed.collect()) == Counter(tuple(r[c] for c in (*names, "copies")) for r in taken.where("copies > 0").collect())
+
+
 def test_pipeline_edge(spark, edge, sf_dir):
     import corpus_pipeline as p
 
-    for docs in (edge.select("doc_id", "text", "lang", "source", "n_chars"), edge.select("doc_id", "text", "lang", "source", "n_chars").limit(0)):
+    given = edge.select("doc_id", "text", "lang", "source", "n_chars")
+    bare = given.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")})
+    for docs in (given, bare, given.limit(0)):
         for _, stage in p.STAGES:
             docs = p.stored(stage(spark, docs, sf_dir))
 
