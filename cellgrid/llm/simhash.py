@@ -350,12 +350,12 @@ def near_duplicate_groups(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(high), pa.array(low), pa.array(made, pa.list_(pa.int64()))], ["id", "wh", "wl", "fps"])
 
     made = stored(given.mapInArrow(run, "id long, wh long, wl long, fps array<long>"))
-    nodes = stored(made.where(F.col("id").isNotNull()).groupBy("wh", "wl").agg(F.min("id").alias("rep"), F.min("fps").alias("fps")))
+    nodes = stored(made.where(F.col("id").isNotNull()).groupBy("wh", "wl").agg(F.min("id").alias("rep"), F.min("fps").alias("fps")), release=True)
     each = nodes.select("rep", F.posexplode("fps").alias("lane", "fp"))
     # One of those with equal lanes stands for them, another in each lane.
-    first = stored(each.groupBy("lane", "fp").agg(F.min(F.struct(F.xxhash64("lane", "rep").alias("h"), "rep"))["rep"].alias("first"), F.count("*").alias("n")))
+    first = stored(each.groupBy("lane", "fp").agg(F.min(F.struct(F.xxhash64("lane", "rep").alias("h"), "rep"))["rep"].alias("first"), F.count("*").alias("n")), release=True)
     equal = each.join(stored(first.where("n > 1").drop("n")), ["lane", "fp"]).where(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    close = stored(fingerprint_links(first.select("lane", "fp", F.col("first").alias("rep")), budget, LANE_BLOCK, partners=True))
+    close = stored(fingerprint_links(first.select("lane", "fp", F.col("first").alias("rep")), budget, LANE_BLOCK, partners=True), release=True)
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = equal.union(close.select("a", "b")).where("a <> b").select(*ordered).distinct()
     # All lanes together tell how similar two documents can be; what is far off is not compared in full.
@@ -380,7 +380,7 @@ def near_duplicate_groups(
         # A node's text is that of its smallest id; of rows that share an id any may stand for it.
         held = stored(given.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, sh binary"))
         both = likely.join(held.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
-        return stored(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"))
+        return stored(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"), release=True)
 
     links = similar(pairs)
     groups = connected_components(links)
