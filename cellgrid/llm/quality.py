@@ -1,9 +1,11 @@
 """Quality rules: counts of words, symbols and repeats, and robust multivariate outliers among them.
 
 All of it is DataFrame expressions. For each language and source (languages, then everything, stand in
-for small groups) a minimum-covariance-determinant estimate of the transformed counts is refined by
-concentration steps: distances, the share of rows closest to the centre, their mean and covariance.
-A document whose Mahalanobis distance from its group's centre is beyond the cut-off is rejected.
+for small groups) a minimum-covariance-determinant estimate of the transformed counts starts from several
+robust scatters; each is refined by concentration steps (distances, the share of rows closest to the
+centre, their mean and covariance) until its determinant no longer falls, the least determinant is
+chosen and the estimate taken again from all rows near it. A document whose Mahalanobis distance from
+its group's centre is beyond the cut-off is rejected.
 """
 
 from __future__ import annotations
@@ -113,55 +115,117 @@ def _distance() -> Column:
     return total
 
 
-def _estimate(core: DataFrame, scale: float) -> DataFrame:
-    """(level, a, b, c_i, l_i_j): centre and Cholesky factor of each group's scaled covariance plus the least variances."""
-    names, floors = list(FEATURES), list(FEATURES.values())
-    p = len(names)
-    cells = [F.covar_samp(names[i], names[j]).alias(f"v_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    got = core.groupBy("level", "a", "b").agg(*[F.avg(x).alias(f"c_{i}") for i, x in enumerate(names)], *cells)
+GROUP = ("level", "a", "b")
+
+
+def _factor(got: DataFrame, scale: float) -> DataFrame:
+    """got with the Cholesky factor l_i_j of the covariances v_i_j, scaled and with the least variances added, in their place, and its log determinant."""
+    floors = list(FEATURES.values())
+    p = len(floors)
     for i in range(p):  # one column after the other, each from those before it
         for j in range(i + 1):
             v = F.coalesce(F.col(f"v_{i}_{j}"), F.lit(0.0)) * scale + (floors[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             got = got.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(v, F.lit(floors[i] ** 2))) if i == j else v / F.col(f"l_{j}_{j}"))
-    return stored(got.drop(*[f"v_{i}_{j}" for i in range(p) for j in range(i + 1)]))
+    det = sum((F.log(f"l_{i}_{i}") for i in range(1, p)), F.log("l_0_0"))
+    return got.withColumn("det", 2 * det).drop(*[f"v_{i}_{j}" for i in range(p) for j in range(i + 1)])
+
+
+def _scatter(core: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, the centre c_i and the covariances v_i_j of the features, divided by the number of rows."""
+    names = list(FEATURES)
+    cells = [F.covar_pop(names[i], names[j]).alias(f"v_{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
+    return core.groupBy(*by).agg(*[F.avg(x).alias(f"c_{i}") for i, x in enumerate(names)], *cells)
+
+
+def _starts(z: DataFrame) -> DataFrame:
+    """(start, GROUP, c_i, l_i_j, det): for each group three scatters from its standardised features z_i with centre c_i and scale d_i.
+
+    Start 0 is the scales alone; 1 has the correlations of the features' hyperbolic tangents, 2 those of
+    their directions from the centre.
+    """
+    p = len(FEATURES)
+    length = F.sqrt(sum((F.col(f"z_{i}") ** 2 for i in range(1, p)), F.col("z_0") ** 2))
+    soft = z.withColumns({f"t_{i}": F.tanh(f"z_{i}") for i in range(p)} | {f"u_{i}": F.when(length > 0, F.col(f"z_{i}") / length).otherwise(F.lit(0.0)) for i in range(p)})
+    cells = [(x, i, j) for x in "tu" for i in range(p) for j in range(i + 1)]
+    got = stored(soft.groupBy(*GROUP).agg(
+        *[F.first(f"{x}_{i}").alias(f"{x}_{i}") for x in "cd" for i in range(p)], *[F.avg(F.col(f"{x}_{i}") * F.col(f"{x}_{j}")).alias(f"{x}{x}_{i}_{j}") for x, i, j in cells]
+    ))
+    made = []
+    for start, x in enumerate(("", "t", "u")):
+        def cell(i: int, j: int, x: str = x) -> Column:
+            if not x:
+                return F.col(f"d_{i}") ** 2 if i == j else F.lit(0.0)
+            both = F.sqrt(F.col(f"{x}{x}_{i}_{i}") * F.col(f"{x}{x}_{j}_{j}"))
+            return F.when(both > 0, F.col(f"{x}{x}_{i}_{j}") / both).otherwise(F.lit(float(i == j))) * F.col(f"d_{i}") * F.col(f"d_{j}")
+
+        made.append(got.select(F.lit(start).alias("start"), *GROUP, *[f"c_{i}" for i in range(p)], *[cell(i, j).alias(f"v_{i}_{j}") for i in range(p) for j in range(i + 1)]))
+    return _factor(made[0].union(made[1]).union(made[2]), 1.0)
+
+
+def mcd_estimates(rows: DataFrame, core_share: float, steps: int, few: bool = True) -> DataFrame:
+    """(GROUP, c_i, l_i_j, det): the minimum-covariance-determinant estimate of each group of rows (GROUP and the features).
+
+    few: the groups' facts may be broadcast. The core of a start is the share core_share of its rows nearest to it; a start takes
+    at most `steps` concentration steps, and none once its determinant no longer falls. The least determinant
+    wins, of equals the first start. The rows within the 97.5 % quantile of the winner make the estimate.
+    """
+    p, names = len(FEATURES), list(FEATURES)
+    scale = core_share / chi2_cdf(chi2_quantile(core_share, p), p + 2)
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnsRenamed({"level": "r_level", "a": "r_a", "b": "r_b"})
+        on = (F.col("level") == F.col("r_level")) & F.col("a").eqNullSafe(F.col("r_a")) & F.col("b").eqNullSafe(F.col("r_b"))
+        return left.join(F.broadcast(right) if few else right, on).drop("r_level", "r_a", "r_b")
+
+    middles = stored(rows.groupBy(*GROUP).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"c_{i}") for i, x in enumerate(names)]))
+    spread = meet(rows, middles).groupBy(*GROUP).agg(
+        *[F.first(f"c_{i}").alias(f"c_{i}") for i in range(p)],
+        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{i}")), 0.5, 1000).alias(f"d_{i}") for i, x in enumerate(names)],
+    )
+    spread = stored(spread.withColumns({f"d_{i}": F.sqrt((F.col(f"d_{i}") * 1.4826) ** 2 + f**2) for i, f in enumerate(FEATURES.values())}))
+    z = meet(rows, spread).withColumns({f"z_{i}": (F.col(x) - F.col(f"c_{i}")) / F.col(f"d_{i}") for i, x in enumerate(names)})
+    now = stored(_starts(z).withColumn("falls", F.lit(True)))
+    key = ("start", *GROUP)
+    for step in range(steps):
+        far = lambda: meet(rows, now.where("falls")).withColumn("d2", _distance()).select(*key, "d2", "det", *names)
+        edge = stored(far().groupBy(*key).agg(F.percentile_approx("d2", core_share, 1000).alias("edge")))
+        edges = edge.withColumnsRenamed({c: f"e_{c}" for c in key})
+        on = (F.col("start") == F.col("e_start")) & (F.col("level") == F.col("e_level")) & F.col("a").eqNullSafe(F.col("e_a")) & F.col("b").eqNullSafe(F.col("e_b"))
+        core = far().join(F.broadcast(edges) if few else edges, on).where("d2 <= edge").select(*key, "det", *names)
+        new = _factor(_scatter(core.withColumnRenamed("det", "was"), (*key, "was")), scale)
+        # The first step leaves the start's own scatter, whose determinant tells nothing.
+        kept = now.where("NOT falls") if step else now.limit(0)
+        now = stored(kept.select(*now.columns).union(new.withColumn("falls", F.lit(True) if not step else F.col("det") < F.col("was") - 1e-3).select(*now.columns)))
+        if not now.where("falls").head(1):
+            break
+    shape = [c for c in now.columns if c not in (*key, "falls")]
+    best = now.groupBy(*GROUP).agg(F.min_by(F.struct(*shape), F.struct("det", "start")).alias("best")).select(*GROUP, "best.*")
+    near = meet(rows, stored(best)).where(_distance() <= chi2_quantile(0.975, p)).select(*GROUP, *names)
+    return stored(_factor(_scatter(near, GROUP), 0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2)))
 
 
 def robust_outliers(
     stats: DataFrame, lang_col: str, source_col: str, core_share: float, tail: float, least_group: int, steps: int
 ) -> DataFrame:
     """stats (with the columns of _features and fit, whether a row counts for estimates) with distance and limit."""
-    p = len(FEATURES)
-    limit = chi2_quantile(1 - tail, p)
-    scale = core_share / chi2_cdf(chi2_quantile(core_share, p), p + 2)
+    limit = chi2_quantile(1 - tail, len(FEATURES))
     key = lambda level, a, b: F.struct(F.lit(level).alias("level"), a.alias("a"), b.alias("b"))
     none = F.lit(None).cast("string")
     lang, source = F.col(lang_col).cast("string"), F.col(source_col).cast("string")
     levels = F.array(key(0, lang, source), key(1, lang, none), key(2, none, none))
     names = list(FEATURES)
-    rows = stats.where("fit").select(F.explode(levels).alias("g"), *names).select("g.*", *names)
-    # The first core comes from medians and absolute deviations, each feature by itself.
-    groups = rows.groupBy("level", "a", "b").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"c_{i}") for i, x in enumerate(names)])
-    groups = stored(groups)
+    groups = stored(stats.where("fit").select(F.explode(levels).alias("g")).groupBy("g").agg(F.count("*").alias("n")).select("g.*", "n"))
     few = groups.count() <= BROADCAST_GROUPS
+    rows = stats.where("fit").select(F.explode(levels).alias("g"), *names).select("g.*", *names)
+    now = mcd_estimates(rows, core_share, steps, few)
 
     def meet(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         right = right.withColumnsRenamed({"level": "r_level", "a": "r_a", "b": "r_b"})
         on = (F.col("level") == F.col("r_level")) & F.col("a").eqNullSafe(F.col("r_a")) & F.col("b").eqNullSafe(F.col("r_b"))
         return left.join(F.broadcast(right) if few else right, on, how).drop("r_level", "r_a", "r_b")
 
-    spread = meet(rows, groups).groupBy("level", "a", "b").agg(
-        *[F.first(f"c_{i}").alias(f"c_{i}") for i in range(p)],
-        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{i}")), 0.5, 1000).alias(f"d_{i}") for i, x in enumerate(names)],
-    )
-    first = [F.sqrt((F.col(f"d_{i}") * 1.4826) ** 2 + f**2).alias(f"l_{i}_{i}") if i == j else F.lit(0.0).alias(f"l_{i}_{j}") for i, f in enumerate(FEATURES.values()) for j in range(i + 1)]
-    now = stored(spread.select("level", "a", "b", *[f"c_{i}" for i in range(p)], *first))
-    for _ in range(steps):
-        far = meet(rows, now).withColumn("d2", _distance())
-        edge = stored(far.groupBy("level", "a", "b").agg(F.percentile_approx("d2", core_share, 1000).alias("edge")))
-        core = meet(meet(rows, now).withColumn("d2", _distance()).select("level", "a", "b", "d2", *names), edge).where(F.col("d2") <= F.col("edge"))
-        now = _estimate(core, scale)
     big = groups.where((F.col("n") >= least_group) | (F.col("level") == 2)).select("level", "a", "b", F.lit(True).alias("big"))
     ready = stored(meet(now, big).drop("big"))
     fine, wide = ready.where("level = 0"), ready.where("level = 1")
@@ -185,7 +249,7 @@ def rate_quality(
     core_share: float = 0.75,
     tail: float = 1e-6,
     least_group: int = 200,
-    steps: int = 3,
+    steps: int = 8,
     least_words: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
