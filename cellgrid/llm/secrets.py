@@ -8,6 +8,7 @@ made of known parts cost few bytes, random strings nearly as many as they have.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,6 +78,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, near: int, least_ratio: float) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, bytes) of strings outside the taken spans that hardly compress in sensitive surroundings."""
     found = []
+    # Taken spans as ascending stretches that do not overlap, to be searched instead of looked through.
+    starts: list[int] = []
+    stops: list[int] = []
+    for s, _, e in taken:
+        if stops and s < stops[-1]:
+            stops[-1] = max(stops[-1], e)
+        else:
+            starts.append(s)
+            stops.append(e)
+
+    def touched(i: int, j: int) -> bool:
+        at = bisect_right(stops, i)
+        return at < len(starts) and starts[at] < j
+
     for m in CANDIDATE.finditer(text):
         ends = [*range(m.start(), m.end(), MEASURE), m.end()]
         costs: dict[int, int] = {}
@@ -86,7 +101,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
             if ends[k + 1] - i >= 16 and MIXED.match(text[i : ends[k + 1]]) and SENSITIVE.search(text, max(0, i - near), i):
                 cost = 0
                 for b in range(k, len(ends) - 1):
-                    if any(s < ends[b + 1] and ends[b] < e for s, _, e in taken):
+                    if touched(ends[b], ends[b + 1]):
                         break
                     if b not in costs:
                         costs[b] = novelty(text, ends[b], ends[b + 1])
