@@ -2,13 +2,15 @@
 
 A text's likelihood under each language comes from byte trigrams. What pages of a language tend to
 declare, the suffixes of their addresses and the languages of a host are counted over the corpus,
-with hosts smoothed towards their domain and domains towards everything. The posterior adds the logs.
+with hosts smoothed towards their domain and domains towards everything. The posterior adds the logs; a
+row's own text is left out of its host's and its domain's counts, as it is weighed already.
 """
 
 from __future__ import annotations
 
 import html as markup
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let, stored
 
 BUCKETS = 1 << 14
 #: Most trigrams that a text's likelihood counts as: neighbours depend on each other.
 EVIDENCE = 60.0
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|head|nav)\b.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
+_HIDDEN = re.compile(r"<(script|style|head|nav)\b", re.I)
+_CLOSING = re.compile(r"</(script|style|head|nav)\s{0,80}>", re.I)
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _SPACES = re.compile(rb" +")
 
@@ -34,8 +36,33 @@ class LanguageModel(NamedTuple):
 
 
 def visible_text(page: str) -> str:
-    """What a page shows: no scripts, styles, head, navigation, comments or tags; entities replaced."""
-    return markup.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    """What a page shows: no scripts, styles, head, navigation, comments or tags; entities replaced.
+
+    One pass: a comment, or one of these elements, ends at its end mark, and one without an end mark is a tag
+    like others; a tag ends at the next >, and the text after one without an end is shown.
+    """
+    closings: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSING.finditer(page):
+        closings.setdefault(m[1].lower(), []).append((m.start(), m.end()))
+    shown, at = [], 0
+    while (lt := page.find("<", at)) >= 0:
+        shown.append(page[at:lt])
+        end = -1
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            end = end + 3 if end >= 0 else -1
+        elif m := _HIDDEN.match(page, lt):
+            ends = closings.get(m[1].lower(), [])
+            k = bisect_left(ends, (m.end(), 0))
+            end = ends[k][1] if k < len(ends) else -1
+        if end < 0:
+            end = page.find(">", lt) + 1
+        if not end:
+            at = lt
+            break
+        shown.append(" ")
+        at = end
+    return markup.unescape("".join(shown) + page[at:])
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -114,7 +141,7 @@ def identify_languages(
     host = F.nullif(address, F.lit("")) if url_col else string(host_col)
     place = F.nullif(F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2})(?:[-_/?#.]|$)", 1), F.lit(""))
     suffix = F.coalesce(place, F.nullif(F.regexp_extract(address, r"\.([a-z]{2,})$", 1), F.lit("")))
-    declared = F.regexp_extract(F.col(text_col), r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1) if pages else string(declared_col)
+    declared = F.regexp_extract(F.col(text_col), r"(?i)<html(?=\s)[^<>]*?\slang\s{0,80}=\s{0,80}[\"']?([A-Za-z]{2,3})", 1) if pages else string(declared_col)
     declared = F.nullif(F.regexp_extract(F.lower(declared), r"^([a-z]{2,3})(?:[-_]|$)", 1), F.lit(""))
     # Names of docs' columns cannot meet those made here: only these are carried on.
     given = docs.select(F.col(id_col).alias("id"), declared.alias("declared"), suffix.alias("suffix"), host.alias("host"), F.col(text_col).alias("text"))
@@ -149,12 +176,16 @@ def identify_languages(
     overall = [float(x or 0) + 1.0 for x in hosts.agg(*totals).first()]
     base = [x / sum(overall) for x in overall]
 
-    def towards(prior: list[Column]) -> list[Column]:
-        total = sum(p[1:], p[0])
-        return [(x + strength * q) / (total + strength) for x, q in zip(p, prior, strict=True)]
+    domains = domains.select("domain", F.array(*p).alias("domain_p"))
+    by_host = hosts.where("host IS NOT NULL").join(domains, "domain").select("host", F.array(*p).alias("host_p"), "domain_p")
 
-    by_domain = domains.select("domain", F.array(*towards([F.lit(x) for x in base])).alias("up"))
-    by_host = hosts.where("host IS NOT NULL").join(by_domain, "domain").select("host", F.array(*[F.log(x) for x in towards([F.get("up", F.lit(k)) for k in range(size)])]).alias("host_log"))
+    def prior(own: Column) -> Column:
+        """The logs of the host's languages without own, smoothed towards the domain's, and these towards everything's."""
+        add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+        less = lambda counts: F.zip_with(counts, own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+        smooth = lambda counts, up: let(add(counts) + strength, lambda n: F.zip_with(counts, up, lambda x, q: (x + strength * q) / n))
+        upper = smooth(less(F.col("domain_p")), F.array(*[F.lit(x) for x in base]))
+        return F.transform(smooth(less(F.col("host_p")), upper), lambda x: F.log(x))
 
     def likelihood(col: str) -> DataFrame:
         """The log of how often each language comes with the value, among rows that have one."""
@@ -169,6 +200,9 @@ def identify_languages(
     for col in ("declared", "suffix"):
         out = out.join(stored(likelihood(col)), col, "left")
     base_log = F.array(*[F.lit(float(np.log(x))) for x in base])
+    weight = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
+    own = F.when(F.col("n") > 0, F.transform("odds", lambda x: x / weight)).otherwise(F.array(*[F.lit(0.0)] * size))
+    out = out.withColumn("odds", odds).withColumn("own", own).withColumn("host_log", F.when(F.col("host_p").isNotNull(), prior(F.col("own"))))
     parts = [F.col("ll"), F.coalesce("host_log", base_log), F.coalesce("declared_log", nothing), F.coalesce("suffix_log", nothing)]
     total = F.array(*[sum((F.get(x, F.lit(k)) for x in parts[1:]), F.get(parts[0], F.lit(k))) for k in range(size)])
     code = F.array(*[F.lit(x) for x in names])
