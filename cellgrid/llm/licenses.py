@@ -1,10 +1,10 @@
 """Licence notices, found through a positional index of rare licence words.
 
-The document frequency of every word of the templates is counted over the whole corpus. Each template
-is indexed by its rarest words; where a document has one, the difference of positions says where the
-template would start, starts that enough rare words agree on are compared word by word, and the
-template's key phrases must stand there. The phrases to report exactly are templates as well, with
-themselves as key phrase.
+The document frequency of every word of the templates is counted over the whole corpus, and each place
+of a word in a template is a posting. Of a document's licence words the rarest are looked up; the
+difference of positions says where a template would start, with some slack for words put in or left out.
+Where enough rare words agree the template is aligned with the document, and its key phrases must stand
+there. The phrases to report exactly are templates as well, with themselves as key phrase.
 """
 
 from __future__ import annotations
@@ -65,40 +65,86 @@ def _templates() -> list[Template]:
     return exact + [Template(label, tuple(words(t)), tuple(tuple(words(k)) for k in keys), False) for label, t, keys in TEMPLATES]
 
 
+def common_length(template: tuple[bytes, ...], doc: list[bytes]) -> int:
+    """Words of the longest common subsequence, by bits of the template's places."""
+    places: dict[bytes, int] = defaultdict(int)
+    for i, w in enumerate(template):
+        places[w] |= 1 << i
+    all_ = (1 << len(template)) - 1
+    row = all_
+    for w in doc:
+        held = row & places.get(w, 0)
+        row = ((row + held) | (row - held)) & all_
+    return len(template) - row.bit_count()
+
+
 class Index:
-    """Postings of each template's rarest words; one that has a word twice has two postings."""
+    """Postings of the templates' words, and of each exact phrase's rarest word."""
 
-    def __init__(self, idf: dict[bytes, float], rare: int = 4, agree: int = 3, least: float = 0.7) -> None:
-        self.templates, self.agree, self.least = _templates(), agree, least
+    def __init__(self, idf: dict[bytes, float], rare: int = 6, agree: int = 3, least: float = 0.7) -> None:
+        self.templates, self.rare, self.agree, self.least = _templates(), rare, agree, least
+        rank = lambda w: (-idf.get(w, math.inf), w)
+        self.exact: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        #: The words of each template that is aligned, the rarest first.
+        self.ranked: dict[int, list[bytes]] = {}
         for k, t in enumerate(self.templates):
-            ranked = sorted(set(t.words), key=lambda w: (-idf.get(w, math.inf), w))
-            for w in ranked[: 1 if t.exact else rare]:
+            ranked = sorted(set(t.words), key=rank)
+            if t.exact:
+                self.exact[ranked[0]] += [(k, at) for at, x in enumerate(t.words) if x == ranked[0]]
+            else:
+                self.ranked[k] = ranked
                 for at, x in enumerate(t.words):
-                    if x == w:
-                        self.postings[w].append((k, at))
+                    self.postings[x].append((k, at))
+        self.known = frozenset(self.postings)
 
     def places(self, doc: list[bytes]) -> list[tuple[int, int, float]]:
-        """(start, template, share of its words in place) of templates that pass, starts from 0."""
-        postings = self.postings
-        votes: Counter[tuple[int, int]] = Counter()
-        for at, w in enumerate(doc):
-            if w in postings:
-                for k, p in postings[w]:
-                    votes[at - p, k] += 1
-        found = []
-        for (start, k), n in votes.items():
-            t = self.templates[k]
-            if t.exact:
-                if start >= 0 and tuple(doc[start : start + len(t.words)]) == t.words:
-                    found.append((start, k, 1.0))
-            elif n >= self.agree:
-                part = doc[max(0, start - 2) : start + len(t.words) + 2]
-                share = sum(0 <= start + i < len(doc) and doc[start + i] == w for i, w in enumerate(t.words)) / len(t.words)
-                if share >= self.least and all(_has(part, key) for key in t.keys):
-                    found.append((max(0, start), k, share))
+        """(start, template, share of its words in order) of templates that pass, starts from 0."""
+        found = set()
+        there = set(doc)
+        for w in there.intersection(self.exact):
+            for at in [i for i, x in enumerate(doc) if x == w]:
+                for k, p in self.exact[w]:
+                    t = self.templates[k]
+                    if at >= p and tuple(doc[at - p : at - p + len(t.words)]) == t.words:
+                        found.add((at - p, k, 1.0))
+        known = there & self.known
+        # The rarest licence words that the document has, for each template that can pass with what is there and whose key phrases' words are.
+        likely = {k: [w for w in ranked if w in known][: self.rare] for k, ranked in self.ranked.items() if self._can(k, known)}
+        if likely:
+            wanted = {w for ws in likely.values() for w in ws}
+            at_word: dict[bytes, list[int]] = defaultdict(list)
+            for i, w in enumerate(doc):
+                if w in wanted:
+                    at_word[w].append(i)
+            for k, ws in likely.items():
+                votes = sorted((at - p, p) for w in ws for t, p in self.postings[w] if t == k for at in at_word[w])
+                found.update((start, k, share) for start, share in self._aligned(doc, k, votes))
         return sorted(found)
 
+    def _can(self, k: int, known: set[bytes]) -> bool:
+        t = self.templates[k]
+        return all(w in known for key in t.keys for w in key) and sum(w in known for w in t.words) >= self.least * len(t.words)
+
+    def _aligned(self, doc: list[bytes], k: int, votes: list[tuple[int, int]]) -> list[tuple[int, float]]:
+        """(start, share) of template k where enough different places of it agree on a start, give or take the slack; places do not overlap."""
+        t = self.templates[k]
+        n, found, done = len(t.words), [], -1
+        slack = max(3, n // 5)
+        j = 0
+        for i, (start, _) in enumerate(votes):
+            while j < len(votes) and votes[j][0] <= start + slack:
+                j += 1
+            if start <= done or len({p for _, p in votes[i:j]}) < min(self.agree, len(self.ranked[k])):
+                continue
+            lo, hi = max(0, start - slack), max(0, votes[j - 1][0]) + n + slack
+            part = doc[lo:hi]
+            share = common_length(t.words, part) / n
+            if share >= self.least and all(_has(part, key) for key in t.keys):
+                found.append((max(0, start), share))
+                done = start + n
+        return found
+
 
 def _has(doc: list[bytes], phrase: tuple[bytes, ...]) -> bool:
     n = len(phrase)
@@ -130,8 +176,8 @@ def find_licences(docs: DataFrame, least: float = 0.7, id_col: str = "doc_id", t
 
     Words are runs of 0-9, a-z and code points from U+0080 on, after A-Z became lower case. places: array
     of (start, label, exact, share) by start; exact ones are all places where a fixed phrase's words
-    stand consecutively, the others templates of which at least the share least stands in place, key
-    phrases included. A null or empty text has no words and no places. Ids may be null or repeat and are
+    stand consecutively, the others templates of which at least the share least stands there in order, a
+    fifth of its length apart at most, key phrases included. A null or empty text has no words and no places. Ids may be null or repeat and are
     passed on; other columns are not looked at. An empty table gives an empty one.
     """
     idf = licence_idf(docs, text_col)
