@@ -119,6 +119,11 @@ class Matcher:
             for way, hashes in enumerate(item.windows):
                 for h in np.unique(hashes[hashes != 0]).tolist():
                     self.postings[h].append((k, way))
+        #: Items shorter than a window stand in longer documents as they are: their tokens by number of tokens.
+        self.short: dict[int, dict[tuple[str, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k, item in enumerate(self.items):
+            if 0 < len(item.reading.tokens) < width:
+                self.short[len(item.reading.tokens)][tuple(t.lower() for t in item.reading.tokens)].append(k)
         self.all = np.array(sorted(self.postings), np.uint64)
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[self.all >> np.uint64(46)] = True
@@ -157,6 +162,11 @@ class Matcher:
                 for one in found:
                     if one[1] >= self.consistent:
                         best[k] = max(best.get(k, (0.0, 0.0)), one)
+        low = [t.lower() for t in doc.tokens] if self.short else []
+        for n, held in self.short.items():
+            for at in range(len(low) - n + 1 if len(low) > n else 0):
+                for k in held.get(tuple(low[at : at + n]), ()):
+                    best[k] = (1.0, 1.0)
         return [(self.items[k].item_id, *best[k]) for k in sorted(best)]
 
     def _places(self, hashes: np.ndarray, item: Item, way: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -229,8 +239,10 @@ def find_benchmark_leaks(
     A window is width tokens (numbers, runs of letters, unit signs; case does not count). An item is held
     if at least the share least of its distinct windows is in the document, in the plain reading or in
     the one with names replaced, and at least the share consistent of its slots take values by one
-    substitution, in the whole document or in one stretch that holds that share of windows by itself. Items and documents with fewer tokens than a window are one window; those without any,
-    and null texts, match nothing. Ids may be null or repeat: a row stands for each row of docs. Items
+    substitution, in the whole document or in one stretch that holds that share of windows by itself. Items
+    and documents with fewer tokens than a window are one window; in a longer document such an item is held
+    where its tokens stand as they are, in upper or lower case. Texts without tokens, and null ones, match
+    nothing. Ids may be null or repeat: a row stands for each row of docs. Items
     with a null id or equal texts count as items of their own. Other columns are not looked at; where
     either table is empty so is the result.
     """
@@ -253,12 +265,16 @@ def find_benchmark_leaks(
 
         return given.mapInArrow(scan, f"id {id_type}, {SCHEMA}").withColumnRenamed("id", id_col)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct window: (key, way, hash, how many the reading has)."""
+    def windows(batches: Iterator[pa.RecordBatch], item: bool, short: bool = True) -> Iterator[pa.RecordBatch]:
+        """A row for each distinct window: (key, way, hash, how many the reading has). Way 2 is for items shorter than a window, as they are, if there are such."""
         codes = Codes()
         for b in batches:
             for key, x in zip(b.column(0), b.column(1), strict=True):
-                for way, h in enumerate(readings(read(x.as_py(), codes), width)):
+                reading = read(x.as_py(), codes)
+                low = [t.lower().encode("utf-8", "surrogatepass") for t in reading.tokens]
+                sizes = range(len(low), len(low) + (0 < len(low) < width)) if item else range(1, min(width, len(low)) if short else 1)
+                plain = np.array([xxhash.xxh64_intdigest(b" ".join(low[i : i + n])) for n in sizes for i in range(len(low) - n + 1)], np.uint64)
+                for way, h in enumerate([*readings(reading, width), plain]):
                     own = np.unique(h[h != 0]).view(np.int64)
                     n = len(own)
                     yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * n, pa.int64()), pa.array(np.full(n, way, np.int32)), pa.array(own), pa.array(np.full(n, n, np.int64))], ["key", "way", "h", "n"])
@@ -266,8 +282,9 @@ def find_benchmark_leaks(
     schema = "key long, way int, h long, n long"
     keyed_docs = stored(given.withColumn("key", F.monotonically_increasing_id()))
     keyed_items = stored(items.withColumn("key", F.monotonically_increasing_id()))
-    doc_windows = keyed_docs.select("key", "text").mapInArrow(windows, schema).select("key", "way", "h")
-    item_windows = stored(keyed_items.select("key", "item_text").mapInArrow(windows, schema).select(F.col("key").alias("item_key"), "way", "h", "n"))
+    item_windows = stored(keyed_items.select("key", "item_text").mapInArrow(lambda b: windows(b, True), schema).select(F.col("key").alias("item_key"), "way", "h", "n"))
+    short = bool(item_windows.where("way = 2").head(1))
+    doc_windows = keyed_docs.select("key", "text").mapInArrow(lambda b: windows(b, False, short), schema).select("key", "way", "h")
     shared = (
         doc_windows.join(item_windows, ["way", "h"]).groupBy("key", "item_key", "way", "n").agg(F.count("*").alias("hits"))
         .where(F.col("hits") >= least * F.col("n")).select("key", "item_key").distinct()
