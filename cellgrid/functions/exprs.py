@@ -71,3 +71,14 @@ def cut_bin(c: Column, low: Column, high: Column, bins: int | Column) -> Column:
     n = F.lit(bins) if isinstance(bins, int) else bins
     place = F.ceil((c - low) * n / (high - low))
     return F.when(high == low, F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(n, place))).cast("int")
+
+
+def erfc(z: Column) -> Column:
+    """The complementary error function of z >= 0, by a Chebyshev fit with a relative error below 1.2e-7."""
+    # The fit's coefficients, the constant term first.
+    fit = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    t = 1 / (1 + 0.5 * z)
+    total = F.lit(fit[-1])
+    for c in fit[-2::-1]:
+        total = F.lit(c) + t * total
+    return t * F.exp(-z * z + total)

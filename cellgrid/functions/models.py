@@ -231,24 +231,54 @@ def limma(values: np.ndarray, x: np.ndarray, contrasts: list[np.ndarray], weight
     return out
 
 
+def lowess(x: np.ndarray, y: np.ndarray, share: float = 0.5, rounds: int = 3) -> np.ndarray:
+    """Locally weighted straight lines through (x, y), x ascending: tricube weights over a share of the points, then bisquare ones against outliers."""
+    n = len(x)
+    k = min(n, max(2, int(share * n + 1e-10)))
+    robust, fitted = np.ones(n), y.astype(float).copy()
+    far = np.sort(np.abs(x[:, None] - x[None]), axis=1)[:, k - 1]
+    for _ in range(rounds + 1):
+        for i in range(n):
+            gap = np.abs(x - x[i])
+            h = max(far[i], 1e-12)
+            w = np.where(gap <= 0.001 * h, 1.0, np.where(gap < 0.999 * h, (1 - (gap / h) ** 3) ** 3, 0.0)) * robust
+            if w.sum() <= 0:
+                continue
+            w = w / w.sum()
+            middle = (w * x).sum()
+            spread = (w * (x - middle) ** 2).sum()
+            slope = (w * (x - middle) * y).sum() / spread if spread > (0.001 * (x[-1] - x[0])) ** 2 else 0.0
+            fitted[i] = (w * y).sum() + slope * (x[i] - middle)
+        off = np.abs(y - fitted)
+        scale = 6 * np.median(off)
+        if scale < 1e-7 * off.mean() or scale == 0:
+            break
+        robust = np.where(off <= 0.001 * scale, 1.0, np.where(off < 0.999 * scale, (1 - (off / scale) ** 2) ** 2, 0.0))
+    return fitted
+
+
 def voom(counts: np.ndarray, totals: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log counts per million and precision weights from the trend of their spread."""
     y = np.log2((counts + 0.5) / (totals + 1) * 1e6)
     fits = [ols(x, r) for r in y]
     level = y.mean(1) + np.mean(np.log2(totals + 1)) - math.log2(1e6)
     spread = np.sqrt(np.sqrt(np.maximum([f["s2"] for f in fits], 1e-12)))
-    order = np.argsort(level)
+    order = np.argsort(level, kind="stable")
     if len(level) > 2:
-        fit = np.polyfit(level[order], spread[order], 1 if len(level) < 6 else 2)
-        trend = lambda v: np.maximum(np.polyval(fit, np.clip(v, level.min(), level.max())), 1e-3)
+        smooth = lowess(level[order], spread[order])
+        trend = lambda v: np.maximum(np.interp(v, level[order], smooth), 1e-3)
     else:
         trend = lambda v: np.full_like(v, max(spread.mean(), 1e-3))
     fitted = np.array([x @ f["beta"] for f in fits]) + np.log2(totals + 1)[None] - math.log2(1e6)
     return y, 1 / trend(fitted) ** 4
 
 
-def negative_binomial(counts: np.ndarray, totals: np.ndarray, x: np.ndarray, contrasts: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
-    """Likelihood ratio tests with one dispersion for all rows, log totals as offset."""
+def negative_binomial(counts: np.ndarray, totals: np.ndarray, x: np.ndarray, contrasts: list[np.ndarray], prior_df: float = 10.0) -> list[dict[str, np.ndarray]]:
+    """Likelihood ratio tests with a dispersion for each row, log totals as offset.
+
+    A row's dispersion maximises its adjusted profile likelihood plus that of all rows on average, which
+    counts as prior_df degrees of freedom: rows with few samples are drawn to what all have in common.
+    """
     offset = np.log(np.maximum(totals, 1))
 
     def fit(y: np.ndarray, d: np.ndarray, phi: float) -> tuple[np.ndarray, float]:
@@ -265,26 +295,37 @@ def negative_binomial(counts: np.ndarray, totals: np.ndarray, x: np.ndarray, con
         like = sum(math.lgamma(v + r) - math.lgamma(r) for v in y) + (y * np.log(mu / (mu + r)) - r * np.log1p(mu / r)).sum()
         return b, float(like)
 
-    def cost(log_phi: float) -> float:
-        phi, total = math.exp(log_phi), 0.0
-        for y in counts:
-            b, like = fit(y, x, phi)
-            mu = np.exp(np.clip(x @ b + offset, -30, 30))
-            total -= like - 0.5 * np.linalg.slogdet(x.T @ (x * (mu / (1 + phi * mu))[:, None]) + 1e-9 * np.eye(x.shape[1]))[1]
-        return total
+    def profile(y: np.ndarray, log_phi: float) -> float:
+        phi = math.exp(log_phi)
+        b, like = fit(y, x, phi)
+        mu = np.exp(np.clip(x @ b + offset, -30, 30))
+        return like - 0.5 * np.linalg.slogdet(x.T @ (x * (mu / (1 + phi * mu))[:, None]) + 1e-9 * np.eye(x.shape[1]))[1]
 
-    phi = math.exp(_golden(cost, -9, 2, 25))
+    grid = np.linspace(-9, 2, 34)
+    own = np.array([[profile(y, g) for g in grid] for y in counts]).reshape(len(counts), len(grid))
+    prior = prior_df / max(1, x.shape[0] - x.shape[1])
+    phis = [math.exp(_peak(grid, row + prior * own.mean(0))) for row in own]
     out = []
     for c in contrasts:
         # The null model's columns span what the contrast leaves free.
         u = np.linalg.svd(c, full_matrices=True)[0]
         null = x @ u[:, c.shape[1] :]
-        rows = [(fit(y, x, phi), fit(y, null, phi)) for y in counts]
+        rows = [(fit(y, x, phi), fit(y, null, phi)) for y, phi in zip(counts, phis, strict=True)]
         stat = np.maximum([2 * (a[1] - b[1]) for a, b in rows], 0)
         out.append({"effect": np.array([float((c.T @ a[0])[0]) for a, _ in rows]) / math.log(2), "stat": stat, "p": np.atleast_1d(chi2_tail(stat, float(c.shape[1])))})
     return out
 
 
+def _peak(at: np.ndarray, value: np.ndarray) -> float:
+    """Where a curve given at equal steps is highest: the top of the parabola through the highest point and its neighbours."""
+    i = int(np.argmax(value))
+    if i in (0, len(at) - 1):
+        return float(at[i])
+    low, mid, high = value[i - 1 : i + 2]
+    bend = low - 2 * mid + high
+    return float(at[i] + (0.5 * (low - high) / bend if bend < 0 else 0.0) * (at[1] - at[0]))
+
+
 def design(levels: list[tuple[str, np.ndarray]]) -> tuple[np.ndarray, list[str]]:
     """Intercept and a column for each further level of each factor, in sorted order."""
     n = len(levels[0][1])

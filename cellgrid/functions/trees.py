@@ -167,7 +167,7 @@ def elbow(sse: np.ndarray) -> int:
     best, least = 1, np.inf
     for i in range(2, len(s)):
         miss = 0.0
-        for part in (np.arange(i), np.arange(i - 1, len(s))):
+        for part in (np.arange(i - 1), np.arange(i - 1, len(s))):
             fit = np.polyfit(part, s[part], 1) if len(part) > 1 else np.array([0.0, s[part[0]]])
             miss += np.abs(np.polyval(fit, part) - s[part]).sum()
         if miss < least:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.graphs import louvain
-from ..functions.trees import consensus_labels
+from ..functions.trees import consensus_labels, kmeans_labels
 from ..storage import materialize
 from ..table import Selector, columns, is_numeric, q
 from .neighbors import find_knn, jaccard_edges
+from .sample import downsample_constant, join_groups
 
+#: Edges of a graph of neighbours that the driver takes, 24 bytes each.
+MAX_EDGES = 40_000_000
+#: Bytes of the codes or centres of all groups, which go to every task.
+MAX_CODES = 256 << 20
 #: Distances of a map's nodes by number.
 SOM_METRICS = {1: "manhattan", 2: "euclidean", 3: "chebyshev", 4: "cosine"}
 
@@ -24,18 +29,6 @@ def _matrix(pdf: pd.DataFrame, cols: list[str]) -> np.ndarray:
     return np.column_stack([pdf[c].to_numpy(float) for c in cols])
 
 
-def assign(df: DataFrame, cols: list[str], label, name: str, kind: T.DataType | None = None) -> DataFrame:
-    """df with a column name that label makes of the rows' matrix, batch by batch."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind or T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[name] = label(_matrix(pdf, cols)) if len(pdf) else pd.Series([], dtype=object)
-            yield pdf
-
-    return df.mapInPandas(run, schema)
-
-
 def cluster_kmeans(df: DataFrame, cols: Selector = None, num_clusters: int = 20, seed: int = 0, max_iter: int = 50, name: str = ".kmeans_cluster") -> DataFrame:
     """k-means; labels are the numbers of the centres from 1, as text."""
     from pyspark.ml.clustering import KMeans
@@ -58,70 +51,160 @@ def _node_distances(x: np.ndarray, codes: np.ndarray, metric: int) -> np.ndarray
     return gap.sum(2) if metric == 1 else gap.max(2)
 
 
-def som_codes(df: DataFrame, names: list[str], xdim: int, ydim: int, epochs: int, metric: int, seed: int) -> np.ndarray:
-    """A self-organising map trained in batches: each epoch sends the codes out and gets sums for each node back."""
-    nodes = xdim * ydim
-    rows = df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]).dropna()
+def _nearest_node(x: np.ndarray, codes: np.ndarray, metric: int) -> np.ndarray:
+    """The nearest code of each row; codes that are not a number are none."""
+    d = _node_distances(x, codes, metric)
+    return np.where(np.isnan(d), np.inf, d).argmin(1)
+
+
+def _sums(rows: DataFrame, cols: list[str], codes: np.ndarray, metric: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows of each group __g are nearest to each of its codes (groups x codes x channels), and their sums: one pass for all groups."""
+    _, nodes, p = codes.shape
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            group, x = pdf["__g"].to_numpy(np.int64), _matrix(pdf, cols)
+            for g in np.unique(group).tolist():
+                count, total = found.setdefault(g, (np.zeros(nodes), np.zeros((nodes, p))))
+                own = x[group == g] if len(codes) > 1 else x
+                for s in range(0, len(own), 2_048):
+                    part = own[s : s + 2_048]
+                    best = _nearest_node(part, codes[g], metric)
+                    np.add.at(total, best, part)
+                    count += np.bincount(best, minlength=nodes)
+        for g, (count, total) in found.items():
+            at = np.flatnonzero(count)
+            yield pd.DataFrame({"g": g, "node": at, "n": count[at], "s": total[at].tolist()})
+
+    got = rows.mapInPandas(sums, "g long, node long, n double, s array<double>")
+    got = got.groupBy("g", "node").agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(p)]).toPandas()  # a row for each code
+    count, total = np.zeros(codes.shape[:2]), np.zeros(codes.shape)
+    at = got["g"].to_numpy(int), got["node"].to_numpy(int)
+    count[at], total[at] = got["n"].to_numpy(), got[[f"s{i}" for i in range(p)]].to_numpy(float)
+    return count, total
+
+
+def _numbered(df: DataFrame, names: list[str], groups: list[str]) -> tuple[DataFrame, int]:
+    """df with __g, the number of a row's group from 0, and how many there are."""
+    if not groups:
+        return df.withColumn("__g", F.lit(0).cast("long")), 1
+    keys = df.select(*[q(g) for g in groups]).distinct()
+    place = (F.row_number().over(Window.orderBy(*[q(g) for g in groups])) - 1).cast("long")  # a row for each group
+    keys = materialize(keys.withColumn("__g", place))
+    return join_groups(df, keys), keys.count()
+
+
+def _training_rows(df: DataFrame, names: list[str], groups: list[str], nodes: int) -> tuple[DataFrame, int, list[str]]:
+    marked, n = _numbered(df, names, groups)
+    if n * nodes * max(1, len(names)) * 8 > MAX_CODES:
+        raise ValueError(f"{n} groups with {nodes} codes of {len(names)} channels each are too many")
     cols = [f"x{i}" for i in range(len(names))]
-    first = rows.orderBy(F.xxhash64(F.lit(seed), *cols)).limit(nodes).toPandas().to_numpy(float)
-    if not len(first):
+    rows = materialize(marked.select("__g", *[q(c).cast("double").alias(x) for c, x in zip(names, cols, strict=True)]).dropna())  # read in each round
+    return rows, n, cols
+
+
+def _first_rows(rows: DataFrame, n: int, cols: list[str], each: int, seed: int) -> list[np.ndarray]:
+    """At most `each` rows of each group."""
+    if n == 1:
+        return [rows.orderBy(F.xxhash64(F.lit(seed), *cols)).limit(each).select(*cols).toPandas().to_numpy(float)]
+    got = downsample_constant(rows.withColumnRenamed("__g", "g"), "g", each, seed).toPandas().sort_values(["g", *cols])
+    return [got.loc[got["g"] == g, cols].to_numpy(float) for g in range(n)]
+
+
+def som_codes(df: DataFrame, names: list[str], xdim: int, ydim: int, epochs: int, metric: int, seed: int, groups: list[str] | None = None) -> np.ndarray:
+    """Self-organising maps, one for each group (groups x nodes x channels), trained in batches: each epoch sends the codes out and gets sums for each node back."""
+    nodes = xdim * ydim
+    rows, n, cols = _training_rows(df, names, groups or [], nodes)
+    first = _first_rows(rows, n, cols, nodes, seed)
+    if not any(len(f) for f in first):
         raise ValueError("no rows to train on")
-    codes = first[np.arange(nodes) % len(first)].copy()
+    codes = np.stack([f[np.arange(nodes) % len(f)] if len(f) else np.full((nodes, len(cols)), np.nan) for f in first])
     grid = np.array([(i % xdim, i // xdim) for i in range(nodes)], float)
     apart = np.abs(grid[:, None, :] - grid[None, :, :]).max(2)
     wide = np.quantile(apart, 0.67)
     for epoch in range(epochs):
         radius = max(0.5, wide * (1 - epoch / max(1, epochs - 1)))
         near = np.exp(-((apart / radius) ** 2) / 2) if radius > 0.5 else np.eye(nodes)
-        held = codes
-
-        def sums(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            total, count = np.zeros_like(held), np.zeros(nodes)
-            for pdf in batches:
-                x = _matrix(pdf, cols)
-                for s in range(0, len(x), 2_048):
-                    part = x[s : s + 2_048]
-                    best = _node_distances(part, held, metric).argmin(1)
-                    np.add.at(total, best, part)
-                    count += np.bincount(best, minlength=nodes)
-            yield pd.DataFrame({"node": np.arange(nodes), "n": count, "s": total.tolist()})
-
-        got = rows.mapInPandas(sums, "node int, n double, s array<double>")
-        got = got.groupBy("node").agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(len(cols))]).toPandas().sort_values("node")
-        count, total = got["n"].to_numpy(), got[[f"s{i}" for i in range(len(cols))]].to_numpy(float)
-        weight = near @ count
-        codes = np.where(weight[:, None] > 1e-12, (near @ total) / np.maximum(weight, 1e-12)[:, None], codes)
+        count, total = _sums(rows, cols, codes, metric)
+        weight = count @ near
+        codes = np.where(weight[..., None] > 1e-12, np.einsum("ij,gjp->gip", near, total) / np.maximum(weight, 1e-12)[..., None], codes)
     return codes
 
 
+def _assign_groups(df: DataFrame, names: list[str], groups: list[str], codes: np.ndarray, metric: int, label: Callable[[int, int], str], name: str) -> DataFrame:
+    """df with the label of the nearest code of each row's group."""
+    marked, _ = _numbered(df, names, groups)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            group, x = pdf["__g"].to_numpy(np.int64), _matrix(pdf, names)
+            best = np.empty(len(pdf), np.int64)
+            for g in np.unique(group).tolist():
+                best[group == g] = _nearest_node(x[group == g], codes[g], metric)
+            gone = np.isnan(x).any(1)
+            yield pdf.drop(columns="__g").assign(**{name: [None if no else label(g, k) for g, k, no in zip(group.tolist(), best.tolist(), gone.tolist(), strict=True)]})
+
+    return marked.select(*[q(c) for c in df.columns], "__g").mapInPandas(run, schema)
+
+
+def _kmeans_groups(df: DataFrame, names: list[str], groups: list[str], num_clusters: int = 20, seed: int = 0, max_iter: int = 50, name: str = ".kmeans_cluster") -> DataFrame:
+    """k-means of each group by itself, all groups in each pass; the first centres come from a bounded sample of each group."""
+    rows, n, cols = _training_rows(df, names, groups, num_clusters)
+    each = max(num_clusters, min(50 * num_clusters, MAX_CODES // (8 * max(1, len(cols)) * n)))
+    codes = np.full((n, num_clusters, len(cols)), np.nan)
+    for g, part in enumerate(_first_rows(rows, n, cols, each, seed)):
+        if len(part):
+            found = kmeans_labels(part, num_clusters, seed, starts=3)
+            for k in range(int(found.max()) + 1):
+                codes[g, k] = part[found == k].mean(0)
+    for _ in range(max_iter):
+        count, total = _sums(rows, cols, codes, 2)
+        new = np.where(count[..., None] > 0, total / np.maximum(count, 1)[..., None], codes)
+        still = np.nan_to_num(np.abs(new - codes)).max(initial=0.0) < 1e-4
+        codes = new
+        if still:
+            break
+    return _assign_groups(df, names, groups, codes, 2, lambda g, k: str(k + 1), name)
+
+
 def cluster_flowsom(
-    df: DataFrame, cols: Selector = None, xdim: int = 10, ydim: int = 10, metric: int = 2, perform_metaclustering: bool = True, num_metaclusters: int = 20, epochs: int = 10, seed: int = 0,
+    df: DataFrame, cols: Selector = None, xdim: int = 10, ydim: int = 10, metric: int = 2, perform_metaclustering: bool = True, num_metaclusters: int = 20, epochs: int = 10, seed: int = 0, by: Selector = None,
 ) -> DataFrame:
-    """A self-organising map (.flowsom_cluster: the node), its codes metaclustered by consensus (.flowsom_metacluster)."""
-    names = columns(df, cols, is_numeric)
-    codes = som_codes(df, names, xdim, ydim, epochs, metric, seed)
-    if perform_metaclustering:
-        groups = consensus_labels(codes, num_metaclusters, seed=seed)
-        return assign(df, names, lambda x: [str(groups[k] + 1) for k in _node_distances(x, codes, metric).argmin(1)], ".flowsom_metacluster")
-    return assign(df, names, lambda x: [str(k + 1) for k in _node_distances(x, codes, metric).argmin(1)], ".flowsom_cluster")
+    """A self-organising map (.flowsom_cluster: the node), its codes metaclustered by consensus (.flowsom_metacluster); a map for each group, all of them trained in the same passes."""
+    groups = columns(df, by)
+    names = [c for c in columns(df, cols, is_numeric) if c not in groups]
+    codes = som_codes(df, names, xdim, ydim, epochs, metric, seed, groups)
+    if not perform_metaclustering:
+        return _assign_groups(df, names, groups, codes, metric, lambda g, k: str(k + 1), ".flowsom_cluster")
+    found = [consensus_labels(c, num_metaclusters, seed=seed) if not np.isnan(c).any() else np.zeros(len(c), int) for c in codes]
+    return _assign_groups(df, names, groups, codes, metric, lambda g, k: str(found[g][k] + 1), ".flowsom_metacluster")
 
 
-def cluster_phenograph(df: DataFrame, cols: Selector = None, num_neighbors: int = 30, metric: str = "euclidean", id_col: str = "cell_id", seed: int = 0, max_cells: int = 2_000_000, **options) -> DataFrame:
-    """Communities of the graph of neighbours weighted by Jaccard coefficients (.phenograph_cluster), largest first.
+def cluster_phenograph(df: DataFrame, cols: Selector = None, num_neighbors: int = 30, metric: str = "euclidean", id_col: str = "cell_id", seed: int = 0, max_cells: int = 2_000_000, by: Selector = None, **options) -> DataFrame:
+    """Communities of the graph of neighbours weighted by Jaccard coefficients (.phenograph_cluster), largest first; in each group by itself.
 
     Neighbours and weights are made in parallel; communities are found on the driver, for at most
-    max_cells cells: downsample and upsample beyond.
+    max_cells cells and MAX_EDGES edges: downsample and upsample beyond.
     """
-    near = materialize(find_knn(df, cols, num_neighbors, metric, id_col, **options))
-    edges = jaccard_edges(near).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("w"))
+    groups = columns(df, by)
     n = df.count()
-    if n > max_cells:
-        raise ValueError(f"more than {max_cells} cells")
-    got = edges.toPandas()
-    ids = df.select(q(id_col).cast("long").alias("id")).distinct().toPandas()["id"].sort_values().to_numpy()
-    labels, _ = louvain(np.searchsorted(ids, got["a"]), np.searchsorted(ids, got["b"]), got["w"].to_numpy(float), len(ids), seed)
-    table = df.sparkSession.createDataFrame(pd.DataFrame({id_col: ids, ".phenograph_cluster": [str(k + 1) for k in labels]}))
-    return df.join(table, id_col, "left").select(*[q(c) for c in df.columns], q(".phenograph_cluster"))
+    if n > max_cells or n * num_neighbors > MAX_EDGES:
+        raise ValueError(f"{n} cells with {num_neighbors} neighbours each are more than the driver takes: downsample first")
+    near = materialize(find_knn(df, cols, num_neighbors, metric, id_col, by=groups, **options))
+    edges = jaccard_edges(near).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("w"))
+    got = edges.toPandas().sort_values(["a", "b"])
+    marked, _ = _numbered(df, [], groups)
+    cells = marked.select(q(id_col).cast("long").alias("id"), "__g").distinct().toPandas().sort_values("id")
+    ids, group = cells["id"].to_numpy(), cells["__g"].to_numpy()
+    a, b, w = np.searchsorted(ids, got["a"]), np.searchsorted(ids, got["b"]), got["w"].to_numpy(float)
+    labels = np.zeros(len(ids), int)
+    for g in np.unique(group):
+        own, edge = np.flatnonzero(group == g), group[a] == g
+        labels[own], _ = louvain(np.searchsorted(own, a[edge]), np.searchsorted(own, b[edge]), w[edge], len(own), seed)
+    table = df.sparkSession.createDataFrame(pd.DataFrame({"__id": ids, ".phenograph_cluster": [str(k + 1) for k in labels]}), "__id long, `.phenograph_cluster` string")
+    return df.join(table, q(id_col) == F.col("__id"), "left").select(*[q(c) for c in df.columns], q(".phenograph_cluster"))
 
 
 class Classifier:
@@ -190,25 +273,18 @@ def cluster(df: DataFrame, cols: Selector = None, method: str = "kmeans", by: Se
     if method not in verbs:
         raise ValueError(f"method must be one of {sorted(verbs)}")
 
-    def one(part: DataFrame) -> DataFrame:
-        return verbs[method](part, options["healthy"], cols=names, **{k: v for k, v in options.items() if k != "healthy"}) if method == "ddpr" else verbs[method](part, names, **options)
-
     names = columns(df, cols, is_numeric) if method != "ddpr" or cols is not None else None
-    group_names = columns(df, by)
-    if not group_names:
-        out = one(df)
+    groups = columns(df, by)
+    if method == "ddpr":
+        out = cluster_ddpr(df, options["healthy"], cols=names, **{k: v for k, v in options.items() if k != "healthy"})
+    elif not groups:
+        out = verbs[method](df, names, **options)
     else:
-        names = [c for c in names or [] if c not in group_names] or None
-        out = None
-        for key in df.select(*[q(c) for c in group_names]).distinct().orderBy(*[q(c) for c in group_names]).collect():
-            test = F.lit(True)
-            for c, v in zip(group_names, key, strict=True):
-                test = test & q(c).eqNullSafe(F.lit(v))
-            part = one(df.where(test))
-            tag = "@" + "_".join(str(v) for v in key)
-            part = part.withColumns({c: F.concat(q(c).cast("string"), F.lit(tag)) for c in part.columns if c not in df.columns and c.endswith("cluster")})
-            out = part if out is None else out.union(part)
-        out = df.limit(0) if out is None else out
+        names = [c for c in names or [] if c not in groups] or None
+        out = _kmeans_groups(df, names, groups, **options) if method == "kmeans" else verbs[method](df, names, by=groups, **options)
+    if groups:
+        tag = F.concat_ws("_", *[F.coalesce(q(g).cast("string"), F.lit("NA")) for g in groups])
+        out = out.withColumns({c: F.concat(q(c).cast("string"), F.lit("@"), tag) for c in out.columns if c not in df.columns and c.endswith("cluster")})
     return out if augment else out.select(*[q(c) for c in out.columns if c not in df.columns])
 
 

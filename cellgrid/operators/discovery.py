@@ -296,14 +296,19 @@ def analyze_abundance(df: DataFrame, cluster_col: str, method: str = "ttest", **
     verbs = {"ttest": analyze_abundance_ttest, "glmm": analyze_abundance_glmm, "diffcyt": analyze_abundance_diffcyt}
     if method not in verbs:
         raise ValueError(f"method must be one of {sorted(verbs)}")
-    return verbs[method](df, cluster_col, **options)
+    return verbs[method](df, cluster_col, **_diffcyt(options))
+
+
+def _diffcyt(options: dict) -> dict:
+    """The method within a family of models is diffcyt_method here, as method names the family."""
+    return {"method" if k == "diffcyt_method" else k: v for k, v in options.items()}
 
 
 def analyze_expression(df: DataFrame, cluster_col: str, method: str = "ttest", **options) -> DataFrame:
     verbs = {"ttest": analyze_expression_ttest, "lmm": analyze_expression_lmm, "glmm": analyze_expression_lmm, "diffcyt": analyze_expression_diffcyt}
     if method not in verbs:
         raise ValueError(f"method must be one of {sorted(verbs)}")
-    return verbs[method](df, cluster_col, **options)
+    return verbs[method](df, cluster_col, **_diffcyt(options))
 
 
 daa, daa_ttest, daa_glmm, daa_diffcyt = analyze_abundance, analyze_abundance_ttest, analyze_abundance_glmm, analyze_abundance_diffcyt

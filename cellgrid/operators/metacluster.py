@@ -13,8 +13,8 @@ from ..functions.graphs import louvain
 from ..functions.trees import consensus_labels, elbow, kmeans_labels, linkage_labels, pairwise, within_squares
 from ..table import Selector, columns, is_numeric, q
 
-#: Clusters that a metaclustering takes at most: all of them go to the driver.
-MAX_CLUSTERS = 20_000
+#: Clusters that a metaclustering takes at most: all of them go to the driver, which also bounds the bytes of their pairwise gaps.
+MAX_CLUSTERS, MAX_BYTES = 20_000, 1 << 30
 
 
 def summarize_clusters(df: DataFrame, cluster_col: str, cols: list[str], fun: Callable[[Column], Column] = F.median) -> DataFrame:
@@ -27,6 +27,8 @@ def _meta(df: DataFrame, cluster_col: str, cols: Selector, fun: Callable[[Column
     got = summarize_clusters(df, cluster_col, names, fun).where(q(cluster_col).isNotNull()).limit(MAX_CLUSTERS + 1).toPandas()
     if len(got) > MAX_CLUSTERS:
         raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    if len(got) ** 2 * max(1, len(names)) * 8 > MAX_BYTES:
+        raise ValueError(f"{len(got)} clusters by {len(names)} channels are too many to compare pairwise")
     got = got.sort_values(cluster_col, key=lambda s: s.astype(str)).reset_index(drop=True)
     found = label(got[names].to_numpy(float)) if len(got) else np.empty(0, int)
     kind = df.schema[cluster_col].dataType.simpleString()
@@ -90,7 +92,7 @@ def _som_labels(x: np.ndarray, k: int, seed: int, epochs: int = 100) -> np.ndarr
 def metacluster_flowsom(
     df: DataFrame, cluster_col: str, cols: Selector = None, fun: Callable[[Column], Column] = F.median, num_metaclusters: int = 10, algorithm: str = "consensus", seed: int = 0
 ) -> DataFrame:
-    """As many metaclusters as the elbow of the errors says, at most num_metaclusters, by consensus, hierarchical, kmeans or som."""
+    """As many metaclusters as the elbow of the method's own errors says, at most num_metaclusters, by consensus, hierarchical, kmeans or som."""
     makers = {
         "consensus": lambda x, k: consensus_labels(x, k, 100, seed=seed),
         "hierarchical": lambda x, k: linkage_labels(pairwise(x, "minkowski"), k, "ward.D2"),
@@ -102,8 +104,10 @@ def metacluster_flowsom(
 
     def label(x: np.ndarray) -> np.ndarray:
         most = min(num_metaclusters, len(x))
-        tree = [within_squares(x, linkage_labels(pairwise(x), k, "ward.D2")) for k in range(1, most + 1)]
-        return makers[algorithm](x, elbow(np.array(tree)) if most > 2 else most)
+        if most < 3:
+            return makers[algorithm](x, most)
+        found = [np.zeros(len(x), int), *[makers[algorithm](x, k) for k in range(2, most + 1)]]
+        return found[elbow(np.array([within_squares(x, f) for f in found])) - 1]
 
     return _meta(df, cluster_col, cols, fun, label, ".flowsom_metacluster")
 

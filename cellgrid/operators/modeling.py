@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import penalized as pen
+from ..functions.exprs import erfc
 from ..functions.special import chi2_tail
 from ..storage import materialize
-from ..table import Selector, columns, is_numeric, q
+from ..table import Selector, columns, is_numeric, q, with_cell_id
 
 #: Samples that a model is trained on at most.
 MAX_SAMPLES = 200_000
@@ -33,19 +34,19 @@ METRICS = {
 
 
 def split_data(
-    df: DataFrame, method: str = "k-fold", num_cv_folds: int = 10, num_cv_repeats: int = 1, num_bootstraps: int = 10, simple_prop: float = 0.75, strata: str | None = None, split: str | list[bool] | None = None, seed: int = 0,
+    df: DataFrame, method: str = "k-fold", num_cv_folds: int = 10, num_cv_repeats: int = 1, num_bootstraps: int = 10, simple_prop: float = 0.75, strata: str | None = None, split: str | list[bool] | None = None, seed: int = 0, order_by: Selector = None,
 ) -> DataFrame:
     """df once for each split that a row is in, with split_id and role (analysis or assessment).
 
     k-fold: every repeat's folds, dealt evenly in each stratum; bootstrap: rows drawn with replacement for
     analysis, those never drawn for assessment; simple: one split at simple_prop; split: a boolean column,
-    true for analysis.
+    or a boolean for each row in the order of the columns order_by, true for analysis.
     """
     ids = Window.partitionBy(*([q(strata)] if strata else []))
     fixed = materialize(df.withColumn("__u", F.rand(seed)))
     if split is not None:
         if not isinstance(split, str):
-            raise TypeError("split names a boolean column")
+            return _split_by_list(df, [bool(v) for v in split], columns(df, order_by))
         return df.withColumn("split_id", F.lit("simple")).withColumn("role", F.when(q(split), F.lit("analysis")).otherwise(F.lit("assessment")))
     if method == "simple":
         share = F.row_number().over(ids.orderBy("__u")) <= F.ceil(F.count("*").over(ids) * simple_prop)
@@ -74,6 +75,19 @@ def split_data(
     raise ValueError("method must be k-fold, bootstrap or simple")
 
 
+def _split_by_list(df: DataFrame, values: list[bool], order: list[str]) -> DataFrame:
+    """values belong to the rows in the given order, in which no two rows may tie."""
+    if not order:
+        raise ValueError("a list of booleans needs the columns to order rows by")
+    numbered = materialize(with_cell_id(df, order, "__place"))
+    n, distinct = numbered.agg(F.count("*"), F.count_distinct(F.struct(*[q(c) for c in order]))).first()
+    if n != len(values) or distinct != n:
+        raise ValueError(f"{len(values)} booleans for {n} rows, of which {distinct} differ in {order}")
+    given = df.sparkSession.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "__place long, __in boolean")
+    role = F.when(F.col("__in"), F.lit("analysis")).otherwise(F.lit("assessment"))
+    return numbered.join(given, "__place").withColumn("split_id", F.lit("simple")).withColumn("role", role).drop("__place", "__in")
+
+
 def create_grid(spark: SparkSession, penalties: Iterable[float] | None = None, mixtures: Iterable[float] | None = None, num_penalties: int = 5, num_mixtures: int = 5) -> DataFrame:
     """(penalty, mixture): every pair."""
     p = list(penalties) if penalties is not None else [float(10**e) for e in np.linspace(-10, 0, num_penalties)]
@@ -291,6 +305,15 @@ class Model:
         }, sort_keys=True)
 
 
+def all_rows(splits: DataFrame) -> DataFrame:
+    """The rows that were split. Any one split has each of them once, equal ones included; bootstraps repeat rows, so that there equal rows count once."""
+    base = [q(c) for c in splits.columns if c not in ("split_id", "role")]
+    first = splits.agg(F.min("split_id")).first()[0]
+    if first is not None and first.startswith("Bootstrap"):
+        return splits.select(*base).distinct()
+    return splits.where(F.col("split_id") == first).select(*base) if first is not None else splits.select(*base).limit(0)
+
+
 def train_model(
     splits: DataFrame, predictor_cols: Selector, kind: str, outcome_cols: str | list[str], grid: DataFrame | None = None, metric: str | None = None, sparse: bool = False,
     remove_nzv: bool = True, impute_missing: bool = False, normalize: bool = True,
@@ -304,8 +327,7 @@ def train_model(
     outcomes = [outcome_cols] if isinstance(outcome_cols, str) else list(outcome_cols)
     if len(outcomes) != (2 if kind == "survival" else 1):
         raise ValueError("survival needs time and event, other kinds one outcome")
-    base = [c for c in splits.columns if c not in ("split_id", "role")]
-    every = materialize(splits.select(*[q(c) for c in base]).distinct())
+    every = materialize(all_rows(splits))
     if every.count() > MAX_SAMPLES:
         raise ValueError(f"more than {MAX_SAMPLES} samples")
     classes = [] if kind in ("linear", "survival") else [str(r[0]) for r in every.select(q(outcomes[0]).cast("string").alias("c")).distinct().orderBy("c").limit(1_001).collect()]
@@ -431,23 +453,30 @@ def log_rank_test(df: DataFrame, time_col: str, event_col: str, stratum: Column)
     got = x.agg(F.sum(F.col("d1") - expected).alias("o"), F.sum(variance).alias("v"))
     chisq = F.when(F.col("v") > 1e-12, F.col("o") * F.col("o") / F.col("v")).otherwise(F.lit(0.0))
     one = got.select(chisq.alias("chisq"), F.lit(1).alias("df"))
-    # The upper tail of chi-squared with one degree of freedom is that of a squared normal: 2 (1 - Phi(sqrt x)).
-    tail = F.udf(lambda v: float(chi2_tail(v, 1)) if v is not None else None, "double")
-    return one.withColumn("p_val", tail("chisq"))  # one row
+    # The upper tail of chi-squared with one degree of freedom is that of a squared normal.
+    return one.withColumn("p_val", F.least(F.lit(1.0), erfc(F.sqrt(F.col("chisq") / 2))))
 
 
 def log_rank_thresholds(risk: np.ndarray, time: np.ndarray, event: np.ndarray) -> pd.DataFrame:
     """(threshold, p_val) of every risk as a cut, high above it."""
     good = np.isfinite(risk)
-    risk, time, event = risk[good], time[good], event[good]
+    order = np.argsort(risk[good], kind="stable")
+    risk, time, event = risk[good][order], time[good][order], event[good][order]
     at = np.unique(time[event > 0])
     rows = []
-    n = np.array([(time >= t).sum() for t in at])
-    d = np.array([((time == t) & (event > 0)).sum() for t in at])
-    for cut in np.unique(risk):
-        high = risk > cut
-        n1 = np.array([((time >= t) & high).sum() for t in at])
-        d1 = np.array([((time == t) & (event > 0) & high).sum() for t in at])
+    # How many of the event times a sample is at risk for, and at which of them it has its event, if at all.
+    risky = np.searchsorted(at, time, side="right")
+    dies = np.where(event > 0, np.searchsorted(at, time), len(at))
+    count = lambda places: np.bincount(places, minlength=len(at) + 1)[: len(at) + 1]
+    n = (len(time) - np.cumsum(count(risky)))[: len(at)]
+    d = count(dies)[: len(at)]
+    n1, d1 = n.copy(), d.copy()
+    ends = np.append(np.flatnonzero(risk[1:] != risk[:-1]) + 1, len(risk)) if len(risk) else np.empty(0, int)
+    for start, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+        # Those at the cut leave the high group.
+        cut = risk[start]
+        n1 -= (end - start - np.cumsum(count(risky[start:end])))[: len(at)]
+        d1 -= count(dies[start:end])[: len(at)]
         v = np.where(n > 1, d * n1 / n * (1 - n1 / n) * (n - d) / np.maximum(n - 1, 1), 0).sum()
         o = (d1 - d * n1 / n).sum()
         rows.append((float(cut), float(chi2_tail(o * o / v, 1)) if v > 1e-12 else 1.0))
@@ -489,7 +518,9 @@ def assess_model(model: Model, data: DataFrame | str = "tuning") -> dict[str, An
             out["roc_curve"] = out["roc_curve"].union(c)
         out["model_metrics"] = pred.agg(F.avg((called == q(truth).cast("string")).cast("double")).alias("accuracy")).withColumn("misclassification_error", 1 - F.col("accuracy"))
     else:
-        pdf = pred.select("pred", "time", "event").limit(MAX_SAMPLES).toPandas()
+        pdf = pred.select("pred", "time", "event").limit(MAX_SAMPLES + 1).toPandas()
+        if len(pdf) > MAX_SAMPLES:
+            raise ValueError(f"more than {MAX_SAMPLES} samples")
         r, t, e = (pdf[c].to_numpy(float) for c in ("pred", "time", "event"))
         r = np.where(np.isinf(r), np.nanmax(r[np.isfinite(r)]) if np.isfinite(r).any() else 0, r)
         spark = model.training_data.sparkSession

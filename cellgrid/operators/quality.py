@@ -12,6 +12,7 @@ from ..functions.special import t_quantile
 from ..table import Selector, columns, is_numeric, q
 from .cluster import classifier, distance_columns
 from .neighbors import find_knn, vote
+from .quantiles import exact_quantile
 from .sample import join_groups
 
 
@@ -79,8 +80,13 @@ def assess_clusters_distance(
     own = F.coalesce(*[F.when(q(cluster_col).cast("string") == p, c) for p, c in far.items()])
     out = df.withColumn("mahalanobis_distance", own)
     by = [q(cluster_col)] if per_cluster else []
-    out = join_groups(out, out.groupBy(*by).agg(F.median("mahalanobis_distance").alias("__m")))
-    out = join_groups(out, out.groupBy(*by).agg((F.median(F.abs(F.col("mahalanobis_distance") - F.col("__m"))) * MAD_SCALE).alias("__mad")))
+    if by:
+        out = join_groups(out, out.groupBy(*by).agg(F.median("mahalanobis_distance").alias("__m")))
+        out = join_groups(out, out.groupBy(*by).agg((F.median(F.abs(F.col("mahalanobis_distance") - F.col("__m"))) * MAD_SCALE).alias("__mad")))
+    else:
+        middle = exact_quantile(out, F.col("mahalanobis_distance"), 0.5)
+        spread = exact_quantile(out, F.abs(F.col("mahalanobis_distance") - F.lit(middle)), 0.5)
+        out = out.withColumns({"__m": F.lit(middle).cast("double"), "__mad": F.lit(None if spread is None else spread * MAD_SCALE).cast("double")})
     out = out.withColumn("z_score", F.try_divide(F.col("mahalanobis_distance") - F.col("__m"), F.col("__mad"))).withColumn("flagged_cell", F.col("z_score") > z_threshold)
     new = ["mahalanobis_distance", "z_score", "flagged_cell"]
     return out.select(*([q(c) for c in df.columns] if augment else []), *new)
@@ -99,10 +105,8 @@ def assess_clusters_entropy(
     near = wide.withColumn("__near", F.slice(F.sort_array(F.array(*[q(c) for c in new])), 1, k)).withColumn("__p", sum_rescale(F.col("__near")))
     near = near.withColumn("entropy", shannon_entropy(F.transform("__p", lambda x: 1 - x)))
     if entropy_threshold is None:
-        limit = near.agg(F.percentile("entropy", F.lit(entropy_quantile)).alias("__limit"))
-        near = near.join(F.broadcast(limit), F.lit(True))  # one row
-    else:
-        near = near.withColumn("__limit", F.lit(float(entropy_threshold)))
+        entropy_threshold = exact_quantile(near, F.col("entropy"), entropy_quantile)
+    near = near.withColumn("__limit", F.lit(entropy_threshold).cast("double"))
     out = near.withColumn("flagged_cell", F.col("entropy") > F.col("__limit"))
     return out.select(*([q(c) for c in df.columns] if augment else []), "entropy", "flagged_cell", *[q(c) for c in new])
 

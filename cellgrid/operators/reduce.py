@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..table import Selector, columns, is_numeric, q
 from .neighbors import _vectors, find_knn
 
-#: Cells that an embedding of single points takes: its work is on one machine.
-MAX_EMBED = 50_000
+#: Cells that a layout of a neighbour graph takes, and bytes of the dense matrices of t-SNE: their work is on one machine.
+MAX_EMBED, MAX_DENSE = 50_000, 4 << 30
 
 
 class PcaFit:
@@ -157,8 +157,9 @@ def _attach(df: DataFrame, ids: np.ndarray, y: np.ndarray, prefix: str, id_col:
 
 
 def reduce_tsne(df: DataFrame, cols: Selector = None, num_comp: int = 2, perplexity: float = 30.0, max_iterations: int = 1000, id_col: str = "cell_id", seed: int = 0, max_cells: int = MAX_EMBED) -> DataFrame:
+    """Exact t-SNE: six n by n matrices of doubles are held at a time, which bounds the cells more than max_cells does."""
     names = [c for c in columns(df, cols, is_numeric) if c != id_col]
-    ids, x = _points(df, names, id_col, max_cells)
+    ids, x = _points(df, names, id_col, min(max_cells, int((MAX_DENSE / 48) ** 0.5)))
     return _attach(df, ids, tsne(x, num_comp, perplexity, max_iterations, seed), ".tsne", id_col)
 
 

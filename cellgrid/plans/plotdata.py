@@ -15,7 +15,7 @@ from ..operators import neighbors, reduce
 from ..operators.sample import join_groups
 from ..table import Selector, columns, is_numeric, q
 
-#: The colours, in order.
+#: Colours of our own choice, in the order of use.
 PALETTE = [
     "#1F77B4", "#FF7F0E", "#2CA02C", "#D62728", "#9467BD", "#8C564B", "#E377C2",
     "#7F7F7F", "#BCBD22", "#17BECF", "#AEC7E8", "#FFBB78", "#98DF8A", "#FF9896",

@@ -122,7 +122,7 @@ def assess_flow_rate(spark, d):
 
 @query(f"SELECT {_KEYS}, l_returnflag, " + ", ".join(_R(f"(l.{c} - min(l.{c}) OVER w) / (max(l.{c}) OVER w - min(l.{c}) OVER w)") + f" AS {c}" for c in CHANNELS) + " FROM lineitem l WINDOW w AS (PARTITION BY l_returnflag)")
 def batch_correct_rescale(spark, d):
-    return _round(batch.batch_correct_rescale(cells(spark, d), CHANNELS, "l_returnflag"), CHANNELS).select(*KEY, "l_returnflag", *CHANNELS)
+    return _round(batch.batch_correct(cells(spark, d), CHANNELS, "l_returnflag", method="rescale"), CHANNELS).select(*KEY, "l_returnflag", *CHANNELS)
 
 
 @query(
@@ -135,17 +135,17 @@ x AS (SELECT r.id, {", ".join("r." + k for k in KEY)}, r.ch, avg(m.mean) OVER (P
 SELECT {_KEYS}, {", ".join(_R(f"max(CASE WHEN ch = '{c}' THEN y END)", 4) + f" AS {c}" for c in CHANNELS)} FROM x GROUP BY id, {_KEYS}"""
 )
 def batch_correct_quantile(spark, d):
-    return _round(batch.batch_correct_quantile(cells(spark, d), CHANNELS, "l_returnflag"), CHANNELS, 4).select(*KEY, *CHANNELS)
+    return _round(batch.batch_correct(cells(spark, d), CHANNELS, "l_returnflag", method="quantile"), CHANNELS, 4).select(*KEY, *CHANNELS)
 
 
 @query("SELECT l_suppkey, least(50, count(*))::BIGINT AS n FROM lineitem GROUP BY 1")
 def downsample_constant(spark, d):
-    return sample.downsample_constant(cells(spark, d), "l_suppkey", 50, seed=1).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return sample.downsample(cells(spark, d), "l_suppkey", "constant", num_cells=50, seed=1).groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_suppkey, floor(0.1 * count(*) + 1e-9)::BIGINT AS n FROM lineitem GROUP BY 1 HAVING floor(0.1 * count(*) + 1e-9) > 0")
 def downsample_prop(spark, d):
-    return sample.downsample_prop(cells(spark, d), "l_suppkey", 0.1, seed=1).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return sample.downsample(cells(spark, d), "l_suppkey", "prop", prop_cells=0.1, seed=1).groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
 def _vec(spark, d):
@@ -174,11 +174,6 @@ def spade_density(spark, d):
     return _doubles(neighbors.estimate_density(_vec(spark, d), ["embedding"], "spade", name="density", alpha_multiplier=5.0, max_cells=100_000))
 
 
-@query()
-def downsample_density(spark, d):
-    return sample.downsample_density(_vec(spark, d).select("cell_id", "embedding", "label"), None, "embedding", seed=3).select("cell_id", "label")
-
-
 @query(f"WITH {_KNN.format(k=10)} SELECT cell_id AS src, neighbor_id AS dst, {_R('1 / (1 + distance)')} AS weight FROM k")
 def knn_graph(spark, d):
     return _doubles(neighbors.knn_graph(neighbors.find_knn(_vec(spark, d), ["embedding"], 10)))
@@ -202,7 +197,7 @@ SELECT cell_id, label AS upsample_cluster FROM v QUALIFY row_number() OVER (PART
 def upsample_neighbor(spark, d):
     """The reference is one half of the vectors, the cells to label are the other: that is the operator's input."""
     v = _vec(spark, d)
-    out = upsample.upsample_neighbor(v.where("cell_id % 2 = 1"), v.where("cell_id % 2 = 0"), "label", ["embedding"], 5)
+    out = upsample.upsample(v.where("cell_id % 2 = 1"), v.where("cell_id % 2 = 0"), "label", ["embedding"], method="neighbor", num_neighbors=5)
     return out.select("cell_id", F.col("`.upsample_cluster`").alias("upsample_cluster"))
 
 
@@ -213,7 +208,7 @@ _D2 = "((l_quantity - m1) ** 2 * c - 2 * (l_quantity - m1) * (l_discount - m2) *
 @query(f"WITH {_FIT}, x AS (SELECT {_KEYS}, l_quantity AS q, l_discount AS dc, p, {_D2} AS d FROM lineitem, f) SELECT {_KEYS}, {', '.join(_R(f'max(CASE WHEN p = {chr(39)}{p}{chr(39)} THEN d END)', 4) + f' AS d_{p}' for p in 'ANR')} FROM x GROUP BY {_KEYS}, q, dc")
 def ddpr_mahalanobis(spark, d):
     c = cells(spark, d)
-    out = cluster.cluster_ddpr(c, c, "l_returnflag", ["l_quantity", "l_discount"], "mahalanobis", return_distances=True)
+    out = cluster.cluster(c, ["l_quantity", "l_discount"], "ddpr", healthy=c, healthy_label_col="l_returnflag", distance="mahalanobis", return_distances=True)
     return _doubles(out.groupBy(*KEY, "l_quantity", "l_discount").agg(*[F.max(f"`.mahalanobis_{p}`").alias(f"d_{p}") for p in "ANR"]).select(*KEY, *[f"d_{p}" for p in "ANR"]), 4)
 
 
@@ -244,7 +239,7 @@ def ddpr_pearson(spark, d):
 @query(f"WITH {_FIT}, x AS (SELECT {_KEYS}, l_quantity, l_discount, p, {_D2} AS d FROM lineitem, f) SELECT {_KEYS}, p AS upsample_cluster FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS}, l_quantity, l_discount, i ORDER BY d, p) AS r FROM (SELECT x.*, row_number() OVER (PARTITION BY {_KEYS}, l_quantity, l_discount, p) AS i FROM x)) WHERE r = 1")
 def upsample_distance(spark, d):
     c = cells(spark, d)
-    out = upsample.upsample_distance(c, c, "l_returnflag", ["l_quantity", "l_discount"])
+    out = upsample.upsample(c, c, "l_returnflag", ["l_quantity", "l_discount"], method="distance")
     return out.select(*KEY, F.col("`.upsample_cluster`").alias("upsample_cluster"))
 
 
@@ -261,11 +256,11 @@ def assess_clusters_distance(spark, d):
     f"""WITH {_FIT}, x AS (SELECT row_number() OVER () AS id, * FROM lineitem), y AS (SELECT id, {_KEYS}, p, {_D2} AS d FROM x, f),
 s AS (SELECT *, d / sum(d) OVER (PARTITION BY id) AS w FROM y),
 e AS (SELECT id, {_KEYS}, CASE WHEN abs(max(1 - w) - 1) < 1.5e-8 THEN 0 ELSE -sum((1 - w + 1e-20) * ln(1 - w + 1e-20)) END AS entropy FROM s GROUP BY ALL)
-SELECT {_KEYS}, {_R("entropy", 5)} AS entropy FROM e"""
+SELECT {_KEYS}, {_R("entropy", 5)} AS entropy, entropy > 0.5 AS flagged_cell FROM e"""
 )
 def assess_clusters_entropy(spark, d):
     out = quality.assess_clusters_entropy(cells(spark, d), "l_returnflag", ["l_quantity", "l_discount"], entropy_threshold=0.5, augment=True)
-    return _round(out, ["entropy"], 5).select(*KEY, "entropy")
+    return _round(out, ["entropy"], 5).select(*KEY, "entropy", "flagged_cell")
 
 
 @query(
@@ -277,50 +272,12 @@ def assess_clusters_knn(spark, d):
     return quality.assess_clusters_knn(_vec(spark, d), "label", ["embedding"], 10)
 
 
-@query()
-def cluster_kmeans(spark, d):
-    out = cluster.cluster_kmeans(preprocess.preprocess(cells(spark, d), CHANNELS), CHANNELS, 8, seed=1, max_iter=15)
-    return out.groupBy(F.col("`.kmeans_cluster`").alias("kmeans_cluster")).agg(F.count("*").alias("n"))
-
-
-@query()
-def cluster_flowsom(spark, d):
-    out = cluster.cluster_flowsom(preprocess.preprocess(cells(spark, d), CHANNELS), CHANNELS, 6, 6, num_metaclusters=8, epochs=5, seed=1)
-    return out.groupBy(F.col("`.flowsom_metacluster`").alias("flowsom_metacluster")).agg(F.count("*").alias("n"))
-
-
-@query()
-def cluster_phenograph(spark, d):
-    return cluster.cluster_phenograph(_vec(spark, d), ["embedding"], 15, seed=1).select("cell_id", F.col("`.phenograph_cluster`").alias("phenograph_cluster"))
-
-
-@query()
-def cluster_grouped(spark, d):
-    out = cluster.cluster(preprocess.preprocess(cells(spark, d), CHANNELS), CHANNELS, "kmeans", by="l_linestatus", num_clusters=3, seed=1, max_iter=10)
-    return out.groupBy("l_linestatus", F.col("`.kmeans_cluster`").alias("kmeans_cluster")).agg(F.count("*").alias("n"))
-
-
 @query(f"SELECT {_KEYS}, l_returnflag, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' END AS l_returnflag_annotation FROM lineitem")
 def annotate_clusters(spark, d):
     out = cluster.annotate_clusters(cells(spark, d), "l_returnflag", {"A": "accepted", "R": "returned"})
     return out.select(*KEY, "l_returnflag", "l_returnflag_annotation")
 
 
-def _meta(method: str, **options):
-    def run(spark, d):
-        from ..operators import metacluster
-
-        c = preprocess.preprocess(cells(spark, d), CHANNELS).withColumn("cluster", F.concat_ws("_", "l_returnflag", "l_linestatus", "l_linenumber"))
-        out = metacluster.metacluster(c, "cluster", CHANNELS, method, **options)
-        return out.groupBy("cluster", F.col(f"`.{method}_metacluster`").alias("metacluster")).agg(F.count("*").alias("n"))
-
-    run.__name__ = f"metacluster_{method}"
-    return run
-
-
-for _method, _options in (("hierarchical", {"num_metaclusters": 4}), ("kmeans", {"num_metaclusters": 4}), ("phenograph", {}), ("consensus", {"num_metaclusters": 4}), ("flowsom", {"num_metaclusters": 6})):
-    query()(_meta(_method, **_options))
-
 _PROP = """
 n AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
 t AS (SELECT l_suppkey, sum(n) AS t FROM n GROUP BY 1),
@@ -440,27 +397,11 @@ def analyze_expression_ttest(spark, d):
     return out.withColumns({"t": F.round("t", 4) + 0.0, "df": F.round("df", 3) + 0.0, "mean_diff": F.round("mean_diff", 4) + 0.0, "mean_fc": F.round("mean_fc", 5) + 0.0})
 
 
-@query()
-def analyze_abundance_significance(spark, d):
-    """The same tests with p values, whose distribution functions SQL lacks."""
-    return discovery.analyze_abundance(cells(spark, d), "l_returnflag", "ttest", effect_col="l_linestatus", group_cols="l_suppkey")
-
-
-@query()
-def analyze_expression_significance(spark, d):
-    return discovery.analyze_expression(cells(spark, d), "l_returnflag", "ttest", effect_col="l_linestatus", group_cols="l_suppkey", marker_cols=CHANNELS)
-
-
 @query()
 def analyze_abundance_glmm(spark, d):
     return discovery.analyze_abundance_glmm(cells(spark, d), "l_returnflag", "l_suppkey", "l_linestatus", "l_suppkey")
 
 
-@query()
-def analyze_expression_lmm(spark, d):
-    return discovery.analyze_expression_lmm(cells(spark, d), "l_returnflag", "l_suppkey", "l_linestatus", "l_suppkey", ["l_quantity", "l_discount"])
-
-
 @query()
 def analyze_abundance_voom(spark, d):
     return discovery.analyze_abundance_diffcyt(cells(spark, d), "l_returnflag", "l_suppkey", "l_linestatus", method="voom")
@@ -471,11 +412,6 @@ def analyze_abundance_edger(spark, d):
     return discovery.analyze_abundance_diffcyt(cells(spark, d), "l_returnflag", "l_suppkey", "l_linestatus", method="edgeR")
 
 
-@query()
-def analyze_expression_limma(spark, d):
-    return discovery.analyze_expression_diffcyt(cells(spark, d), "l_returnflag", "l_suppkey", "l_linestatus", marker_cols=CHANNELS, method="limma")
-
-
 @query(
     """WITH p AS (SELECT o_orderkey AS id, o_totalprice / (SELECT max(o_totalprice) + 1 FROM orders) AS p_val FROM orders),
 r AS (SELECT *, p_val * count(*) OVER () / rank_max AS raw FROM (SELECT *, count(*) OVER (ORDER BY p_val) AS rank_max FROM p))
@@ -488,12 +424,6 @@ def bh_adjust(spark, d):
     return _doubles(discovery.bh_adjust(p).select("id", "p_adj"))
 
 
-@query()
-def reduce_pca(spark, d):
-    out = reduce.reduce_pca(preprocess.preprocess(cells(spark, d), CHANNELS), CHANNELS, 3)
-    return out.agg(*[F.round(F.var_samp(f"`.pc{i}`"), 4).alias(f"variance_{i}") for i in (1, 2, 3)])
-
-
 @query()
 def reduce_tsne(spark, d):
     return reduce.reduce_tsne(_vec(spark, d), ["embedding"], max_iterations=300, seed=1).select("cell_id", F.col("`.tsne1`").alias("tsne1"), F.col("`.tsne2`").alias("tsne2"))
@@ -568,18 +498,6 @@ def km_curve(spark, d):
     return _round(modeling.km_curve(_rounded(spark, d), "time", "event", "rich"), ["survival"])
 
 
-@query(
-    f"""WITH {_CUSTOMERS}, g AS (SELECT time, count(*) AS k, count(*) FILTER (WHERE score > 0.75) AS k1, sum(event) AS e, coalesce(sum(event) FILTER (WHERE score > 0.75), 0) AS e1 FROM c GROUP BY 1),
-r AS (SELECT *, sum(k) OVER (ORDER BY time DESC) AS r, sum(k1) OVER (ORDER BY time DESC) AS r1 FROM g),
-x AS (SELECT sum(e1 - e * r1 / r) AS o, sum(CASE WHEN r > 1 THEN e * r1 / r * (1 - r1 / r) * (r - e) / (r - 1) ELSE 0 END) AS v FROM r WHERE e > 0)
-SELECT {_R("o * o / v", 5)} AS chisq, 1 AS df FROM x"""
-)
-def log_rank_chisq(spark, d):
-    from ..operators import modeling
-
-    return _round(modeling.log_rank_test(_rounded(spark, d), "time", "event", F.col("score") > 0.75), ["chisq"], 5).select("chisq", "df")
-
-
 @query()
 def split_data(spark, d):
     from ..operators import modeling
@@ -594,47 +512,6 @@ SELECT format('Fold{:02d}', f) AS split_id, 'assessment' AS role, k::BIGINT AS n
 UNION ALL SELECT format('Fold{:02d}', f), 'analysis', (n - k)::BIGINT FROM a"""
 
 
-def _trained(spark, d, kind: str, outcome):
-    from ..operators import modeling
-
-    splits = modeling.split_data(_customers(spark, d), "k-fold", 3, seed=1)
-    grid = modeling.create_grid(spark, [1e-4, 1e-2, 1e-1], [0.5, 1.0])
-    return modeling.train_model(splits, ["n_orders", "mean_price", "max_price", "share_f"], kind, outcome, grid)
-
-
-@query()
-def train_model_linear(spark, d):
-    return _trained(spark, d, "linear", "c_acctbal").coefficient_table(spark)
-
-
-@query()
-def train_model_two_class(spark, d):
-    from ..operators import modeling
-
-    return modeling.assess_model(_trained(spark, d, "two-class", "rich"))["model_metrics"]
-
-
-@query()
-def train_model_multiclass(spark, d):
-    from ..operators import modeling
-
-    return modeling.assess_model(_trained(spark, d, "multiclass", "c_mktsegment"))["confusion_matrix"]
-
-
-@query()
-def train_model_survival(spark, d):
-    from ..operators import modeling
-
-    return modeling.assess_model(_trained(spark, d, "survival", ["time", "event"]))["survival_curves"]
-
-
-@query()
-def predict_model(spark, d):
-    from ..operators import modeling
-
-    return modeling.predict(_trained(spark, d, "linear", "c_acctbal")).select("c_custkey", F.col("`.pred`").alias("pred"))
-
-
 @query("SELECT event_type, count(*)::BIGINT AS num_cells, strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S') AS start FROM events GROUP BY event_type, time_bucket(INTERVAL '6 hours', ts)")
 def stream_flow_rate(spark, d):
     from ..streaming.flow import stream_flow_rate as rate
@@ -643,20 +520,6 @@ def stream_flow_rate(spark, d):
     return rate(events, "ts", "6 hours", by="event_type").select("event_type", "num_cells", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
-@query()
-def fcs_round_trip(spark, d):
-    """Cells written as FCS files of each cluster, read back and summed up."""
-    import uuid
-
-    from ..sources import fcs, files
-    from ..storage import scratch_dir
-
-    where = f"{scratch_dir(spark)}/fcs-{uuid.uuid4().hex}"
-    fcs.write_fcs(cells(spark, d).select("l_returnflag", *CHANNELS), where, "l_returnflag")
-    read = files.read_data(spark, where)["1"].df
-    return read.groupBy("file_name").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(f"`{c}`")), 3).alias(c) for c in read.columns if c != "file_name"])
-
-
 @query(f"WITH u AS ({_each('SELECT {c} AS v, ' + chr(39) + '{c}' + chr(39) + ' AS channel, l_returnflag FROM lineitem')}) SELECT l_returnflag, channel AS name, min(v) AS \"minRange\", max(v) AS \"maxRange\", {_R('max(v) - min(v)')} AS range FROM u GROUP BY 1, 2")
 def frame_parameters(spark, d):
     from ..sources import bundle
@@ -682,21 +545,6 @@ def cell_id(spark, d):
     return with_cell_id(cells(spark, d), [*KEY, "l_quantity", "l_extendedprice"]).select("cell_id", *KEY)
 
 
-@query()
-def plot_cells_density(spark, d):
-    from . import plotdata
-
-    return plotdata.cells_density(cells(spark, d), "l_quantity", "l_returnflag")
-
-
-@query()
-def plot_cells_embedding(spark, d):
-    from . import plotdata
-
-    out = plotdata.cells_embedding(preprocess.preprocess(cells(spark, d), CHANNELS), compute_cols=CHANNELS, color="l_returnflag")
-    return out.groupBy("l_returnflag").agg(F.round(F.avg("`.pc1`"), 4).alias("pc1"), F.round(F.avg("`.pc2`"), 4).alias("pc2"))
-
-
 @query()
 def plot_cells_layout(spark, d):
     from . import plotdata
@@ -704,22 +552,6 @@ def plot_cells_layout(spark, d):
     return plotdata.cells_layout(_vec(spark, d), ["embedding"], rounds=20)[0]
 
 
-@query()
-def plot_clusters_mst(spark, d):
-    from . import plotdata
-
-    c = preprocess.preprocess(cells(spark, d), CHANNELS).withColumn("cluster", F.concat_ws("_", "l_returnflag", "l_linestatus", "l_linenumber"))
-    return plotdata.clusters_mst(c, "cluster", CHANNELS)[1]
-
-
-@query()
-def plot_clusters_volcano(spark, d):
-    from . import plotdata
-
-    tests = analyze_expression_significance(spark, d)
-    return plotdata.clusters_volcano(tests, label_col="marker")
-
-
 @query()
 def plot_clusters_heatmap(spark, d):
     from . import plotdata
@@ -734,20 +566,6 @@ def plot_sample_heatmap(spark, d):
     return _doubles(plotdata.sample_heatmap(cells(spark, d), "l_linenumber", CHANNELS, scale_cols=True).select("row", "channel", "value"))
 
 
-@query()
-def plot_sample_features(spark, d):
-    from . import plotdata
-
-    return plotdata.sample_features(extract_proportion_wide(spark, d), "l_suppkey")
-
-
-@query()
-def plot_model(spark, d):
-    from . import plotdata
-
-    return plotdata.model_plot(_trained(spark, d, "two-class", "rich"))["roc_curve"]
-
-
 def _folder(spark, kind: str) -> str:
     import uuid
 
@@ -834,3 +652,5 @@ WITH {_KNN.format(k=1)}, a AS (SELECT 5 * median(distance) AS alpha FROM k), n A
 k2 AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY distance, neighbor_id) AS r FROM p),
 c AS (SELECT cell_id, count(*) FILTER (WHERE distance < alpha AND r <= m) AS x FROM k2, a, n GROUP BY 1)
 SELECT cell_id, {_R("(x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0)")} AS density FROM c"""
+
+from . import model_queries  # noqa: E402, F401  its queries join those above

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sample import join_groups
+from ..storage import materialize
 from ..table import CellTable, Selector, columns, is_numeric, q
+from .panel import channel_name, panel_of
 
 #: Columns of embeddings, by their names.
 REDUCED = {"pca": re.compile(r"^\.pc\d+$"), "tsne": re.compile(r"^\.tsne\d+$"), "umap": re.compile(r"^\.umap\d+$")}
@@ -64,6 +68,52 @@ def frame_parameters(df: DataFrame, by: Selector = None) -> DataFrame:
     return ends.select(*[q(g) for g in groups], F.explode(rows).alias("__r")).select(*[q(g) for g in groups], "__r.*")
 
 
+@dataclass(frozen=True)
+class Frame:
+    """Cells of numeric channels with what is said of each channel (see frame_parameters)."""
+
+    exprs: DataFrame
+    parameters: DataFrame
+
+
+@dataclass(frozen=True)
+class FrameSet:
+    """Frames of samples: cells with the name of their sample, a row of group columns for each sample, and parameters of all channels."""
+
+    exprs: DataFrame
+    metadata: DataFrame
+    parameters: DataFrame
+
+
+def as_frame(df: DataFrame) -> Frame:
+    """The numeric channels of all cells as one frame; | in a channel's name becomes _."""
+    names = columns(df, None, is_numeric)
+    return Frame(df.select(*[q(c).cast("double").alias(c.replace("|", "_")) for c in names]), frame_parameters(df.select(*[q(c) for c in names])))
+
+
+def as_frame_set(df: DataFrame, by: Selector) -> FrameSet:
+    """A frame for each group, named Sample_1, Sample_2, ... in the groups' order; parameters are those of all cells together."""
+    groups = columns(df, by)
+    if not groups:
+        raise ValueError("a set of frames needs groups")
+    names = [c for c in columns(df, None, is_numeric) if c not in groups]
+    keys = materialize(df.select(*[q(g) for g in groups]).distinct())
+    place = F.row_number().over(Window.orderBy(*[q(g) for g in groups]))  # a row for each sample
+    metadata = materialize(keys.withColumn("sample", F.concat(F.lit("Sample_"), place.cast("string"))))
+    marked = join_groups(df, metadata.withColumnRenamed("sample", "__sample"))
+    exprs = marked.select(F.col("__sample").alias("sample"), *[q(c).cast("double").alias(c.replace("|", "_")) for c in names])
+    return FrameSet(exprs, metadata.select("sample", *[q(g) for g in groups]), frame_parameters(df.select(*[q(c) for c in names])))
+
+
+def from_frame(frame: Frame, sep: str = "|") -> CellTable:
+    """The cell table of a frame, its panel found from the parameters' names and descriptions as of a file."""
+    rows = [(r["name"], r["desc"]) for r in frame.parameters.select("name", "desc").collect()]  # a row for each channel
+    panel = panel_of([n for n, _ in rows], [d for _, d in rows])
+    named = {n: channel_name(a, m, sep) for (n, _), (m, a) in zip(rows, panel, strict=True)}
+    df = frame.exprs.select(*[q(c).alias(named.get(c, c)) for c in frame.exprs.columns])
+    return CellTable(df, df.sparkSession.createDataFrame(panel, "metals string, antigens string"))
+
+
 def from_pandas(spark: SparkSession, pdf, panel: DataFrame | None = None) -> CellTable:
     return CellTable(spark.createDataFrame(pdf)).with_panel(panel)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
@@ -81,6 +82,19 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def deframe(df: DataFrame, name: str, value: str, most: int = 1_000_000) -> dict[Any, Any]:
+    """Two columns of a small table as a dict; of equal names the last in the order of values counts."""
+    got = df.select(q(name).alias("n"), q(value).alias("v")).limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows")
+    return {r.n: r.v for r in sorted(got, key=lambda r: (r.v is not None, str(r.v)))}
+
+
+def pull_unless_null(df: DataFrame, name: str | None) -> DataFrame | None:
+    """The one column, or None where no name is given."""
+    return None if name is None else df.select(q(name))
+
+
 def with_cell_id(df: DataFrame, keys: list[str], name: str = "cell_id") -> DataFrame:
     """df with consecutive numbers from 1 in the order of keys.
 
@@ -102,14 +116,28 @@ class CellTable:
 
     df: DataFrame
     panel: DataFrame | None = None
+    #: Columns that verbs group by where none are given.
+    groups: tuple[str, ...] = ()
 
     def with_panel(self, panel: DataFrame | None) -> CellTable:
         if panel is not None and set(panel.columns) != {"metals", "antigens"}:
             raise ValueError("a panel has the columns metals and antigens")
         return replace(self, panel=panel)
 
+    def group_by(self, *names: str, add: bool = False) -> CellTable:
+        """The same rows with groups, which verbs that take groups (`by`) then work in; add: to those there are."""
+        kept = self.groups if add else ()
+        return replace(self, groups=tuple(dict.fromkeys([*kept, *columns(self.df, list(names))])))
+
+    def ungroup(self) -> CellTable:
+        return replace(self, groups=())
+
     def pipe(self, verb: Callable[..., DataFrame], *args: Any, **options: Any) -> CellTable:
-        """The verb's result, with this table's panel."""
+        """The verb's result, with this table's panel; a verb that takes `by` gets the groups unless others are given."""
+        if self.groups and "by" not in options:
+            places = list(inspect.signature(verb).parameters)
+            if "by" in places and places.index("by") > len(args):
+                options["by"] = list(self.groups)
         return replace(self, df=verb(self.df, *args, **options))
 
     def mutate(self, **new: Column) -> CellTable:
@@ -121,7 +149,8 @@ class CellTable:
     def select(self, *names: str | Column) -> CellTable:
         return replace(self, df=self.df.select(*names))
 
-    def nest(self, by: list[str], name: str = "data") -> CellTable:
+    def nest(self, by: list[str] | None = None, name: str = "data") -> CellTable:
+        by = list(self.groups) if by is None else by
         rest = [q(c) for c in self.df.columns if c not in by]
         return replace(self, df=self.df.groupBy(*[q(c) for c in by]).agg(F.collect_list(F.struct(*rest)).alias(name)))
 
@@ -139,9 +168,7 @@ class CellTable:
         ids = [q(c) for c in self.df.columns if c not in (names_from, values_from)]
         return replace(self, df=self.df.groupBy(*ids).pivot(names_from, values).agg(F.first(q(values_from))))
 
-    def sample(self, n: int | None = None, prop: float | None = None, by: list[str] | None = None, seed: int = 0) -> CellTable:
-        from .operators.sample import downsample_constant, downsample_prop
+    def sample(self, n: int | None = None, prop: float | None = None, by: list[str] | None = None, weight_by: str | None = None, replace: bool = False, seed: int = 0) -> CellTable:
+        from .operators.sample import slice_sample
 
-        if (n is None) == (prop is None):
-            raise ValueError("give n or prop")
-        return self.pipe(downsample_constant, by, n, seed=seed) if n is not None else self.pipe(downsample_prop, by, prop, seed=seed)
+        return self.pipe(slice_sample, n, prop, list(self.groups) if by is None else by, weight_by, replace, seed)

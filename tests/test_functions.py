@@ -59,8 +59,30 @@ def test_consensus_separates_blobs(algorithm):
     assert set(labels[:8]) != set(labels[8:]) and len(set(labels)) == 2
 
 
-def test_elbow_of_a_bent_curve():
-    assert trees.elbow(np.array([100, 60, 20, 19, 18, 17, 16.0])) in (2, 3)
+def plain_elbow(errors):
+    """The rule word by word: places from 1 to K, smoothed from left to right, lines through 1..i-1 and i..K."""
+    s = {k: float(v) for k, v in enumerate(errors, 1)}
+    last = len(s)
+    for i in range(2, last):
+        s[i] = 0.8 * s[i] + 0.1 * s[i - 1] + 0.1 * s[i + 1]
+    best, least = 1, math.inf
+    for i in range(2, last):
+        miss = 0.0
+        for places in (range(1, i), range(i, last + 1)):
+            x, y = np.array(places, float), np.array([s[k] for k in places])
+            slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum() if len(x) > 1 else 0.0
+            miss += np.abs(y - y.mean() - slope * (x - x.mean())).sum()
+        if miss < least - 1e-9:
+            best, least = i, miss
+    return best
+
+
+def test_elbow_is_the_rule():
+    assert trees.elbow(np.array([100, 60, 20, 19, 18, 17, 16.0])) == plain_elbow([100, 60, 20, 19, 18, 17, 16])
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        curve = np.sort(rng.exponential(size=rng.integers(3, 15)))[::-1] * 100
+        assert trees.elbow(curve) == plain_elbow(curve)
 
 
 def test_elastic_net_meets_its_optimality_conditions():
@@ -119,3 +141,27 @@ def test_panel_from_names():
     assert panel.split_channel("Nd142Di", "142Nd_CD19") == ("Nd142", "CD19")
     assert panel.split_channel("Time", "") == ("Time", "empty")
     assert panel.panel_of(["Time", "FSC-A"], ["", ""]) == [("Time", "Time"), ("FSC-A", "FSC-A")]
+
+
+def test_lowess_follows_a_line_and_shrugs_off_an_outlier():
+    x = np.arange(30.0)
+    assert models.lowess(x, 2 * x + 1) == pytest.approx(2 * x + 1)
+    y = 2 * x + 1 + np.random.default_rng(9).normal(0, 0.1, 30)
+    y[10] = 500
+    assert np.abs(models.lowess(x, y) - (2 * x + 1)).max() < 1
+
+
+def test_dispersions_follow_the_rows():
+    """Half the rows are Poisson, half vary much more: a small change of a calm row tells less the more its dispersion is drawn to all."""
+    rng = np.random.default_rng(10)
+    x = np.column_stack((np.ones(24), np.repeat([0.0, 1.0], 12)))
+    mean = np.full(24, 200.0)
+    calm = rng.poisson(mean, (10, 24)).astype(float)
+    wild = rng.poisson(mean * rng.gamma(2, 0.5, (10, 24))).astype(float)
+    changed = calm[:1] * np.where(x[:, 1] > 0, 1.3, 1.0)
+    rows = np.concatenate((calm, wild, changed))
+    own, drawn, common = (models.negative_binomial(rows, np.full(24, 4000.0), x, [np.array([[0.0], [1.0]])], prior)[0] for prior in (0.0, 10.0, 1000.0))
+    assert own["p"][20] < 1e-6 < drawn["p"][20] < 0.05 < common["p"][20]
+    assert all((f["p"][:20] < 0.05).sum() <= 4 for f in (own, drawn, common))
+    assert drawn["effect"][20] == pytest.approx(math.log2(1.3), abs=0.15)
+    assert np.abs(drawn["effect"][10:20]).max() > np.abs(drawn["effect"][:10]).max()

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgrid import registry
-from cellgrid.operators import batch, cluster, discovery, features, metacluster, modeling, neighbors, preprocess, quality, reduce, sample, upsample
+from cellgrid.functions import exprs, special
+from cellgrid.operators import batch, cluster, discovery, features, metacluster, modeling, neighbors, preprocess, quality, quantiles, reduce, sample, upsample
 from cellgrid.sources import bundle, files
-from cellgrid.table import CellTable, all_of, any_of, columns, contains, starts_with, with_cell_id
+from cellgrid.streaming import flow
+from cellgrid.table import CellTable, all_of, any_of, columns, contains, deframe, pull_unless_null, starts_with, with_cell_id
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +49,78 @@ def test_downsampling_counts(blobs):
         sample.downsample(blobs, None, method="no")
 
 
+def test_downsampling_is_random(blobs):
+    """Different seeds draw different cells, and over many of them each cell about as often as others."""
+    drawn = pd.concat([sample.downsample(blobs, "label", num_cells=20, seed=k).select("cell_id").toPandas() for k in range(12)])["cell_id"].value_counts()
+    assert len(drawn) > 170 and drawn.max() <= 11 and drawn.sum() == 720
+    one, two = (set(sample.downsample(blobs, None, method="prop", prop_cells=0.25, seed=k).toPandas()["cell_id"]) for k in (1, 2))
+    assert len(one) == len(two) == 45 and one != two
+
+
+def test_weighted_and_repeated_samples(blobs, monkeypatch):
+    t = CellTable(blobs.withColumn("w", F.when(F.col("cell_id") % 3 == 0, 9.0).when(F.col("cell_id") % 3 == 1, 1.0)))
+    for by in (None, ["label"]):
+        got = t.sample(30, by=by, weight_by="w", seed=1).df.toPandas()
+        assert len(got) == (90 if by else 30) and got["cell_id"].is_unique and (got["cell_id"] % 3 < 2).all()
+        assert (got["cell_id"] % 3 == 0).sum() > 2 * (got["cell_id"] % 3 == 1).sum() or by  # of 20 heavy cells in a group all may be drawn
+        for rows in (10**6, 40):
+            monkeypatch.setattr(sample, "BUCKET_ROWS", rows)
+            got = t.sample(500, by=by, weight_by="w", replace=True, seed=2).df.toPandas()
+            counts = got["cell_id"].mod(3).value_counts()
+            assert len(got) == (1500 if by else 500) and set(counts.index) == {0, 1} and 6 < counts[0] / counts[1] < 13
+    assert len(t.sample(prop=0.5, replace=True).df.toPandas()) == 90 and t.group_by("label").sample(2).df.count() == 6
+    assert t.sample(5, weight_by="w").df.limit(0).count() == 0 and CellTable(blobs.limit(0)).sample(5, replace=True).df.count() == 0
+    with pytest.raises(ValueError):
+        t.sample()
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=5000), rng.integers(0, 5, 3000).astype(float), np.append(np.zeros(4000), rng.normal(size=50)), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        for share in (0.0, 0.01, 0.5, 0.9, 1.0):
+            for most in (100, 10**6):
+                assert quantiles.exact_quantile(df, F.col("x"), share, most) == pytest.approx(np.quantile(x, share))
+    assert quantiles.exact_quantile(df.limit(0), F.col("x"), 0.5) is None
+
+
+def test_grouped_table(blobs):
+    t = CellTable(blobs).group_by("label")
+    assert t.pipe(features.extract_proportion, "stim").df.count() == 3 and t.ungroup().groups == ()
+    assert t.group_by("stim", add=True).groups == ("label", "stim") and t.nest().df.count() == 3
+    assert t.pipe(sample.downsample_constant, num_cells=4).df.count() == 12
+    assert deframe(blobs.select("label", F.lit(1).alias("v")), "label", "v") == {"a": 1, "b": 1, "c": 1} and pull_unless_null(blobs, None) is None
+
+
+def test_groups_are_searched_in_one_pass(blobs, monkeypatch):
+    parts = [neighbors.find_knn(blobs.where(F.col("label") == g), MARKERS, 4).toPandas() for g in "abc"]
+    order = lambda d: d.sort_values(["cell_id", "rank"])[["cell_id", "rank", "neighbor_id"]].to_numpy().tolist()
+    dense = [neighbors.spade_density(blobs.where(F.col("label") == g), MARKERS, name="d").toPandas() for g in "abc"]
+    for numbers in (neighbors.BROADCAST_NUMBERS, 0):
+        monkeypatch.setattr(neighbors, "BROADCAST_NUMBERS", numbers)
+        monkeypatch.setattr(neighbors, "BLOCK", 25)
+        assert order(neighbors.find_knn(blobs, MARKERS, 4, by="label").toPandas()) == order(pd.concat(parts))
+        got = neighbors.estimate_density(blobs, MARKERS, "spade", name="d", by="label").toPandas()
+        want = pd.concat(dense)
+        assert got.sort_values("cell_id")["d"].to_numpy() == pytest.approx(want.sort_values("cell_id")["d"].to_numpy(), nan_ok=True)
+
+
+def test_counts_within_a_radius(spark, blobs):
+    pdf = blobs.select("cell_id", *MARKERS).toPandas().sort_values("cell_id")
+    x = pdf[MARKERS].to_numpy()
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = neighbors.count_within(blobs, MARKERS, spark.createDataFrame([(0, 0.4)], "g long, radius double")).toPandas().sort_values("cell_id")
+    assert got["within"].tolist() == ((far < 0.4).sum(1) - 1).tolist()
+
+
+@pytest.mark.parametrize("method,options", [("kmeans", {"num_clusters": 3}), ("flowsom", {"xdim": 3, "ydim": 3, "num_metaclusters": 3}), ("phenograph", {"num_neighbors": 10})])
+def test_groups_are_clustered_in_one_pass(blobs, method, options):
+    out = cluster.cluster(blobs, MARKERS, method, by="stim", seed=1, **options)
+    name = f".{'flowsom_meta' if method == 'flowsom' else method + '_'}cluster"
+    pairs = out.groupBy("stim", "label", F.col(f"`{name}`").alias("k")).count().toPandas()
+    assert out.count() == 180 and pairs.groupby("k")["label"].nunique().max() == 1 and (pairs["k"].str.split("@").str[1] == pairs["stim"]).all()
+
+
 def test_knn_paths_agree(blobs, monkeypatch):
     one = neighbors.find_knn(blobs, MARKERS, 5).orderBy("cell_id", "rank").toPandas()
     monkeypatch.setattr(neighbors, "BROADCAST_NUMBERS", 0)
@@ -196,6 +270,50 @@ def test_models_learn(spark, samples, kind, outcome):
     assert modeling.predict(model).count() == 100 and "f1" in repr(model) and modeling.assess_model(model, samples)["model_metrics"].count() == 1
 
 
+def test_equal_samples_stay_apart(spark, samples):
+    twice = samples.union(samples.where("id < 10"))
+    assert modeling.all_rows(modeling.split_data(twice, "k-fold", 4)).count() == 110
+    assert modeling.all_rows(modeling.split_data(twice, "simple")).count() == 110
+    assert modeling.all_rows(modeling.split_data(samples, "bootstrap", num_bootstraps=3)).count() == 100
+
+
+def test_split_by_a_list(samples):
+    got = modeling.split_data(samples, split=[k % 4 > 0 for k in range(100)], order_by="id").toPandas()
+    assert set(got.loc[got["role"] == "assessment", "id"]) == set(range(0, 100, 4)) and got.columns.tolist() == [*samples.columns, "split_id", "role"]
+    for bad in ({"split": [True]}, {"split": [True] * 100, "order_by": "event"}):
+        with pytest.raises(ValueError):
+            modeling.split_data(samples, **({"order_by": "id"} | bad))
+
+
+def test_thresholds_by_hand():
+    rng = np.random.default_rng(2)
+    risk, time, event = rng.integers(0, 8, 40).astype(float), rng.integers(1, 12, 40).astype(float), rng.integers(0, 2, 40).astype(float)
+    risk[3] = np.inf
+    got = modeling.log_rank_thresholds(risk, time, event)
+    good = np.isfinite(risk)
+    assert got["threshold"].tolist() == sorted(set(risk[good]))
+    for cut, p in got.itertuples(index=False):
+        o = v = 0.0
+        for t in sorted(set(time[good & (event > 0)])):
+            at, high = good & (time >= t), good & (time >= t) & (risk > cut)
+            n, n1, d, d1 = at.sum(), high.sum(), (at & (time == t) & (event > 0)).sum(), (high & (time == t) & (event > 0)).sum()
+            o, v = o + d1 - d * n1 / n, v + (d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) if n > 1 else 0)
+        assert p == pytest.approx(float(special.chi2_tail(o * o / v, 1)) if v > 1e-12 else 1.0)
+
+
+def test_tail_of_chi_squared_as_an_expression(spark):
+    x = [0.0, 1e-9, 0.01, 0.5, 1.0, 3.84, 10.0, 50.0, 300.0]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", exprs.erfc(F.sqrt(F.col("x") / 2)).alias("p")).collect()
+    assert [r.p for r in got] == pytest.approx([float(special.chi2_tail(r.x, 1)) for r in got], rel=3e-7)
+
+
+def test_survival_of_too_many_samples_is_refused(spark, samples, monkeypatch):
+    model = modeling.train_model(modeling.split_data(samples, "k-fold", 2), ["f1"], "survival", ["time", "event"], modeling.create_grid(spark, [1e-3], [1.0]))
+    monkeypatch.setattr(modeling, "MAX_SAMPLES", 50)
+    with pytest.raises(ValueError):
+        modeling.assess_model(model, samples)
+
+
 def test_log_rank_of_one_stratum(samples):
     assert modeling.log_rank_test(samples, "time", "event", F.lit(True)).first().p_val == 1.0
 
@@ -215,6 +333,37 @@ def test_bundle_round_trip(blobs):
     assert np.allclose(back.orderBy("cell_id").select(*MARKERS).toPandas(), blobs.orderBy("cell_id").select(*MARKERS).toPandas())
 
 
+def test_frames(spark, blobs):
+    one = bundle.as_frame(blobs.select("cd45", F.col("cd19").alias("cd19|Nd142"), "label"))
+    assert one.exprs.columns == ["cd45", "cd19_Nd142"] and one.parameters.count() == 2
+    back = bundle.from_frame(one)
+    assert back.df.columns == ["cd45", "cd19|Nd142"] and {tuple(r) for r in back.panel.collect()} == {("cd45", "cd45"), ("Nd142", "cd19")}
+    many = bundle.as_frame_set(blobs.select("label", *MARKERS), "label")
+    assert {tuple(r) for r in many.metadata.collect()} == {("Sample_1", "a"), ("Sample_2", "b"), ("Sample_3", "c")}
+    assert {tuple(r) for r in many.exprs.groupBy("sample").count().collect()} == {(f"Sample_{k}", 60) for k in (1, 2, 3)} and many.parameters.count() == 3
+
+
+def test_flow_rate_of_a_stream(spark, tmp_path):
+    """The same counts from a stream in several batches as from the table, once the watermark has passed."""
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", "ab"[m % 2]) for h in range(12) for m in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, "at string, kind string").select(F.col("at").cast("timestamp").alias("ts"), "kind")
+    for k in range(3):
+        df.where(F.hour("ts").between(4 * k, 4 * k + 3)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    running = flow.stream_flow_rate(stream, "ts", "2 hours", "1 hour", by="kind")
+    running.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("kind", "start", "num_cells").collect()}
+    whole = {tuple(r) for r in flow.stream_flow_rate(df, "ts", "2 hours", by="kind").select("kind", "start", "num_cells").collect()}
+    assert got <= whole and len(got) >= 6
+
+
+def test_scratch_is_dropped(spark, blobs):
+    from cellgrid import storage
+
+    storage.materialize(blobs)
+    assert storage.drop_scratch(spark) > 0 and storage.drop_scratch(spark) == 0
+
+
 def test_table_keeps_panel(spark, blobs):
     panel = spark.createDataFrame([("Nd142", "cd19")], "metals string, antigens string")
     t = CellTable(blobs, panel).mutate(x=F.lit(1)).filter("cell_id < 10").nest(["label"]).unnest()
