@@ -56,9 +56,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no tool calls of its own: each question becomes a call whose result is its answer."""
+    """The table has no tool calls of its own: each question becomes a call whose result is its answer. Level and partner are -1 where there is none."""
     out = format_chat(exchanges_as_calls(table(spark, sf_dir, "conversations")), answer_schema(spark))
-    return out.select("conv_id", "turn", "step", "role", "kind", "call_id", "level", "partner", "status", "json")
+    none = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return out.select("conv_id", "turn", "step", "role", "kind", "call_id", none("level"), none("partner"), "status", "json")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,16 +104,16 @@ j AS (SELECT *, CASE WHEN needs IS NULL THEN json_object('chars', length(text),
                      ELSE json_object('chars', length(text), 'previous', '$' || needs, 'question', text) END AS arguments FROM c),
 m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
       UNION ALL SELECT conv_id, turn, 'assistant', '<tool_call>' || json_object('arguments', arguments, 'id', id, 'name', 'answer') || '</tool_call>' FROM j)
-SELECT conv_id, turn, 0::INTEGER AS step, role, 'message' AS kind, NULL::VARCHAR AS call_id, 0::INTEGER AS level, NULL::BIGINT AS partner, 'ok' AS status,
+SELECT conv_id, turn, 0::INTEGER AS step, role, 'message' AS kind, NULL::VARCHAR AS call_id, 0::INTEGER AS level, -1::BIGINT AS partner, 'ok' AS status,
        CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json FROM m
 UNION ALL
-SELECT j.conv_id, j.turn, 1, 'assistant', 'call', j.id, l.level, ri.turn,
+SELECT j.conv_id, j.turn, 1, 'assistant', 'call', j.id, coalesce(l.level, -1), coalesce(ri.turn, -1),
        coalesce(nullif(concat_ws(', ', CASE WHEN ci.n > 1 THEN 'repeated id' END, CASE WHEN ri.turn IS NULL THEN 'no result' END, CASE WHEN ri.turn < j.turn THEN 'result first' END,
                                  CASE WHEN l.level IS NULL THEN 'cycle' END), ''), 'ok'),
        CAST(json_object('arguments', arguments, 'id', j.id, 'name', 'answer', 'type', 'call') AS VARCHAR)
 FROM j LEFT JOIN ci USING (conv_id, id) LEFT JOIN ri USING (conv_id, id) LEFT JOIN l USING (conv_id, id)
 UNION ALL
-SELECT r.conv_id, r.turn, 0, 'tool', 'result', r.id, l.level, ci.turn,
+SELECT r.conv_id, r.turn, 0, 'tool', 'result', r.id, coalesce(l.level, -1), coalesce(ci.turn, -1),
        coalesce(nullif(concat_ws(', ', CASE WHEN ri.n > 1 THEN 'repeated id' END, CASE WHEN ci.turn IS NULL THEN 'no call' END, CASE WHEN r.turn < ci.turn THEN 'result first' END), ''), 'ok'),
        CAST(json_object('call', r.id, 'content', r.text, 'type', 'result') AS VARCHAR)
 FROM r LEFT JOIN ci USING (conv_id, id) LEFT JOIN ri USING (conv_id, id) LEFT JOIN l USING (conv_id, id)
