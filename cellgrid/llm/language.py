@@ -16,10 +16,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import stored
 
 BUCKETS = 1 << 14
 #: Most trigrams that a text's likelihood counts as: neighbours depend on each other.
@@ -179,14 +179,6 @@ def identify_languages(
     domains = domains.select("domain", F.array(*p).alias("domain_p"))
     by_host = hosts.where("host IS NOT NULL").join(domains, "domain").select("host", F.array(*p).alias("host_p"), "domain_p")
 
-    def prior(own: Column) -> Column:
-        """The logs of the host's languages without own, smoothed towards the domain's, and these towards everything's."""
-        add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
-        less = lambda counts: F.zip_with(counts, own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
-        smooth = lambda counts, up: let(add(counts) + strength, lambda n: F.zip_with(counts, up, lambda x, q: (x + strength * q) / n))
-        upper = smooth(less(F.col("domain_p")), F.array(*[F.lit(x) for x in base]))
-        return F.transform(smooth(less(F.col("host_p")), upper), lambda x: F.log(x))
-
     def likelihood(col: str) -> DataFrame:
         """The log of how often each language comes with the value, among rows that have one."""
         seen = counts.where(F.col(col).isNotNull()).groupBy(col).agg(*totals)
@@ -200,9 +192,16 @@ def identify_languages(
     for col in ("declared", "suffix"):
         out = out.join(stored(likelihood(col)), col, "left")
     base_log = F.array(*[F.lit(float(np.log(x))) for x in base])
-    weight = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
-    own = F.when(F.col("n") > 0, F.transform("odds", lambda x: x / weight)).otherwise(F.array(*[F.lit(0.0)] * size))
-    out = out.withColumn("odds", odds).withColumn("own", own).withColumn("host_log", F.when(F.col("host_p").isNotNull(), prior(F.col("own"))))
+    # The host's counts without the row's own, smoothed towards the domain's, and these towards everything's: plain columns, a step after the other.
+    add = lambda name: sum((F.col(f"{name}_{k}") for k in range(1, size)), F.col(f"{name}_0"))
+    each = lambda name, value: {f"{name}_{k}": value(k) for k in range(size)}
+    out = out.withColumn("best", F.array_max("ll")).withColumns(each("odd", lambda k: F.exp(F.get("ll", F.lit(k)) - F.col("best")))).withColumn("weight", add("odd"))
+    out = out.withColumns(each("own", lambda k: F.when(F.col("n") > 0, F.col(f"odd_{k}") / F.col("weight")).otherwise(0.0)))
+    for name in ("domain", "host"):
+        out = out.withColumns(each(name, lambda k, name=name: F.greatest(F.get(f"{name}_p", F.lit(k)) - F.col(f"own_{k}"), F.lit(0.0)))).withColumn(f"{name}_n", add(name) + strength)
+    out = out.withColumns(each("up", lambda k: (F.col(f"domain_{k}") + strength * base[k]) / F.col("domain_n")))
+    logs_ = F.array(*[F.log((F.col(f"host_{k}") + strength * F.col(f"up_{k}")) / F.col("host_n")) for k in range(size)])
+    out = out.withColumn("host_log", F.when(F.col("host_p").isNotNull(), logs_))
     parts = [F.col("ll"), F.coalesce("host_log", base_log), F.coalesce("declared_log", nothing), F.coalesce("suffix_log", nothing)]
     total = F.array(*[sum((F.get(x, F.lit(k)) for x in parts[1:]), F.get(parts[0], F.lit(k))) for k in range(size)])
     code = F.array(*[F.lit(x) for x in names])
