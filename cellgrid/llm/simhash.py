@@ -26,7 +26,7 @@ BLOCK, MAX_BLOCKS = 16_384, 4_096
 #: Leaves of a block of a lane: every block goes to all blocks near it, so that fewer and larger ones move less.
 LANE_BLOCK = 1 << 19
 #: Node pairs that a task holds in one step of its walk.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
 _SIGN = np.uint64(1 << 63)
 
 
