@@ -187,30 +187,41 @@ def identify_languages(
         each = [F.log((F.col(f"p_{k}") + 0.5) / (F.col(f"all_{k}") + 0.5 * (F.col("kinds") + 1))) for k in range(size)]
         return seen.join(F.broadcast(every), F.lit(True)).select(col, F.array(*each).alias(f"{col}_log"))  # every is one row
 
-    nothing = F.array(*[F.lit(0.0)] * size)
-    out = scored.join(stored(by_host), "host", "left")
+    met = scored.join(stored(by_host), "host", "left")
     for col in ("declared", "suffix"):
-        out = out.join(stored(likelihood(col)), col, "left")
-    base_log = F.array(*[F.lit(float(np.log(x))) for x in base])
-    # The host's counts without the row's own, smoothed towards the domain's, and these towards everything's: plain columns, a step after the other.
-    add = lambda name: sum((F.col(f"{name}_{k}") for k in range(1, size)), F.col(f"{name}_0"))
-    each = lambda name, value: {f"{name}_{k}": value(k) for k in range(size)}
-    out = out.withColumn("best", F.array_max("ll")).withColumns(each("odd", lambda k: F.exp(F.get("ll", F.lit(k)) - F.col("best")))).withColumn("weight", add("odd"))
-    out = out.withColumns(each("own", lambda k: F.when(F.col("n") > 0, F.col(f"odd_{k}") / F.col("weight")).otherwise(0.0)))
-    for name in ("domain", "host"):
-        out = out.withColumns(each(name, lambda k, name=name: F.greatest(F.get(f"{name}_p", F.lit(k)) - F.col(f"own_{k}"), F.lit(0.0)))).withColumn(f"{name}_n", add(name) + strength)
-    out = out.withColumns(each("up", lambda k: (F.col(f"domain_{k}") + strength * base[k]) / F.col("domain_n")))
-    logs_ = F.array(*[F.log((F.col(f"host_{k}") + strength * F.col(f"up_{k}")) / F.col("host_n")) for k in range(size)])
-    out = out.withColumn("host_log", F.when(F.col("host_p").isNotNull(), logs_))
-    parts = [F.col("ll"), F.coalesce("host_log", base_log), F.coalesce("declared_log", nothing), F.coalesce("suffix_log", nothing)]
-    total = F.array(*[sum((F.get(x, F.lit(k)) for x in parts[1:]), F.get(parts[0], F.lit(k))) for k in range(size)])
-    code = F.array(*[F.lit(x) for x in names])
-    top = F.array_max("total")
-    probability = 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    out = out.withColumn("total", total).withColumn("top", top)
-    place_of = lambda c: F.get(code, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
-    out = out.withColumn("probability", probability)
-    return out.select(
-        F.col("id").alias(id_col), place_of("total").alias("lang"), "probability", F.when(F.col("n") > 0, place_of("ll")).alias("text_lang"),
-        "declared", "suffix", "host", ((F.col("n") > 0) & (F.col("probability") >= least)).alias("kept"),
-    )
+        met = met.join(stored(likelihood(col)), col, "left")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+
+            def matrix(name: str, b: pa.RecordBatch = b) -> tuple[np.ndarray, np.ndarray]:
+                """The arrays of a column as rows, zeros where there is none, and where there is one."""
+                given = b.column(name).is_valid().to_numpy(zero_copy_only=False)
+                rows = np.zeros((b.num_rows, size))
+                rows[given] = b.column(name).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                return rows, given
+
+            ll, n = matrix("ll")[0], b.column("n").to_numpy()
+            odds = np.exp(ll - ll.max(1, keepdims=True))
+            own = np.where((n > 0)[:, None], odds / odds.sum(1, keepdims=True), 0.0)
+
+            def smooth(counts: np.ndarray, up: np.ndarray, own: np.ndarray = own) -> np.ndarray:
+                """Shares of the counts without the row's own, smoothed towards up."""
+                less = np.maximum(counts - own, 0)
+                return (less + strength * up) / (less.sum(1, keepdims=True) + strength)
+
+            host, has_host = matrix("host_p")
+            prior = np.where(has_host[:, None], smooth(host, smooth(matrix("domain_p")[0], np.array(base))), np.array(base))
+            total = ll + np.log(prior) + matrix("declared_log")[0] + matrix("suffix_log")[0]
+            probability = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+            called = pa.array([names[k] for k in total.argmax(1).tolist()], pa.string())
+            by_text = pa.array([names[k] if m else None for k, m in zip(ll.argmax(1).tolist(), n.tolist(), strict=True)], pa.string())
+            kept = pa.array((n > 0) & (probability >= least))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), called, pa.array(probability), by_text, b.column("declared"), b.column("suffix"), b.column("host"), kept],
+                ["id", "lang", "probability", "text_lang", "declared", "suffix", "host", "kept"],
+            )
+
+    wanted = met.select("id", "declared", "suffix", "host", "n", "ll", "host_p", "domain_p", "declared_log", "suffix_log")
+    done = wanted.mapInArrow(decide, f"id {id_type}, lang string, probability double, text_lang string, declared string, suffix string, host string, kept boolean")
+    return done.withColumnRenamed("id", id_col)
