@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cellgrid.functions import graphs, models, penalized, special, trees
+from cellgrid.operators import modeling
 from cellgrid.sources import fcs, panel
 
 
@@ -115,6 +116,26 @@ def test_auc_and_concordance():
     assert penalized.concordance(np.array([3.0, 2, 1]), np.array([1.0, 2, 3]), np.ones(3)) == 1.0
 
 
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(1, 5), st.booleans()), min_size=1, max_size=25))
+@settings(max_examples=60, deadline=None)
+def test_survival_measures_by_hand(rows):
+    eta, time, event = np.array(rows, float).T
+    pairs = [(i, j) for i in range(len(eta)) for j in range(len(eta)) if event[i] and (time[j] > time[i] or time[j] == time[i] and not event[j])]
+    good = [1.0 if eta[i] > eta[j] else 0.5 if eta[i] == eta[j] else 0.0 for i, j in pairs]
+    assert penalized.concordance(eta, time, event) == pytest.approx(np.mean(good) if good else math.nan, nan_ok=True)
+    like = sum(eta[i] - math.log(np.exp(eta[time >= time[i]]).sum()) for i in np.flatnonzero(event))
+    assert penalized.partial_likelihood(eta, time, event) == pytest.approx(like)
+    at, hazard = penalized.breslow(np.exp(eta), time, event)
+    assert hazard.tolist() == pytest.approx(np.cumsum([event[time == t].sum() / np.exp(eta[time >= t]).sum() for t in at]).tolist())
+
+
+def test_survival_measures_of_many_samples():
+    rng = np.random.default_rng(4)
+    eta, time, event = rng.normal(size=300_000), rng.random(300_000), np.ones(300_000)
+    assert penalized.concordance(eta, time, event) == pytest.approx(0.5, abs=0.01)  # pair by pair this takes hours
+    assert np.isfinite(penalized.partial_likelihood(eta, time, event)) and len(modeling.log_rank_thresholds(eta, time, event)) == 300_000
+
+
 def test_mixed_model_with_no_group_effect_is_least_squares():
     rng = np.random.default_rng(5)
     x = np.column_stack((np.ones(40), np.tile([0.0, 1.0], 20)))

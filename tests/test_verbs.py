@@ -314,6 +314,18 @@ def test_survival_of_too_many_samples_is_refused(spark, samples, monkeypatch):
         modeling.assess_model(model, samples)
 
 
+@pytest.mark.parametrize("kind, outcome", [("linear", "y"), ("two-class", "c"), ("multiclass", "c"), ("survival", ["time", "event"])])
+def test_models_of_many_samples(spark, kind, outcome):
+    many = spark.range(200_100).select(
+        (F.col("id") % 997 / 997).alias("f"), (F.col("id") % 997 / 997 + F.rand(1)).alias("y"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("c"),
+        (1 + F.col("id") % 401).cast("double").alias("time"), (F.col("id") % 2).cast("double").alias("event"), (F.col("id") % 5 > 0).alias("used"), F.lit("unused").alias("more"),
+    )
+    model = modeling.train_model(modeling.split_data(many, split="used"), ["f"], kind, outcome, modeling.create_grid(spark, [1e-6], [0.5]))
+    assert model.cv_predictions.count() == 40_020 and np.isfinite(model.coefficients).all()
+    for table in modeling.assess_model(model, many).values():
+        assert not table.isEmpty()
+
+
 def test_log_rank_of_one_stratum(samples):
     assert modeling.log_rank_test(samples, "time", "event", F.lit(True)).first().p_val == 1.0
 
