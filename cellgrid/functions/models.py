@@ -46,10 +46,70 @@ def binomial_glm(x: np.ndarray, y: np.ndarray, total: np.ndarray, rounds: int =
     return {"beta": beta, "se": se, "stat": z, "p": np.atleast_1d(normal_two_sided(z)), "inverse": inverse, "mu": mu}
 
 
-def _blocks(groups: list[np.ndarray]) -> np.ndarray:
-    """Indicator columns of all grouping factors side by side."""
-    parts = [(g[:, None] == np.unique(g)[None, :]).astype(float) for g in groups]
-    return np.concatenate(parts, axis=1)
+class _Crossed:
+    """Z'WZ + ridge for the indicators Z of grouping factors, the ridge one number for each: solved without a matrix of samples.
+
+    The factor with the most levels is a diagonal; the others are solved in what is left of them beside it.
+    """
+
+    def __init__(self, groups: list[np.ndarray]) -> None:
+        codes = [np.unique(g, return_inverse=True)[1] for g in groups]
+        self.sizes = [int(c.max()) + 1 if len(c) else 0 for c in codes]
+        self.most = [int(np.bincount(c).max(initial=1)) for c in codes]
+        ends = np.cumsum([0, *self.sizes])
+        self.n_levels = int(ends[-1])
+        self.first = int(np.argmax(self.sizes))
+        self.big, self.n_big = codes[self.first], self.sizes[self.first]
+        others = [k for k in range(len(codes)) if k != self.first]
+        self.rest = [codes[k] + sum(self.sizes[j] for j in others[:i]) for i, k in enumerate(others)]
+        self.n_rest = sum(self.sizes[k] for k in others)
+        self.others = others
+        # Where the levels of the factors, in their given order, stand: those of the largest first.
+        self.order = np.concatenate([np.arange(ends[k], ends[k + 1]) for k in [self.first, *others]])
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """Z'v, by levels in the order of the factors."""
+        out = np.empty((self.n_levels, *v.shape[1:]))
+        flat = v.reshape(len(v), -1)
+        for j in range(flat.shape[1]):
+            got = [np.bincount(self.big, flat[:, j], self.n_big)]
+            if self.rest:
+                got.append(sum(np.bincount(c, flat[:, j], self.n_rest) for c in self.rest))
+            out.reshape(self.n_levels, -1)[self.order, j] = np.concatenate(got)
+        return out
+
+    def spread(self, u: np.ndarray) -> np.ndarray:
+        """Zu, for each sample."""
+        u = u[self.order]
+        return u[self.big] + sum(u[self.n_big + c] for c in self.rest)
+
+    def prepare(self, w: np.ndarray, ridge: np.ndarray) -> None:
+        """ridge: a number for each factor."""
+        mass = np.bincount(self.big, w, self.n_big)
+        self.d = mass + ridge[self.first]
+        # The logarithm of the determinant over that of the ridge alone.
+        self.log_ratio = float(np.log(np.abs(1 + mass / ridge[self.first])).sum())
+        if self.rest:
+            own = np.repeat(ridge[self.others], [self.sizes[k] for k in self.others])
+            self.b = np.zeros((self.n_big, self.n_rest))
+            c = np.diag(own.astype(float))
+            for x in self.rest:
+                np.add.at(self.b, (self.big, x), w)
+                for y in self.rest:
+                    np.add.at(c, (x, y), w)
+            self.schur = c - self.b.T @ (self.b / self.d[:, None])
+            self.log_ratio += float(np.linalg.slogdet(self.schur)[1] - np.log(np.abs(own)).sum())
+
+    def solve(self, m: np.ndarray) -> np.ndarray:
+        m = m[self.order]
+        scale = self.d.reshape(-1, *[1] * (m.ndim - 1))
+        top, out = m[: self.n_big], np.empty_like(m)
+        if self.rest:
+            low = np.linalg.solve(self.schur, m[self.n_big :] - self.b.T @ (top / scale))
+            out[self.order] = np.concatenate(((top - self.b @ low) / scale, low))
+        else:
+            out[self.order] = top / scale
+        return out
 
 
 def _golden(f, lo: float, hi: float, rounds: int = 60) -> float:
@@ -71,17 +131,23 @@ def _golden(f, lo: float, hi: float, rounds: int = 60) -> float:
 def lmm(x: np.ndarray, y: np.ndarray, groups: list[np.ndarray]) -> dict[str, np.ndarray | float]:
     """Random intercepts by restricted maximum likelihood, one variance ratio for each factor; Satterthwaite degrees of freedom."""
     n, p = x.shape
-    factors = [(g[:, None] == np.unique(g)[None, :]).astype(float) for g in groups]
-    products = [z @ z.T for z in factors]
+    z, ones = _Crossed(groups), np.ones(n)
+    zx, zy = z.sums(x), z.sums(y)
+
+    def solved(th: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """X'V^-1X, the coefficients, r'V^-1r and log |V|, where V is th[0] I plus th[k] for two samples of one level of factor k."""
+        ratio = th[1:] / th[0]
+        z.prepare(ones, 1 / np.where(np.abs(ratio) < 1e-14, 1e-14, ratio))
+        xtx = (x.T @ x - zx.T @ z.solve(zx)) / th[0]
+        beta = np.linalg.pinv(xtx) @ ((x.T @ y - zx.T @ z.solve(zy)) / th[0])
+        r = y - x @ beta
+        zr = z.sums(r)
+        return xtx, beta, float(r @ r - zr @ z.solve(zr)) / th[0], n * math.log(th[0]) + z.log_ratio
 
     def profile(logs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
-        v = np.eye(n) + sum(math.exp(t) * k for t, k in zip(logs, products, strict=True))
-        inv = np.linalg.inv(v)
-        xtx = x.T @ inv @ x
-        beta = np.linalg.pinv(xtx) @ (x.T @ inv @ y)
-        r = y - x @ beta
-        s2 = max(float(r @ inv @ r) / max(1, n - p), 1e-300)
-        return (n - p) * math.log(s2) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(xtx)[1], beta, np.linalg.pinv(xtx), s2
+        xtx, beta, square, size = solved(np.concatenate(([1.0], np.exp(logs))))
+        s2 = max(square / max(1, n - p), 1e-300)
+        return (n - p) * math.log(s2) + size + np.linalg.slogdet(xtx)[1], beta, np.linalg.pinv(xtx), s2
 
     logs = np.full(len(groups), -1.0)
     for _ in range(6):  # one ratio after the other
@@ -96,22 +162,19 @@ def lmm(x: np.ndarray, y: np.ndarray, groups: list[np.ndarray]) -> dict[str, np.
     theta = np.concatenate(([s2], s2 * np.exp(logs)))
 
     def deviance(th: np.ndarray) -> float:
-        v = th[0] * np.eye(n) + sum(t * k for t, k in zip(th[1:], products, strict=True))
-        inv = np.linalg.pinv(v)
-        xtx = x.T @ inv @ x
-        r = y - x @ (np.linalg.pinv(xtx) @ (x.T @ inv @ y))
-        return float(np.linalg.slogdet(v)[1] + np.linalg.slogdet(xtx)[1] + r @ inv @ r)
+        xtx, _, square, size = solved(th)
+        return size + np.linalg.slogdet(xtx)[1] + square
 
     def variance(th: np.ndarray) -> np.ndarray:
-        v = th[0] * np.eye(n) + sum(t * k for t, k in zip(th[1:], products, strict=True))
-        return np.diag(np.linalg.pinv(x.T @ np.linalg.pinv(v) @ x))
+        return np.diag(np.linalg.pinv(solved(th)[0]))
 
     m = len(theta)
-    h = np.maximum(theta * 1e-3, 1e-8 * max(s2, 1e-12))
+    # Steps so large that they stand out of rounding where a factor explains nothing, so small that V stays a variance below that.
+    h = np.maximum(theta * 1e-3, 1e-3 * max(s2, 1e-12) / np.array([1.0, *[z.most[k] for k in range(m - 1)]]))
     hess, grad = np.zeros((m, m)), np.zeros((m, p))
     for i in range(m):
         ei = np.eye(m)[i] * h[i]
-        grad[i] = (variance(theta + ei) - variance(np.maximum(theta - ei, 0))) / (2 * h[i])
+        grad[i] = (variance(theta + ei) - variance(theta - ei)) / (2 * h[i])
         for j in range(i + 1):
             ej = np.eye(m)[j] * h[j]
             hess[i, j] = hess[j, i] = (deviance(theta + ei + ej) - deviance(theta + ei - ej) - deviance(theta - ei + ej) + deviance(theta - ei - ej)) / (4 * h[i] * h[j])
@@ -125,30 +188,40 @@ def lmm(x: np.ndarray, y: np.ndarray, groups: list[np.ndarray]) -> dict[str, np.
 
 def glmm(x: np.ndarray, y: np.ndarray, total: np.ndarray, groups: list[np.ndarray]) -> dict[str, np.ndarray | float]:
     """Binomial model with random intercepts, by the Laplace approximation; Wald z."""
-    z = _blocks(groups)
-    sizes = [len(np.unique(g)) for g in groups]
-    p = x.shape[1]
-    both = np.concatenate((x, z), axis=1)
+    z, p = _Crossed(groups), x.shape[1]
 
     def mode(logs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        ridge = np.concatenate((np.zeros(p), np.repeat(np.exp(-np.asarray(logs)), sizes)))
-        b = np.zeros(p + z.shape[1])
-        for _ in range(60):
-            eta = np.clip(both @ b, -30, 30)
+        ridge = np.exp(-np.asarray(logs))
+        each = np.repeat(ridge, z.sizes)
+        b, u = np.zeros(p), np.zeros(z.n_levels)
+
+        def weights() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            eta = np.clip(x @ b + z.spread(u), -30, 30)
             mu = 1 / (1 + np.exp(-eta))
             w = np.maximum(total * mu * (1 - mu), 1e-10)
-            h = both.T @ (both * w[:, None]) + np.diag(ridge)
-            step = np.linalg.pinv(h) @ (both.T @ (total * (y - mu)) - ridge * b)
-            b = b + np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-9:
+            z.prepare(w, ridge)
+            return eta, mu, w
+
+        def left(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """X'WX less what the levels explain, inverted; Z'WX; the levels' solution of it."""
+            zx = z.sums(x * w[:, None])
+            by = z.solve(zx)
+            return np.linalg.pinv(x.T @ (x * w[:, None]) - zx.T @ by), zx, by
+
+        for _ in range(60):
+            eta, mu, w = weights()
+            inverse, zx, by = left(w)
+            rest = total * (y - mu)
+            of_u = z.sums(rest) - each * u
+            step = inverse @ (x.T @ rest - by.T @ of_u)
+            step_u = z.solve(of_u - zx @ step)
+            b, u = b + np.clip(step, -5, 5), u + np.clip(step_u, -5, 5)
+            if max(np.abs(step).max(), np.abs(step_u).max()) < 1e-9:
                 break
-        eta = np.clip(both @ b, -30, 30)
-        mu = 1 / (1 + np.exp(-eta))
-        w = np.maximum(total * mu * (1 - mu), 1e-10)
+        eta, mu, w = weights()
         like = (total * (y * eta - np.log1p(np.exp(eta)))).sum()
-        huu = z.T @ (z * w[:, None]) + np.diag(ridge[p:])
-        dev = -2 * like + (ridge[p:] * b[p:] ** 2).sum() + np.linalg.slogdet(huu)[1] + (np.repeat(np.asarray(logs), sizes)).sum()
-        return float(dev), b, np.linalg.pinv(both.T @ (both * w[:, None]) + np.diag(ridge))
+        dev = -2 * like + (each * u**2).sum() + z.log_ratio
+        return float(dev), b, left(w)[0]
 
     logs = np.full(len(groups), -2.0)
     for _ in range(4):
@@ -157,7 +230,7 @@ def glmm(x: np.ndarray, y: np.ndarray, total: np.ndarray, groups: list[np.ndarra
         if len(logs) == 1:
             break
     _, b, inverse = mode(logs)
-    beta, se = b[:p], np.sqrt(np.maximum(np.diag(inverse)[:p], 0))
+    beta, se = b, np.sqrt(np.maximum(np.diag(inverse), 0))
     stat = np.divide(beta, se, out=np.full(p, np.nan), where=se > 0)
     return {"beta": beta, "se": se, "stat": stat, "p": np.atleast_1d(normal_two_sided(stat)), "variances": np.exp(logs)}
 

@@ -136,6 +136,33 @@ def test_survival_measures_of_many_samples():
     assert np.isfinite(penalized.partial_likelihood(eta, time, event)) and len(modeling.log_rank_thresholds(eta, time, event)) == 300_000
 
 
+def test_mixed_models_of_many_samples():
+    n = 60_000
+    rng = np.random.default_rng(8)
+    g, side = np.repeat(np.arange(n // 2), 2), np.arange(n) % 2
+    x, own = np.column_stack((np.ones(n), side)), rng.normal(size=n // 2)[g]
+    y = 3 + 0.5 * side + own + rng.normal(size=n)
+    got = models.lmm(x, y, [g.astype(str)])  # a matrix of these samples takes 29 GB
+    gap = y[1::2] - y[::2]
+    assert got["beta"][1] == pytest.approx(gap.mean(), abs=1e-9) and got["se"][1] == pytest.approx(gap.std(ddof=1) / math.sqrt(n / 2), rel=1e-4) and got["ratios"][0] == pytest.approx(1, abs=0.05)
+    total = np.full(n, 100.0)
+    share = rng.binomial(100, 1 / (1 + np.exp(-(-1 + 0.3 * side + 0.5 * own)))) / total
+    got = models.glmm(x, share, total, [g.astype(str)])
+    assert got["beta"] == pytest.approx([-1, 0.3], abs=0.02) and got["variances"][0] == pytest.approx(0.25, abs=0.02)
+
+
+def test_mixed_model_of_two_factors_by_dense_matrices():
+    rng = np.random.default_rng(5)
+    g, h = rng.integers(0, 9, 60), rng.integers(0, 4, 60)
+    x = np.column_stack((np.ones(60), rng.normal(size=60)))
+    y = x @ [2.0, 1.0] + rng.normal(size=9)[g] + rng.normal(size=4)[h] + rng.normal(size=60)
+    got = models.lmm(x, y, [h.astype(str), g.astype(str)])
+    v = np.eye(60) + sum(t * (c[:, None] == c[None]) for t, c in zip(got["ratios"], (h, g), strict=True))
+    inverse = np.linalg.inv(x.T @ np.linalg.solve(v, x))
+    assert got["beta"] == pytest.approx(inverse @ x.T @ np.linalg.solve(v, y))
+    assert got["se"] == pytest.approx(np.sqrt(np.diag(inverse) * got["s2"]))
+
+
 def test_mixed_model_with_no_group_effect_is_least_squares():
     rng = np.random.default_rng(5)
     x = np.column_stack((np.ones(40), np.tile([0.0, 1.0], 20)))
