@@ -24,13 +24,14 @@ MAX_TESTS = 2_000_000
 
 
 def bh_adjust(df: DataFrame, p_col: str = "p_val", out_col: str = "p_adj") -> DataFrame:
-    """Benjamini-Hochberg adjusted p values; ties share one, nulls stay null. The windows run over a row for each test."""
-    counts = df.where(q(p_col).isNotNull()).groupBy(q(p_col).alias("__p")).agg(F.count("*").alias("__k"))
-    up, down = Window.orderBy("__p"), Window.orderBy(F.col("__p").desc())
-    n = F.sum("__k").over(Window.partitionBy())
-    raw = counts.withColumn("__raw", F.col("__p") * n / F.sum("__k").over(up))
-    adjusted = raw.withColumn("__adj", F.least(F.lit(1.0), F.min("__raw").over(down))).select("__p", "__adj")
-    return df.join(adjusted, q(p_col) == F.col("__p"), "left").withColumn(out_col, F.col("__adj")).drop("__p", "__adj")
+    """Benjamini-Hochberg adjusted p values; ties share one, nulls stay null. The windows run over a row for each test.
+
+    Each row is adjusted as it comes: p values that are worked out again to be looked up may differ in their last digit.
+    """
+    p = q(p_col)
+    up, down = Window.orderBy(p.asc_nulls_first()), Window.orderBy(p.desc_nulls_last())
+    raw = df.withColumn("__raw", F.when(p.isNotNull(), p * F.count(p).over(Window.partitionBy()) / F.count(p).over(up)))
+    return raw.withColumn(out_col, F.when(p.isNotNull(), F.least(F.lit(1.0), F.min("__raw").over(down)))).drop("__raw")
 
 
 def p_values(df: DataFrame) -> DataFrame:

@@ -229,6 +229,15 @@ def test_discovery_models_run(blobs):
         discovery.analyze_abundance_diffcyt(c, "label", "sample", "arm", "sample", method="edgeR")
 
 
+def test_p_values_that_waver_are_adjusted(spark):
+    """As those of tests over many cells do when they are worked out twice, with sums in another order."""
+    wavering = F.udf(lambda i: (i + 1) / 50 + 1e-12 * np.random.default_rng().random(), "double").asNondeterministic()
+    given = spark.range(40).withColumn("p_val", F.when(F.col("id") < 38, wavering("id")))
+    got = discovery.bh_adjust(given).toPandas().sort_values("id")
+    assert got["p_adj"].to_numpy() == pytest.approx(special.benjamini_hochberg(got["p_val"].to_numpy(float)), nan_ok=True)
+    assert got["p_adj"].notna().sum() == 38
+
+
 def test_pca_is_eigen(blobs):
     fit = reduce.fit_pca(blobs, MARKERS, 3)
     x = blobs.select(*MARKERS).toPandas().to_numpy()
