@@ -73,17 +73,30 @@ def read_data(spark: SparkSession, path: str | list[str], sep: str = "|", panel:
     return out
 
 
-def put(files: DataFrame, out_path: str) -> None:
-    """Writes rows (name, content) as files, one at a time from the driver's iterator: no more than a file is held."""
+def put(files: DataFrame, out_path: str, heads: dict[str, bytes] | None = None) -> None:
+    """Writes rows (name, content) as files, from the driver's iterator: rows of one name that follow each other are one file, after its head if it has one.
+
+    No more than the rows of a partition are held.
+    """
     spark = files.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(out_path)
     fs = folder.getFileSystem(conf)
     fs.mkdirs(folder)
-    for r in files.toLocalIterator():
-        stream = fs.create(jvm.org.apache.hadoop.fs.Path(folder, r["name"]), True)
-        stream.write(bytearray(r["content"]))
-        stream.close()
+    stream = last = None
+    try:
+        for r in files.toLocalIterator():
+            if stream is None or r["name"] != last:
+                if stream is not None:
+                    stream.close()
+                last = r["name"]
+                stream = fs.create(jvm.org.apache.hadoop.fs.Path(folder, last), True)
+                if heads and last in heads:
+                    stream.write(bytearray(heads[last]))
+            stream.write(bytearray(r["content"]))
+    finally:
+        if stream is not None:
+            stream.close()
 
 
 def write_csv(df: DataFrame, out_path: str, by: str | list[str] | None = None, sep: str = "_", file_name: str | None = None, single_files: bool = False) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellgrid import registry
 from cellgrid.functions import exprs, special
 from cellgrid.operators import batch, cluster, discovery, features, metacluster, modeling, neighbors, preprocess, quality, quantiles, reduce, sample, upsample
-from cellgrid.sources import bundle, files
+from cellgrid.sources import bundle, fcs, files
 from cellgrid.streaming import flow
 from cellgrid.table import CellTable, all_of, any_of, columns, contains, deframe, pull_unless_null, starts_with, with_cell_id
 
@@ -349,6 +349,18 @@ def test_files_round_trip(spark, blobs, tmp_path):
         files.write_csv(blobs, str(tmp_path / "x"))
 
 
+def test_fcs_files_of_many_pieces(spark, tmp_path, monkeypatch):
+    """No piece that is written or read, by the driver or a task, is a whole file."""
+    monkeypatch.setattr(fcs, "PIECE", 4_000)
+    cells = spark.range(0, 20_000, 1, 12).select((F.col("id") % 2).cast("string").alias("g"), F.col("id").cast("double").alias("a"), (F.col("id") / 7).alias("b"))
+    pieces = fcs.fcs_pieces(cells, "g")[0]
+    assert pieces.count() > 10
+    files.write_data(cells, str(tmp_path / "fcs"), "g", "fcs")
+    read = files.read_data(spark, str(tmp_path / "fcs"))["1"].df
+    got = read.groupBy("file_name").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.max(F.abs(F.col("b") - F.col("a") / 7)).alias("off")).orderBy("file_name").collect()
+    assert [tuple(r)[:3] for r in got] == [("0.fcs", 10_000, 99_990_000.0), ("1.fcs", 10_000, 100_000_000.0)] and max(r.off for r in got) < 1e-3
+
+
 def test_bundle_round_trip(blobs):
     back = bundle.from_bundle(bundle.to_bundle(CellTable(blobs), MARKERS)).df
     assert np.allclose(back.orderBy("cell_id").select(*MARKERS).toPandas(), blobs.orderBy("cell_id").select(*MARKERS).toPandas())
