@@ -361,6 +361,18 @@ def test_fcs_files_of_many_pieces(spark, tmp_path, monkeypatch):
     assert [tuple(r)[:3] for r in got] == [("0.fcs", 10_000, 99_990_000.0), ("1.fcs", 10_000, 100_000_000.0)] and max(r.off for r in got) < 1e-3
 
 
+def test_heatmap_of_many_rows(spark):
+    many = spark.range(6_000).select("id", (F.col("id") % 3 * 100 + F.col("id") / 6_000).alias("a"), (F.col("id") % 3 * 50).cast("double").alias("b"), F.lit(1.0).alias("c"))
+    from cellgrid.plans import plotdata
+
+    got = plotdata.sample_features(many, "id").toPandas()
+    a = got[got["channel"] == "a"].assign(id=lambda t: t["row"].astype(int)).sort_values("id")
+    assert len(got) == 18_000 and a["value"].to_numpy() == pytest.approx((a["id"] % 3 * 100 + a["id"] / 6_000).to_numpy())
+    assert sorted(a["row_order"]) == list(range(6_000)) and got.groupby("channel")["channel_order"].nunique().max() == 1
+    near = np.abs(np.diff(a.sort_values("row_order")["value"]))
+    assert (near > 10).sum() < 200  # of 4,000 in the given order
+
+
 def test_bundle_round_trip(blobs):
     back = bundle.from_bundle(bundle.to_bundle(CellTable(blobs), MARKERS)).df
     assert np.allclose(back.orderBy("cell_id").select(*MARKERS).toPandas(), blobs.orderBy("cell_id").select(*MARKERS).toPandas())
