@@ -361,6 +361,35 @@ def test_fcs_files_of_many_pieces(spark, tmp_path, monkeypatch):
     assert [tuple(r)[:3] for r in got] == [("0.fcs", 10_000, 99_990_000.0), ("1.fcs", 10_000, 100_000_000.0)] and max(r.off for r in got) < 1e-3
 
 
+def test_layouts_of_many_cells(spark, monkeypatch):
+    """Beyond the dense matrices, and beyond what used to be refused; clusters stay apart."""
+    from cellgrid.plans import plotdata
+
+    monkeypatch.setattr(reduce, "MAX_DENSE", 1 << 20)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4)) + np.arange(600)[:, None] % 3 * 30
+    cells = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "cell_id long, a double, b double, c double, d double")
+    for method, options in (("tsne", {"max_iterations": 300, "perplexity": 15.0}), ("umap", {"epochs": 60})):
+        y = reduce.reduce_dimensions(cells, ["a", "b", "c", "d"], method, **options).orderBy("cell_id").select(f"`.{method}1`", f"`.{method}2`").toPandas().to_numpy()
+        d = ((y[:, None] - y[None]) ** 2).sum(2) + np.diag(np.full(600, np.inf))
+        assert np.isfinite(y).all() and ((np.argsort(d, 1)[:, :5] - np.arange(600)[:, None]) % 3 == 0).mean() > (0.97 if method == "tsne" else 0.6)
+    with pytest.raises(ValueError):
+        reduce.reduce_umap(cells, ["a", "b"], max_cells=100)
+    many = spark.range(20_100).select(F.col("id").alias("cell_id"), F.rand(1).alias("a"))
+    nodes, edges = plotdata.cells_layout(many, ["a"], 2, rounds=1)
+    assert nodes.count() == 20_100 and edges.count() == 40_200
+
+
+@pytest.mark.parametrize("dims", [1, 2])
+def test_repulsion_through_a_grid(dims):
+    y = np.random.default_rng(0).normal(size=(400, dims)) * 6
+    gap = y[:, None] - y[None]
+    k = 1 / (1 + (gap * gap).sum(2)) - np.eye(400)
+    push, total = reduce._repulsion(y)
+    want = ((k**2)[..., None] * gap).sum(1)
+    assert total == pytest.approx(k.sum(), rel=0.02) and np.abs(push - want).max() < 0.1 * np.abs(want).max()
+
+
 def test_heatmap_of_many_rows(spark):
     many = spark.range(6_000).select("id", (F.col("id") % 3 * 100 + F.col("id") / 6_000).alias("a"), (F.col("id") % 3 * 50).cast("double").alias("b"), F.lit(1.0).alias("c"))
     from cellgrid.plans import plotdata
