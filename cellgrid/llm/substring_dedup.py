@@ -196,19 +196,89 @@ def _within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int]]:
-    """(i, j, k, m): stretches a[i:j] and b[k:m], at least `least` long, whose sets of shingles are similar."""
+    """(i, j, k, m): stretches a[i:j] and b[k:m], at least `least` long, whose sets of shingles are similar; zeros are like nothing.
+
+    Dense stretches are tried first. Where none is similar, all are: see best_box.
+    """
+    if min(len(a), len(b)) < least:
+        return []
+    known = np.sort(b[b != 0])
+    if not len(known):
+        return []
+    zero_b = b == 0
 
     def similar(i: int, j: int) -> list[tuple[int, int, int, int]]:
-        x = _distinct(a[i:j])
+        x, more = _distinct(a[i:j]), int((a[i:j] == 0).sum())
+        x = x[x != 0]
 
         def same(k: int, m: int) -> list[tuple[int, int, int, int]]:
             y = _distinct(b[k:m])
-            both = int(_within(x, y).sum())
-            return [(i, j, k, m)] if both >= similarity * (len(x) + len(y) - both) else []
-
-        return _stretches(_within(b, x), least, similarity, same)
-
-    return _stretches(_within(a, np.sort(b)), least, similarity, similar) if min(len(a), len(b)) >= least else []
+            y = y[y != 0]
+            both = int(_within(x, y).sum()) if len(y) else 0
+            return [(i, j, k, m)] if both >= similarity * (len(x) + more + len(y) + int(zero_b[k:m].sum()) - both) - 1e-9 else []
+
+        return _stretches(_within(b, x) & ~zero_b, least, similarity, same) if len(x) else []
+
+    member = _within(a, known) & (a != 0)
+    return _stretches(member, least, similarity, similar) or best_box(a, b, member, least, similarity)
+
+
+def covered(bad: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
+    """The union of all stretches of at least `least` places of which at most `share` are bad, as ascending [i, j)."""
+    n = len(bad)
+    if n < least:
+        return []
+    total = np.concatenate(([0.0], np.cumsum(share - bad)))
+    low = np.minimum.accumulate(total[: n - least + 1])
+    ends = least + np.flatnonzero(total[least:] >= low - 1e-9)
+    first = np.searchsorted(-low, -total[ends] - 1e-9)
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, ends, -1)
+    inside = np.concatenate(([False], np.cumsum(step[:-1]) > 0, [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
+    return list(zip(edge[::2], edge[1::2], strict=True))
+
+
+def best_box(a: np.ndarray, b: np.ndarray, member: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int]]:
+    """The most similar stretches of a and b, if similar enough, of all there are.
+
+    Two sets are similar by s if (1 + s) times what is common is not below s times the sum of their sizes. Where a
+    shingle stands once in a stretch that is a sum over its places: for every stretch of a the best of b is the
+    stretch of the largest sum. Ends that are not common only make up the length that is asked for.
+    """
+    found: list[tuple[int, int, int, int]] = []
+    for lo, hi in covered(~member, least, 1 - similarity):
+        x = a[lo:hi]
+        order = np.argsort(x, kind="stable")
+        at = order[np.minimum(np.searchsorted(x[order], b), len(x) - 1)]
+        at = np.where((x[at] == b) & (b != 0), at, -1)
+        for k, m in covered(at < 0, least, 1 - similarity):
+            best, where = -1e-9, None
+            for size in range(least, min(hi - lo, int((m - k) / similarity) + 1) + 1):
+                # Ends of a stretch longer than asked for are common.
+                starts = np.arange(hi - lo - size + 1)
+                if size > least:
+                    starts = starts[member[lo + starts] & member[lo + starts + size - 1]]
+                for part in np.array_split(starts, 1 + len(starts) * (m - k) // 2_000_000):
+                    if not len(part):
+                        continue
+                    here = at[None, k:m]
+                    gain = ((here >= part[:, None]) & (here < part[:, None] + size)) * (1 + similarity) - similarity
+                    total = np.concatenate((np.zeros((len(part), 1)), np.cumsum(gain, axis=1)), axis=1)
+                    low = np.minimum.accumulate(total[:, : m - k - least + 1], axis=1)
+                    value = total[:, least:] - low - similarity * size
+                    top = int(np.argmax(value))
+                    if value.flat[top] > best:
+                        r, e = divmod(top, value.shape[1])
+                        best, where = float(value.flat[top]), (lo + int(part[r]), lo + int(part[r]) + size, k + int(np.argmin(total[r, : e + 1])), k + e + least)
+            if where:
+                i, j, k, m = where
+                both = len(np.intersect1d(x[i - lo : j - lo][x[i - lo : j - lo] != 0], b[k:m]))
+                sizes = [len(_distinct(z[z != 0])) + int((z == 0).sum()) for z in (a[i:j], b[k:m])]
+                if both >= similarity * (sum(sizes) - both) - 1e-9:  # shingles that stand twice count once
+                    found.append(where)
+    return found
 
 
 def repeated_passages(

@@ -126,6 +126,24 @@ def test_stretches_with_edits_are_similar():
     assert found >= 295
 
 
+def test_no_similar_stretches_are_lost():
+    """Brute force over all stretches of two short sequences; and passages that begin and end with other words."""
+    rng = random.Random(23)
+    found = 0
+    for _ in range(400):
+        a = rng.sample(range(1, 60), rng.randint(6, 14))
+        b = [x if rng.random() < 0.85 else 100 + i for i, x in enumerate(a) if rng.random() < 0.95]
+        b = rng.sample(range(200, 300), rng.randint(0, 3)) + b + rng.sample(range(300, 400), rng.randint(0, 3))
+        stretches = lambda x: [set(x[i:j]) for i in range(len(x)) for j in range(i + 6, len(x) + 1)]
+        want = any(len(x & y) >= 0.8 * len(x | y) for x in stretches(a) for y in stretches(b))
+        assert bool(substring_dedup.shared_passages(np.array(a, np.uint32), np.array(b, np.uint32), 6, 0.8)) == want
+        found += want
+    assert 50 < found < 350
+    powers = substring_dedup.Powers()
+    docs = [substring_dedup.shingle_hashes(d.encode(), 5, powers) for d in near_pairs(rng, 2000)]
+    assert all(substring_dedup.shared_passages(a, b, 47, 0.8) for a, b in zip(docs[::2], docs[1::2], strict=True))
+
+
 @pytest.mark.parametrize("phrase", [0, 8, 28])
 def test_passages_with_edits_are_found(spark, phrase):
     """Also where all of them hold one phrase, and ids that say nothing of who belongs to whom."""
