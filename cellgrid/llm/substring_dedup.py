@@ -1,21 +1,23 @@
 """Passages that documents share, through compact windows of min-hashes.
 
-A document is its sequence of shingles. For each hash function the Cartesian tree of the sequence
-gives windows (l, c, r): every subsequence within l..r that holds c has its least hash at c. Only
-windows that can hold a passage long enough are kept, about 2 n / length of them. Documents whose
-windows have the same least shingle are joined to two representatives of that shingle, and to two of
-those whose least shingle beside it is the same too; intervals are joined over the hash functions, and
-pairs with enough of these are verified shingle by shingle.
+A document is its sequence of shingles. The Cartesian tree of its hashes gives windows (l, c, r): every
+subsequence within l..r that holds c has its least hash at c. Passages that are similar enough have a
+run of shingles in common (of four, at a similarity of 0.8), and so the centre c of a window that long:
+the centres of all such windows are kept, and those that no other document has tell where no similar
+passage can be. What is left is looked at with all its shingles in the same way, and stretches alike in
+all that others share are one class. Classes meet in the rarest shingles of their stretches, which similar
+ones cannot all have for themselves, and are verified, pair by pair, in blocks.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stored
@@ -121,22 +123,59 @@ def compact_windows(values: np.ndarray, least: int, reach: int = 1) -> list[np.n
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 2
 
 
-def widest(key: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window (top, lo, hi): 0 if another of its key reaches as far both ways, else 1, or 2 if its key has more windows; the span of all of these."""
-    top, lo, hi = np.ones(len(key), np.int8), left.copy(), right.copy()
-    ordered = np.sort(key)
-    if not (ordered[1:] == ordered[:-1]).any():
-        return top, lo, hi
-    order = np.lexsort((c - right, left - c, key))  # of a key, those that reach furthest to the left first, then to the right
-    ends = np.append(np.flatnonzero(np.diff(key[order].view(np.int64))) + 1, len(key))
-    starts = np.append(0, ends[:-1])
-    for i, j in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-        same = order[i:j]
-        lo[same], hi[same] = left[same].min(), right[same].max()
-        reach = (right - c)[same]
-        top[same[0]] = 2
-        top[same[1:]] = 2 * (reach[1:] > np.maximum.accumulate(reach)[:-1])
-    return top, lo, hi
+def centres(values: np.ndarray, span: int) -> np.ndarray:
+    """Places that have the least value of some `span` neighbours: those of compact_windows, with all of equal values."""
+    if len(values) < span:
+        return np.empty(0, np.int64)
+    run = ~least_of_spans(values, span)[0]
+    run = ~least_of_spans(np.pad(run, span - 1, constant_values=~np.zeros(1, run.dtype)[0]), span)[0]  # of the windows that hold a place the largest least
+    return np.flatnonzero(run == values)
+
+
+def covered(bad: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
+    """The union of all stretches of at least `least` places of which at most `share` are bad, as ascending [i, j)."""
+    n = len(bad)
+    if n < least:
+        return []
+    total = np.concatenate(([0.0], np.cumsum(share - bad)))
+    low = np.minimum.accumulate(total[: n - least + 1])
+    ends = least + np.flatnonzero(total[least:] >= low - 1e-9)
+    first = np.searchsorted(-low, -total[ends] - 1e-9)
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, ends, -1)
+    inside = np.concatenate(([False], np.cumsum(step[:-1]) > 0, [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
+    return list(zip(edge[::2], edge[1::2], strict=True))
+
+
+def leading(order: np.ndarray, least: int, share: float) -> np.ndarray:
+    """Whether each place is among the first in order, the share of them and one more, of some stretch of `least` places or more; zeros come first and are not asked for.
+
+    Two sets of which each has at most that share for itself have the first of what is common among these.
+    Order is taken in steps of a quarter of a level, so a few more places may be told.
+    """
+    out = np.zeros(len(order), bool)
+    once = np.ones(len(order), bool)
+    by = np.argsort(order, kind="stable")
+    once[by[1:][(order[by][1:] == order[by][:-1]) & (order[by][1:] > 0)]] = False
+    step = order >> np.uint64(30)
+    for one in _distinct(step[order > 0]):
+        region = covered(((step < one) & once).astype(float), least, share)
+        if not region:
+            break
+        for i, j in region:
+            out[i:j] |= (step[i:j] == one) & (order[i:j] > 0)
+    return out
+
+
+def common_run(least: int, similarity: float) -> int:
+    """So many neighbours at least are common in a row to two similar stretches of `least` places or more."""
+    runs = []
+    for n in range(least, 4 * least + 1):
+        common = int(np.ceil(similarity * n - 1e-9))
+        runs.append(-(-common // (n - common + 1)))
+    return max(1, min(runs))
 
 
 def dense_runs(member: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
@@ -198,14 +237,25 @@ def _within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int]]:
     """(i, j, k, m): stretches a[i:j] and b[k:m], at least `least` long, whose sets of shingles are similar; zeros are like nothing.
 
-    Dense stretches are tried first. Where none is similar, all are: see best_box.
+    Dense stretches are tried first. In what lies between those that are similar all are: see best_box.
     """
     if min(len(a), len(b)) < least:
         return []
-    known = np.sort(b[b != 0])
-    if not len(known):
+    known = np.sort(b)
+    member = _within(a, known) & (a != 0)
+    if np.count_nonzero(member) < similarity * least - 1e-9:
         return []
     zero_b = b == 0
+    # All that is common is one passage, most of the time.
+    common = _distinct(a[member])
+    there = _within(b, common)
+    i, k = int(member.argmax()), int(there.argmax())
+    j, m = len(a) - int(member[::-1].argmax()), len(b) - int(there[::-1].argmax())
+    # Shingles that stand twice count twice here, once below.
+    if min(j - i, m - k) >= least and len(common) >= similarity * (j - i + m - k - len(common)):
+        return [(i, j, k, m)]
+    if not covered(~member, least, 1 - similarity) or not covered(~there, least, 1 - similarity):
+        return []
 
     def similar(i: int, j: int) -> list[tuple[int, int, int, int]]:
         x, more = _distinct(a[i:j]), int((a[i:j] == 0).sum())
@@ -219,25 +269,19 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float)
 
         return _stretches(_within(b, x) & ~zero_b, least, similarity, same) if len(x) else []
 
-    member = _within(a, known) & (a != 0)
-    return _stretches(member, least, similarity, similar) or best_box(a, b, member, least, similarity)
-
-
-def covered(bad: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
-    """The union of all stretches of at least `least` places of which at most `share` are bad, as ascending [i, j)."""
-    n = len(bad)
-    if n < least:
-        return []
-    total = np.concatenate(([0.0], np.cumsum(share - bad)))
-    low = np.minimum.accumulate(total[: n - least + 1])
-    ends = least + np.flatnonzero(total[least:] >= low - 1e-9)
-    first = np.searchsorted(-low, -total[ends] - 1e-9)
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, first, 1)
-    np.add.at(step, ends, -1)
-    inside = np.concatenate(([False], np.cumsum(step[:-1]) > 0, [False]))
-    edge = np.flatnonzero(inside[1:] != inside[:-1]).tolist()
-    return list(zip(edge[::2], edge[1::2], strict=True))
+    found = _stretches(member, least, similarity, similar)
+    at, todo = 0, []
+    for i, j, *_ in found:
+        todo.append((at, i))
+        at = max(at, j)
+    todo.append((at, len(a)))
+    while todo:
+        i, j = todo.pop()
+        if np.count_nonzero(member[i:j]) >= similarity * least - 1e-9:
+            for p, q, k, m in best_box(a[i:j], b, member[i:j], least, similarity):
+                found.append((i + p, i + q, k, m))
+                todo += [(i, i + p), (i + q, j)]
+    return sorted(found)
 
 
 def best_box(a: np.ndarray, b: np.ndarray, member: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int]]:
@@ -245,8 +289,11 @@ def best_box(a: np.ndarray, b: np.ndarray, member: np.ndarray, least: int, simil
 
     Two sets are similar by s if (1 + s) times what is common is not below s times the sum of their sizes. Where a
     shingle stands once in a stretch that is a sum over its places: for every stretch of a the best of b is the
-    stretch of the largest sum. Ends that are not common only make up the length that is asked for.
+    stretch of the largest sum. Ends that are not common only make up the length that is asked for. A stretch of
+    more than two times least / (2 s - 1) places whose common shingles stand in one order can be halved, and a half is
+    as similar: longer ones are not tried.
     """
+    longest = 2 * int(np.ceil(least / (2 * similarity - 1))) if similarity > 0.5 else len(a)
     found: list[tuple[int, int, int, int]] = []
     for lo, hi in covered(~member, least, 1 - similarity):
         x = a[lo:hi]
@@ -255,9 +302,12 @@ def best_box(a: np.ndarray, b: np.ndarray, member: np.ndarray, least: int, simil
         at = np.where((x[at] == b) & (b != 0), at, -1)
         for k, m in covered(at < 0, least, 1 - similarity):
             best, where = -1e-9, None
-            for size in range(least, min(hi - lo, int((m - k) / similarity) + 1) + 1):
+            total = np.concatenate(([0.0], np.cumsum((at[k:m] >= 0) * (1 + similarity) - similarity)))
+            count = np.append(0, np.cumsum(_within(x, np.sort(b[k:m])) & (x != 0)))
+            most = float(np.max(total[least:] - np.minimum.accumulate(total[: m - k - least + 1])))  # as if all of a were there
+            for size in range(least, min(hi - lo, longest, int(most / similarity + 1e-6)) + 1):
                 # Ends of a stretch longer than asked for are common.
-                starts = np.arange(hi - lo - size + 1)
+                starts = np.flatnonzero(count[size:] - count[:-size] >= similarity * size - 1e-9)
                 if size > least:
                     starts = starts[member[lo + starts] & member[lo + starts + size - 1]]
                 for part in np.array_split(starts, 1 + len(starts) * (m - k) // 2_000_000):
@@ -281,142 +331,394 @@ def best_box(a: np.ndarray, b: np.ndarray, member: np.ndarray, least: int, simil
     return found
 
 
-def repeated_passages(
-    docs: DataFrame, least_words: int = 51, width: int = 5, similarity: float = 0.8, hashes: int = 4, enough: int = 2,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """(a, a_start, a_end, b, b_start, b_end): pairs of passages of two documents, in words from 0, ends exclusive.
+def _packed(*columns: tuple[np.ndarray, int]) -> bytes:
+    """So many lower bytes of each column of whole numbers, byte by byte, which compresses well."""
+    return b"".join(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes() for x, n in columns)
 
-    Passages have at least least_words words; their sets of width-word shingles have a Jaccard similarity
-    of at least `similarity`. Every document that shares a window's least shingle is compared with the
-    smallest and the largest id that have it, and with those of the ids whose least shingle in the half of
-    a passage beside it is the same too (before it for odd hash functions, after it for even ones), so that
-    each passage around a common phrase has ends of its own; the two must meet in at least `enough` of the
-    hash functions. Copies are so tied to the same few documents and not to each other. Ids are longs; rows
-    of one id are texts of one document, equal ones count once and each of the others is compared; rows with
-    a null id are left out. Null, empty and short texts have no passages.
-    """
-    least = least_words - width + 1
-    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+def _unpacked(data: bytes, *sizes: int) -> list[np.ndarray]:
+    raw = np.frombuffer(data, np.uint8).reshape(sum(sizes), -1)
+    out, at = [], 0
+    for n in sizes:
+        x = np.zeros((raw.shape[1], 8), np.uint8)
+        x[:, :n] = raw[at : at + n].T
+        out.append(x.view("<u8").ravel())
+        at += n
+    return out
+
+
+_DEALT = "place long, batch long, data binary"
+
+
+def _rows(rows: list[tuple], names: tuple[str, ...] = ("place", "batch", "data")) -> pa.RecordBatch:
+    kinds = {"data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(x, pa.int64())) for k, x in enumerate(names)], list(names))
+
+
+def _shared(sequences: DataFrame, read: Callable, run: int, finish: Callable, schema: str, size: int) -> DataFrame:
+    """The rows finish(doc, tag, length, steps or hashes, hit) of sequences of hashes; hit: 0 where no other has one, else the logarithm of how often it stands.
+
+    read(batch) yields (doc, tag, hashes). Their centres (all places if run is 1) are dealt by key, which
+    tells those that stand in one sequence only, and the answers go back to where the sequences are noted.
+    """
+    parts = min(max(16, size >> 22), 1 << 16)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            batch = uuid.uuid4().int >> 65
+            keys = np.concatenate([x[3] for x in open_])
+            n = np.array([len(x[3]) for x in open_])
+            place = np.concatenate([np.arange(k, dtype=np.uint32) for k in n])
+            owner = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+            to = ((keys >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16)  # the other 48 bits travel
+            order = np.argsort(to, kind="stable")
+            keys, owner, place, to = keys[order], owner[order], place[order], to[order]
+            cuts = np.append(0, np.flatnonzero(np.diff(to)) + 1)
+            out = [(int(to[i]), batch, _packed((keys[i:j], 6), (np.diff(owner[i:j], prepend=np.uint32(0)), 3), (place[i:j], 4))) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True)]
+            head = np.array([[x[0], x[1], len(x[2]), len(x[3])] for x in open_], np.int64)
+            body = [x[2].astype(np.uint32).tobytes() if run == 1 else x[4].tobytes() for x in open_]
+            yield _rows([(-1, batch, len(n).to_bytes(8, "little") + head.tobytes() + b"".join(body))])
+            for k in range(0, len(out), 64):
+                yield _rows(out[k : k + 64])
+
+        open_, many = [], 0
         for b in batches:
-            parts, size = [], 0
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = shingle_hashes(x.as_py(), width, powers)
-                if len(h) < least:
-                    continue
-                v = np.stack([_mixed(h, k) for k in range(hashes)])
-                k, c, left, right, before, after = compact_windows(v, least, least // 2)
-                key = v[k, c]
-                top, lo, hi = widest(key, c, left, right)
-                # What an odd hash function finds is divided by what stands before it, the rest by what stands after.
-                side = np.where(k % 2, before, after)
-                part = [x[top > 0] for x in (key.view(np.int64), np.full(len(key), doc), k, c, left, right, lo - left, hi - right, side.astype(np.uint32).view(np.int32))]
-                parts.append(part)
-                size += len(part[0])
-                if size > 100_000:
-                    yield _batch(parts)
-                    parts, size = [], 0
-            if parts:
-                yield _batch(parts)
-
-    def _batch(parts: list) -> pa.RecordBatch:
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        kinds = (np.int64, np.int64, np.int8, *[np.int32] * 6)
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(cols, kinds, strict=True)], ["key", "doc", "k", "c", "l", "r", "more_l", "more_r", "side"])
-
-    # Of a document's windows of one key those stay that reach furthest, with the span of all of them: zero and zero where there is one.
-    place = ("key", "doc", "k", "c", "l", "r", "more_l", "more_r", "side")
-    found = stored(given.mapInArrow(windows, "key long, doc long, k byte, c int, l int, r int, more_l int, more_r int, side int"))
-    shared = stored(found.groupBy("key").agg(F.min("doc").alias("mn"), F.max("doc").alias("mx"), F.count("*").alias("n")).where("mn < mx"), release=True)
-    first = stored(found.join(shared, "key"), release=True)
-    discard(found)
-    # A key of three documents or more is also divided by what stands beside it.
-    parts = first.where("n > 2").withColumn("key", F.xxhash64("key", "side"))
-    ranges = stored(parts.groupBy("key").agg(F.min("doc").alias("p_mn"), F.max("doc").alias("p_mx")).where("p_mn < p_mx"), release=True)
-    parts = parts.join(ranges, "key").where("p_mn <> mn OR p_mx <> mx").select(*place, F.col("p_mn").alias("mn"), F.col("p_mx").alias("mx"))
-    met = stored(first.select(*place, "mn", "mx").union(parts), release=True)
-    discard(first, shared, ranges)
-    ends = stored(met.where((F.col("doc") == F.col("mn")) | (F.col("doc") == F.col("mx"))).select(
-        "key", F.col("doc").alias("b"), F.col("c").alias("bc"), F.col("l").alias("bl"), F.col("r").alias("br"), F.col("more_l").alias("bml"), F.col("more_r").alias("bmr")
-    ))
-    off = F.col("c") - F.col("bc")
-    low, high = F.greatest(F.col("l"), F.col("bl") + off), F.least(F.col("r"), F.col("br") + off)
-    several = lambda ml, mr: (F.col(ml) != 0) | (F.col(mr) != 0)
-    whole = lambda ml, mr, all_, here: F.when(several(ml, mr), all_).otherwise(here)
-    links = (
-        met.join(ends, "key").where((F.col("doc") != F.col("b")) & ((F.col("doc") != F.col("mn")) | (F.col("b") != F.col("mx"))))
-        .withColumns({"lo": low, "hi": high, "off": off}).where(F.col("hi") - F.col("lo") + 1 >= least)
-        .select(
-            F.col("doc").alias("a"), "b", "k",
-            whole("more_l", "more_r", F.col("l") + F.col("more_l"), F.col("lo")).alias("a_lo"), whole("more_l", "more_r", F.col("r") + F.col("more_r"), F.col("hi")).alias("a_hi"),
-            whole("bml", "bmr", F.col("bl") + F.col("bml"), F.col("lo") - F.col("off")).alias("b_lo"), whole("bml", "bmr", F.col("br") + F.col("bmr"), F.col("hi") - F.col("off")).alias("b_hi"),
-        )
-    )
-    pairs = stored(
-        links.groupBy("a", "b").agg(
-            F.min("a_lo").alias("a_lo"), F.max("a_hi").alias("a_hi"), F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi"),
-            F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k").cast("int")))).alias("n"),
-        ).where(F.col("n") >= enough).drop("n"), release=True
-    )
-    discard(met, ends)
-    # An end of a pair is a stretch of a document: documents meet their stretches, then the two stretches each other.
-    end = lambda side, x: pairs.select("a", "b", F.lit(side).alias("side"), F.col(x).alias("doc"), F.col(f"{x}_lo").alias("lo"), F.col(f"{x}_hi").alias("hi"))
-    stretches = end(0, "a").union(end(1, "b"))
-    involved = stored(stretches.select("doc").distinct())
+            for doc, tag, h in read(b):
+                at = np.arange(len(h)) if run == 1 else centres(h, run)
+                key = h[at]
+                # Steps to the next centre; the upper bit marks what stands more than once here, which may be alone and still no loss.
+                steps = np.diff(at, prepend=0).astype(np.uint8)
+                order = np.argsort(key)
+                twice = key[order][1:] == key[order][:-1]
+                if twice.any():
+                    steps[order[1:][twice]] |= 128
+                    steps[order[:-1][twice]] |= 128
+                open_.append((doc, tag, h, key, steps))
+                many += len(key)
+                if many > 400_000:
+                    yield from flush()
+                    open_, many = [], 0
+        if open_:
+            yield from flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, owners, places = {}, [], [], []
+        for b in batches:
+            for place, batch, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                k, o, p = _unpacked(data.as_py(), 6, 3, 4)
+                k |= np.uint64(place << 48)
+                owners.append(np.cumsum(o, dtype=np.uint64) | np.uint64(ids.setdefault(batch, len(ids)) << 32))
+                keys.append(k)
+                places.append(p.astype(np.uint32))
+        if not ids:
+            return
+        back = list(ids)
+        key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+        del keys, owners, places
+        order = np.argsort(key)
+        key, owner, place = key[order], owner[order], place[order]
+        cuts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        several = np.minimum.reduceat(owner, cuts) != np.maximum.reduceat(owner, cuts)
+        size = np.diff(np.append(cuts, len(key)))
+        kept = np.repeat(several, size)
+        level = np.repeat(np.log2(size).astype(np.uint8), size)[kept]
+        owner, place = owner[kept], place[kept]
+        order = np.argsort(owner, kind="stable")
+        owner, place, level = owner[order], place[order], level[order]
+        home = owner >> np.uint64(32)
+        cuts = np.append(0, np.flatnonzero(home[1:] != home[:-1]) + 1) if len(home) else np.empty(0, np.int64)
+        out = [(0, back[int(home[i])], _packed((owner[i:j] & np.uint64(0xFFFFFF), 3), (place[i:j], 4), (level[i:j], 1))) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(home)], strict=False)]
+        for k in range(0, len(out), 64):
+            yield _rows(out[k : k + 64])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, found = {}, defaultdict(list)
+        for b in batches:
+            for place, batch, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if place < 0:
+                    heads[batch] = data.as_py()
+                else:
+                    found[batch].append(data.as_py())
+        for batch, answers in found.items():
+            raw = heads.pop(batch)
+            m = int.from_bytes(raw[:8], "little")
+            head = np.frombuffer(raw, np.int64, 4 * m, 8).reshape(m, 4)
+            body = np.frombuffer(raw, np.uint32 if run == 1 else np.uint8, -1, 8 + 32 * m)
+            off = np.append(0, np.cumsum(head[:, 3]))
+            hit = np.zeros(off[-1], np.uint8)
+            for x in answers:
+                o, p, level = _unpacked(x, 3, 4, 1)
+                hit[off[o.astype(np.int64)] + p.astype(np.int64)] = level
+            rows = []
+            for doc, tag, n, i, j in zip(*head[:, :3].T.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                if hit[i:j].any():
+                    rows += finish(doc, tag, n, body[i:j], hit[i:j])
+                if len(rows) > 2000:
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), target)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), target)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    target = pa.schema([(x.split()[0], {"long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in schema.split(", ")])
+    dealt = stored(sequences.mapInArrow(deal, _DEALT))
+    met = dealt.where("place >= 0").repartition(parts, "place").mapInArrow(meet, _DEALT)
+    out = stored(met.union(dealt.where("place < 0")).repartition(parts, "batch").mapInArrow(answer, schema), release=True)
+    discard(dealt)
+    return out
+
+
+def _pieces(docs: DataFrame, least: int, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc, lo, seq, level, c): stretches of documents from shingle lo on that may be similar to those of others, c the same for equal ones.
+
+    seq: 32 bits of each shingle's hash, 0 where no other stretch has it; level: the logarithm of how often it stands.
+    """
+    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).withColumn("tag", F.xxhash64("text"))
+    share, run = 1 - similarity, common_run(least, similarity)
+
+    def whole(b: pa.RecordBatch) -> Iterator[tuple]:
+        for doc, text, tag in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            h = shingle_hashes(text.as_py(), width, powers)
+            if len(h) >= least:
+                yield doc, tag, h
+
+    def dense(doc: int, tag: int, n: int, steps: np.ndarray, hit: np.ndarray) -> list[tuple]:
+        bad = np.zeros(n)
+        bad[np.cumsum(steps & 127)[(hit == 0) & (steps < 128)]] = 1
+        return [(doc, tag, i, j) for i, j in covered(bad, least, share)]
+
+    powers = Powers()
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spans = _shared(given, whole, run, dense, "doc long, tag long, lo long, hi long", size)
+    involved = stored(spans.select("doc").distinct())
     if involved.count() <= BROADCAST_IDS:  # else the texts are dealt to meet them
         involved = F.broadcast(involved)
+    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    cut = given.join(involved, "doc", "left_semi").join(spans, ["doc", "tag"])
+
+    def stretches(b: pa.RecordBatch) -> Iterator[tuple]:
+        for doc, text, all_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            h = shingle_hashes(text.as_py(), width, powers)
+            for x in all_:
+                yield doc, x["lo"], h[x["lo"] : x["hi"]]
+
+    def masked(doc: int, lo: int, n: int, seq: np.ndarray, hit: np.ndarray) -> list[tuple]:
+        low = seq.copy()
+        low[low == 0] = 1
+        order = np.argsort(seq, kind="stable")
+        once = np.ones(n, bool)
+        twice = seq[order][1:] == seq[order][:-1]
+        once[order[1:][twice]] = once[order[:-1][twice]] = False
+        low[(hit == 0) & once] = 0
+        return [(doc, lo + i, low[i:j].tobytes(), hit[i:j].tobytes()) for i, j in covered((low == 0).astype(float), least, share)]
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+    out = _shared(cut.select("doc", "text", "spans"), stretches, 1, masked, "doc long, lo long, seq binary, level binary", size)
+    return stored(out.withColumn("c", F.xxhash64("seq")).dropDuplicates(["doc", "lo", "c"]))
+
+
+#: Classes of one block at most, on average; blocks meet each other.
+BLOCK = 256
+_CLASS = "c long, n long, low struct<doc:long,lo:long>, high struct<doc:long,lo:long>, multi array<long>"
+
+
+def _met(pieces: DataFrame, least: int, share: float) -> DataFrame:
+    """(ba, bb, pairs, classes): blocks of classes, pairs (a, b) of these that may be similar, and what there is to know of them.
+
+    Classes meet in shingles that lead some stretch of theirs, rare ones first. Four of the most frequent of
+    these sign a class: a pair is told at the least one that signs both; only where there is none at every
+    shingle they meet in.
+    """
+    several = pieces.groupBy("doc").agg(F.count("*").alias("m")).where("m > 1")
+    place = F.struct("doc", "lo")
+    classes = stored(pieces.join(several, "doc", "left").groupBy("c").agg(
+        F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high"), F.collect_list(F.when(F.col("m").isNotNull(), F.col("doc"))).alias("multi"), F.first("seq").alias("seq"), F.first("level").alias("level")
+    ))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [shingle_hashes(x.as_py(), width, powers).astype(np.uint32).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc", "sh"])
-
-    kept = stored(given.join(involved, "doc", "left_semi").mapInArrow(shingles, "doc long, sh binary"), release=True)
-    if kept.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").head(1):
-        kept = stored(kept.distinct())
-    # Only the stretch that the windows point to travels on.
-    cut = stretches.join(kept, "doc").select("a", "b", "side", "lo", F.expr("substring(sh, lo * 4 + 1, (hi - lo + 1) * 4)").alias("sh"))
-    of = lambda side, c: F.when(F.col("side") == side, F.col(c))
-    both = cut.groupBy("a", "b").agg(F.max(of(0, "lo")).alias("a_lo"), F.max(of(1, "lo")).alias("b_lo"), F.collect_list(of(0, "sh")).alias("sa"), F.collect_list(of(1, "sh")).alias("sb"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            for a, b, a_lo, b_lo, texts_a, texts_b in zip(*cols, strict=True):
-                for sa, sb in product(texts_a, texts_b):  # one text each, unless rows share an id
-                    x, y = np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32)
-                    rows += [(a, a_lo + i, a_lo + j + width - 1, b, b_lo + k, b_lo + m + width - 1) for i, j, k, m in shared_passages(x, y, least, similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], ["a", "a_start", "a_end", "b", "b_start", "b_end"])
+            c, keys, least4 = [], [], []
+            for one, x, level in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                order = np.frombuffer(x.as_py(), np.uint32).astype(np.uint64)
+                order[order > 0] |= np.frombuffer(level.as_py(), np.uint8).astype(np.uint64)[order > 0] << np.uint64(32)
+                key = order[leading(order, least, share)]
+                if len(key):
+                    key = _distinct(key).astype(np.int64)
+                    c.append(one)
+                    keys.append(key.tolist())
+                    sign = key[key >> 32 == key[-1] >> 32]
+                    least4.append([int(sign[min(k, len(sign) - 1)]) for k in range(4)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(least4, pa.list_(pa.int64()))], ["c", "keys", "sig"])
+
+    signs = stored(classes.select("c", "seq", "level").mapInArrow(signed, "c long, keys array<long>, sig array<long>"))
+    homes = signs.groupBy(F.col("sig")[0].alias("home")).agg(F.ceil(F.count("*") / BLOCK).alias("split"))
+    blocks = signs.withColumn("home", F.col("sig")[0]).join(homes, "home").withColumn("block", F.xxhash64("home", F.pmod("c", "split"))).select("c", "keys", "sig", "block")
+    blocks = stored(blocks)
+    meeting = blocks.select(F.explode("keys").alias("key"), "c", "block", "sig").groupBy("key").agg(F.collect_list("c").alias("c"), F.collect_list("block").alias("block"), F.flatten(F.collect_list("sig")).alias("sig")).where(F.size("c") > 1)
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, many = defaultdict(list), 0
+            for n in range(b.num_rows):
+                if many > 500_000:
+                    yield _rows([(*k, np.vstack(v).astype(np.int64).tobytes()) for k, v in found.items()], ("ba", "bb", "data"))
+                    found, many = defaultdict(list), 0
+                key, (c, block, sig) = b.column(0)[n].as_py(), (b.column(k)[n].values.to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+                order = np.lexsort((c, block))
+                c, block, sig = c[order], block[order], sig.reshape(-1, 4)[order]
+                if len(c) <= 8:
+                    ids, homes_, sigs = c.tolist(), block.tolist(), [set(x) for x in sig.tolist()]
+                    for j in range(1, len(ids)):
+                        for i in range(j):
+                            both = sigs[i] & sigs[j]
+                            if not both or min(both) == key:
+                                found[homes_[i], homes_[j]].append((ids[i], ids[j]))
+                                many += 1
+                    continue
+                cuts = np.append(0, np.flatnonzero(np.diff(block)) + 1).tolist()
+                cuts = list(zip(cuts, [*cuts[1:], len(c)], strict=True))
+                cuts = [(i, min(i + 1000, j)) for i0, j in cuts for i in range(i0, j, 1000)]
+                for p, (i, j) in enumerate(cuts):
+                    for k, m in cuts[p:]:
+                        least = np.full((j - i, m - k), np.iinfo(np.int64).max)
+                        for x in range(4):
+                            for y in range(4):
+                                here = sig[i:j, x, None] == sig[None, k:m, y]
+                                least = np.minimum(least, np.where(here, sig[i:j, x, None], least))
+                        told = (least == np.iinfo(np.int64).max) | (least == key)
+                        x, y = np.nonzero(np.triu(told, 1) if (i, j) == (k, m) else told)
+                        if len(x):
+                            found[int(block[i]), int(block[k])].append(np.stack((c[i + x], c[k + y]), axis=1))
+                            many += len(x)
+            if found:
+                yield _rows([(*k, np.vstack(v).astype(np.int64).tobytes()) for k, v in found.items()], ("ba", "bb", "data"))
+
+    def selves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows([(k, k, np.array([x, x], np.int64).tobytes()) for x, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], ("ba", "bb", "data"))
 
-    return both.mapInArrow(verify, "a long, a_start long, a_end long, b long, b_start long, b_end long")
+    told = "ba long, bb long, data binary"
+    alike = blocks.join(classes.where("low.doc <> high.doc").select("c"), "c", "left_semi").select("c", "block")
+    pairs = stored(meeting.mapInArrow(paired, told).union(alike.mapInArrow(selves, told)).groupBy("ba", "bb").agg(F.collect_list("data").alias("pairs")), release=True)
 
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                ids = np.unique(np.frombuffer(b"".join(data), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), x)), pa.array(np.full(len(ids), y)), pa.array(ids)], ["ba", "bb", "c"])
 
-def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """(id_col, class_id, n_links, n_passages, spans): a row for each document that shares a passage with another.
+    known = pairs.mapInArrow(needed, "ba long, bb long, c long").join(classes, "c").groupBy("ba", "bb").agg(F.collect_list(F.struct("c", "n", "low", "high", "multi", "seq")).alias("classes"))
+    return pairs.join(known, ["ba", "bb"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: int, similarity: float) -> Iterator[tuple]:
+    """For each block its classes and an iterator of (a, b, similar stretches) of its pairs; a pair of stretches of one document is none."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            known = {x["c"]: x for x in batch.column("classes")[n].as_py()}
+            for x in known.values():
+                x["seq"] = np.frombuffer(x["seq"], np.uint32)
+            pairs = np.unique(np.frombuffer(b"".join(batch.column("pairs")[n].as_py()), np.int64).reshape(-1, 2), axis=0).tolist()
+
+            def links(known: dict = known, pairs: list = pairs) -> Iterator[tuple]:
+                for a, b in pairs:
+                    a, b = sorted((known[a], known[b]), key=lambda x: (x["low"]["doc"], x["low"]["lo"], x["c"]))
+                    if len({x[e]["doc"] for x in (a, b) for e in ("low", "high")}) > 1 and (got := shared_passages(a["seq"], b["seq"], least, similarity)):
+                        yield a, b, got
+
+            yield known, links()
 
-    class_id: the smallest id reachable by shared passages; n_links: pairs of passages found for the
-    document; spans: its passages as start:end in words, ends exclusive, overlapping ones merged,
-    ascending and comma-joined; n_passages: how many. See repeated_passages for options and edge cases;
-    documents that share nothing have no row, nor has an empty table.
+
+def repeated_passages(docs: DataFrame, least_words: int = 51, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, a_start, a_end, b, b_start, b_end): pairs of passages of two documents, in words from 0, ends exclusive.
+
+    Passages have at least least_words words; their sets of width-word shingles have a Jaccard similarity
+    of at least `similarity`. Stretches of documents that are alike in all that they share with others are
+    a class, whose smallest id stands for it: each of the others is paired with it, and two classes by
+    theirs. All pairs of classes are there. Ids are longs; rows of one id are texts of one document, equal
+    ones count once and each of the others is compared; rows with a null id are left out. Null, empty and
+    short texts have no passages.
     """
-    links = stored(repeated_passages(docs, id_col=id_col, text_col=text_col, **options), release=True)
-    groups = connected_components(links)
-    side = lambda x: links.select(F.col(x).alias("doc"), F.col(f"{x}_start").cast("int").alias("s"), F.col(f"{x}_end").cast("int").alias("e"))
-    spans = side("a").union(side("b")).groupBy("doc", "s", "e").agg(F.count("*").alias("n"))
-    # Of spans that begin at one place the longest is enough.
-    spans = spans.groupBy("doc", "s").agg(F.max("e").alias("e"), F.sum("n").alias("n"))
-    per = spans.groupBy("doc").agg(F.sum("n").alias("n_links"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("all"))
-    start = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
+    least = least_words - width + 1
+    pieces = _pieces(docs, least, width, similarity, id_col, text_col)
+    names = ["c", "a", "a_start", "a_end", "b", "b_start", "b_end"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, links in _verified(batches, least, similarity):
+            out = []
+            for a, b, got in links:
+                if a["c"] == b["c"]:
+                    x, y, c = {"doc": 0, "lo": 0}, a["low"], a["c"]
+                else:
+                    x, y = next((x, y) for x, y in ((a["low"], b["low"]), (a["low"], b["high"]), (a["high"], b["low"])) if x["doc"] != y["doc"])
+                    c = None
+                out += [(c, x["doc"], x["lo"] + i, x["lo"] + j + width - 1, y["doc"], y["lo"] + k, y["lo"] + m + width - 1) for i, j, k, m in got]
+            yield _rows(out, tuple(names))
+
+    found = stored(_met(pieces, least, 1 - similarity).mapInArrow(rows, ", ".join(f"{x} long" for x in names)), release=True)
+    copies = found.where("c IS NOT NULL").join(pieces.select("c", "doc", "lo"), "c").where("doc <> b")
+    copies = copies.select(F.col("doc").alias("a"), (F.col("lo") + F.col("a_start")).alias("a_start"), (F.col("lo") + F.col("a_end")).alias("a_end"), "b", "b_start", "b_end")
+    return found.where("c IS NULL").select(*names[1:]).union(copies).distinct()
+
+
+def _merged(spans: str) -> Column:
+    """Ascending structs (s, e) of which those that overlap or touch have become one."""
+    kind = "struct<s:int,e:int>"
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
     closed = lambda acc: F.when(acc["s"] >= 0, F.array_append(acc["done"], F.struct(acc["s"].alias("s"), acc["e"].alias("e")))).otherwise(acc["done"])
     step = lambda acc, x: F.when(x["s"] <= acc["e"], F.struct(acc["done"].alias("done"), acc["s"].alias("s"), F.greatest(acc["e"], x["e"]).alias("e"))).otherwise(
         F.struct(closed(acc).alias("done"), x["s"].alias("s"), x["e"].alias("e"))
     )
-    per = per.withColumn("merged", F.aggregate("all", start, step, closed))
+    return F.aggregate(F.array_sort(spans), start, step, closed)
+
+
+def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 51, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, class_id, n_links, n_passages, spans): a row for each document that shares a passage with another.
+
+    class_id: the smallest id reachable by shared passages; n_links: pairs of passages, one in the document
+    and one in any other, copies counted each; spans: its passages as start:end in words, ends exclusive,
+    overlapping ones merged, ascending and comma-joined; n_passages: how many. See repeated_passages for
+    options and edge cases; documents that share nothing have no row, nor has an empty table.
+    """
+    least = least_words - width + 1
+    pieces = _pieces(docs, least, width, similarity, id_col, text_col)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Kind 0: class x has similar stretches from s to e, n in all; 1: documents x and y are linked; 2: document x has n pairs with itself."""
+        for known, links in _verified(batches, least, similarity):
+            spans, own, edges, root = Counter(), Counter(), set(), {c: c for c in known}
+
+            def top(c: int, root: dict = root) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            multi = {c: Counter(x["multi"]) for c, x in known.items()}
+            for a, b, got in links:
+                p, q = multi[a["c"]], multi[b["c"]]
+                for i, j, k, m in got:
+                    spans[a["c"], i, j + width - 1] += b["n"] - (a is b)
+                    if a is not b:
+                        spans[b["c"], k, m + width - 1] += a["n"]
+                for doc in p.keys() & q.keys():
+                    own[doc] += len(got) * (p[doc] * (p[doc] - 1) if a is b else 2 * p[doc] * q[doc])
+                if (x := top(a["c"])) != (y := top(b["c"])):
+                    root[x] = y
+                    edges.add((a["low"]["doc"], b["low"]["doc"]))
+            rows = [(0, c, 0, s, e, n) for (c, s, e), n in spans.items()] + [(1, x, y, 0, 0, 0) for x, y in edges] + [(2, x, 0, 0, 0, n) for x, n in own.items() if n]
+            yield _rows(rows, ("kind", "x", "y", "s", "e", "n"))
+
+    found = stored(_met(pieces, least, 1 - similarity).mapInArrow(sums, "kind long, x long, y long, s long, e long, n long"), release=True)
+    place = F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))
+    linked = found.where("kind = 0").groupBy("x", "s", "e").agg(F.sum("n").alias("n")).groupBy(F.col("x").alias("c")).agg(F.sum("n").alias("n"), F.collect_set(place).alias("all"))
+    linked = linked.select("c", "n", _merged("all").alias("all"))
+    lows = pieces.groupBy("c").agg(F.min("doc").alias("low"))
+    members = stored(pieces.select("doc", "lo", "c").join(linked, "c").join(lows, "c"))
+    groups = connected_components(found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).union(members.select("doc", "low")))
+    moved = F.transform("all", lambda x: F.struct((x["s"] + F.col("lo")).cast("int").alias("s"), (x["e"] + F.col("lo")).cast("int").alias("e")))
+    per = members.groupBy("doc").agg(F.sum("n").alias("n"), F.flatten(F.collect_list(moved)).alias("all"))
+    own = found.where("kind = 2").groupBy(F.col("x").alias("doc")).agg(F.sum("n").alias("own"))
+    per = per.join(own, "doc", "left").withColumn("n_links", F.col("n") - F.coalesce("own", F.lit(0))).where("n_links > 0").withColumn("merged", _merged("all"))
     return per.join(groups, F.col("doc") == F.col("node")).select(
         F.col("doc").alias(id_col), F.col("component").alias("class_id"), "n_links", F.size("merged").cast("long").alias("n_passages"),
         F.array_join(F.transform("merged", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"))), ",").alias("spans"),

@@ -156,6 +156,34 @@ def test_passages_with_edits_are_found(spark, phrase):
     assert same >= 95
 
 
+def test_no_links_are_lost(spark):
+    """Every similar pair, whoever else shares its shingles; each of many documents is linked with all others that share its passage."""
+    rng = random.Random(24)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    docs = near_pairs(rng, 400, ["common" + str(i) for i in range(10)])
+    passage = words(60)
+    docs += [" ".join(words(30) + passage + words(30)) for _ in range(12)]
+    ids = rng.sample(range(2000), len(docs))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in substring_dedup.passage_classes(table(spark, list(zip(ids, docs, strict=True)), extra=False)).collect()}
+    assert all(got[a][0] == got[b][0] for a, b in zip(ids[:800:2], ids[1:800:2], strict=True))
+    assert [got[i] for i in ids[800:]] == [(min(ids[800:]), 11)] * 12
+
+
+@pytest.mark.parametrize("span", [2, 4])
+def test_leading_shingles_and_centres(span):
+    rng = np.random.default_rng(3)
+    assert substring_dedup.common_run(47, 0.8) == 4
+    for _ in range(40):
+        v = rng.integers(0, 40, int(rng.integers(1, 40))).astype(np.uint64) << np.uint64(30)
+        n = len(v)
+        want = {i for j in range(n - span + 1) for i in range(j, j + span) if v[i] == v[j : j + span].min()}
+        assert set(substring_dedup.centres(v, span).tolist()) == want
+        stretches = [(i, j) for i in range(n) for j in range(i + 6, n + 1)]
+        before = lambda c, i, j: len(set(x for x in v[i:j].tolist() if 0 < x < v[c])) + int((v[i:j] == 0).sum())
+        lead = {c for i, j in stretches for c in range(i, j) if v[c] > 0 and before(c, i, j) <= 0.2 * len(set(v[i:j].tolist()))}
+        assert lead <= set(np.flatnonzero(substring_dedup.leading(v, 6, 0.2)).tolist())
+
+
 def test_rows_of_one_id_are_all_compared(spark):
     rng = random.Random(31)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
