@@ -553,44 +553,49 @@ def _met(pieces: DataFrame, least: int, share: float) -> DataFrame:
     homes = signs.groupBy(F.col("sig")[0].alias("home")).agg(F.ceil(F.count("*") / BLOCK).alias("split"))
     blocks = signs.withColumn("home", F.col("sig")[0]).join(homes, "home").withColumn("block", F.xxhash64("home", F.pmod("c", "split"))).select("c", "keys", "sig", "block")
     blocks = stored(blocks)
-    meeting = blocks.select(F.explode("keys").alias("key"), "c", "block", "sig").groupBy("key").agg(F.collect_list("c").alias("c"), F.collect_list("block").alias("block"), F.flatten(F.collect_list("sig")).alias("sig")).where(F.size("c") > 1)
+    keyed = blocks.select(F.explode("keys").alias("key"), "c", "block", *[F.col("sig")[k].alias(f"s{k}") for k in range(4)])
+    parts = max(16, (blocks.agg(F.sum(F.size("keys"))).first()[0] or 0) >> 17)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, many = defaultdict(list), 0
-            for n in range(b.num_rows):
-                if many > 500_000:
-                    yield _rows([(*k, np.vstack(v).astype(np.int64).tobytes()) for k, v in found.items()], ("ba", "bb", "data"))
-                    found, many = defaultdict(list), 0
-                key, (c, block, sig) = b.column(0)[n].as_py(), (b.column(k)[n].values.to_numpy(zero_copy_only=False) for k in (1, 2, 3))
-                order = np.lexsort((c, block))
-                c, block, sig = c[order], block[order], sig.reshape(-1, 4)[order]
-                if len(c) <= 8:
-                    ids, homes_, sigs = c.tolist(), block.tolist(), [set(x) for x in sig.tolist()]
-                    for j in range(1, len(ids)):
-                        for i in range(j):
-                            both = sigs[i] & sigs[j]
-                            if not both or min(both) == key:
-                                found[homes_[i], homes_[j]].append((ids[i], ids[j]))
-                                many += 1
-                    continue
-                cuts = np.append(0, np.flatnonzero(np.diff(block)) + 1).tolist()
-                cuts = list(zip(cuts, [*cuts[1:], len(c)], strict=True))
-                cuts = [(i, min(i + 1000, j)) for i0, j in cuts for i in range(i0, j, 1000)]
-                for p, (i, j) in enumerate(cuts):
-                    for k, m in cuts[p:]:
-                        least = np.full((j - i, m - k), np.iinfo(np.int64).max)
-                        for x in range(4):
-                            for y in range(4):
-                                here = sig[i:j, x, None] == sig[None, k:m, y]
-                                least = np.minimum(least, np.where(here, sig[i:j, x, None], least))
-                        told = (least == np.iinfo(np.int64).max) | (least == key)
-                        x, y = np.nonzero(np.triu(told, 1) if (i, j) == (k, m) else told)
-                        if len(x):
-                            found[int(block[i]), int(block[k])].append(np.stack((c[i + x], c[k + y]), axis=1))
-                            many += len(x)
-            if found:
+        cols = [np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]) for b in batches]
+        if not cols:
+            return
+        cols = np.concatenate(cols, axis=1)
+        cols = cols[:, np.lexsort(cols[[1, 2, 0]])]
+        cuts = np.append(0, np.flatnonzero(np.diff(cols[0])) + 1)
+        ends = np.append(cuts[1:], cols.shape[1])
+        found, many = defaultdict(list), 0
+        for start, end in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist(), strict=True):
+            if many > 500_000:
                 yield _rows([(*k, np.vstack(v).astype(np.int64).tobytes()) for k, v in found.items()], ("ba", "bb", "data"))
+                found, many = defaultdict(list), 0
+            key, c, block, sig = int(cols[0, start]), cols[1, start:end], cols[2, start:end], cols[3:, start:end].T
+            if len(c) <= 8:
+                ids, homes_, sigs = c.tolist(), block.tolist(), [set(x) for x in sig.tolist()]
+                for j in range(1, len(ids)):
+                    for i in range(j):
+                        both = sigs[i] & sigs[j]
+                        if not both or min(both) == key:
+                            found[homes_[i], homes_[j]].append((ids[i], ids[j]))
+                            many += 1
+                continue
+            split = np.append(0, np.flatnonzero(np.diff(block)) + 1).tolist()
+            split = [(i, min(i + 1000, j)) for i0, j in zip(split, [*split[1:], len(c)], strict=True) for i in range(i0, j, 1000)]
+            for p, (i, j) in enumerate(split):
+                for k, m in split[p:]:
+                    least4 = np.full((j - i, m - k), np.iinfo(np.int64).max)
+                    for x in range(4):
+                        for y in range(4):
+                            here = sig[i:j, x, None] == sig[None, k:m, y]
+                            if here.any():
+                                least4 = np.minimum(least4, np.where(here, sig[i:j, x, None], least4))
+                    told = (least4 == np.iinfo(np.int64).max) | (least4 == key)
+                    x, y = np.nonzero(np.triu(told, 1) if (i, j) == (k, m) else told)
+                    if len(x):
+                        found[int(block[i]), int(block[k])].append(np.stack((c[i + x], c[k + y]), axis=1))
+                        many += len(x)
+        if found:
+            yield _rows([(*k, np.vstack(v).astype(np.int64).tobytes()) for k, v in found.items()], ("ba", "bb", "data"))
 
     def selves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -598,7 +603,7 @@ def _met(pieces: DataFrame, least: int, share: float) -> DataFrame:
 
     told = "ba long, bb long, data binary"
     alike = blocks.join(classes.where("low.doc <> high.doc").select("c"), "c", "left_semi").select("c", "block")
-    pairs = stored(meeting.mapInArrow(paired, told).union(alike.mapInArrow(selves, told)).groupBy("ba", "bb").agg(F.collect_list("data").alias("pairs")), release=True)
+    pairs = stored(keyed.repartition(parts, "key").mapInArrow(paired, told).union(alike.mapInArrow(selves, told)).groupBy("ba", "bb").agg(F.collect_list("data").alias("pairs")), release=True)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
