@@ -331,6 +331,248 @@ def best_box(a: np.ndarray, b: np.ndarray, member: np.ndarray, least: int, simil
     return found
 
 
+def ordered_passages(at: np.ndarray, bt: np.ndarray, n: int, least: int, similarity: float, m: int) -> list[tuple[int, int, int, int]]:
+    """shared_passages of n and m places without repeats whose common ones are at[t] and bt[t], both ascending: all there are, longest first.
+
+    A pair of stretches holds the common places from one t to another, so its similarity is a sum over t. Only where
+    fewer than `least` are common can a stretch be shorter than asked for; places beside it make up for that.
+    """
+    found = []
+    need = int(np.ceil(2 * similarity * least / (1 + similarity) - 1e-9))
+    gain = (1 + similarity) * np.arange(len(at)) - similarity * (at + bt)
+    todo = [(0, len(at), 0, n)]
+    while todo:
+        lo, hi, left, right = todo.pop()
+        if hi - lo < need or right - left < least:
+            continue
+        p, q, g = at[lo:hi], bt[lo:hi], gain[lo:hi]
+        end = g + (1 - similarity + 1e-9)
+        i, j = 0, hi - lo - 1
+        if end[j] < g[0] or p[j] - p[0] + 1 < least or q[j] - q[0] + 1 < least:
+            first = np.searchsorted(-np.minimum.accumulate(g), -end)
+            size = p - p[first] + 1
+            size[(size < least) | (q - q[first] + 1 < least)] = 0
+            j = int(size.argmax())
+            i = int(first[j])
+            if not size[j]:
+                both = p + q
+                if (both[need - 1 :] - both[: len(both) - need + 1]).min() + 2 > (1 + similarity) * (least - 1) / similarity + 1e-9:
+                    continue
+                for c in range(min(least - 1, hi - lo), need - 1, -1):
+                    x, y = p[c - 1 :] - p[: len(p) - c + 1] + 1, q[c - 1 :] - q[: len(q) - c + 1] + 1
+                    good = np.flatnonzero((1 + similarity) * c >= similarity * (np.maximum(x, least) + np.maximum(y, least)) - 1e-9)
+                    if len(good):
+                        i, j = int(good[0]), int(good[0]) + c - 1
+                        break
+                else:
+                    continue
+        a, b, c, d = int(p[i]), int(p[j]) + 1, int(q[i]), int(q[j]) + 1
+        b = min(right, max(b, a + least))
+        a = max(left, min(a, b - least))
+        d = min(m, max(d, c + least))
+        c = max(0, min(c, d - least))
+        found.append((a, b, c, d))
+        todo += [(lo, lo + int(np.searchsorted(p, a)), left, a), (lo + int(np.searchsorted(p, b)), hi, b, right)]
+    return found
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """Stretches of at least `least` places that hold the same set of shingles."""
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        x, y = _distinct(a[i:j]), _distinct(b[k:m])
+        if x[0] != 0 and np.array_equal(x, y):
+            found.append((i, j, k, m))
+            continue
+        both = x[_within(x, y) & (x != 0)]
+        if len(both):
+            edges = [np.flatnonzero(np.diff(np.concatenate(([False], _within(z, both), [False])))).reshape(-1, 2) for z in (a[i:j], b[k:m])]
+            one, two = ([(s, e) for s, e in z.tolist() if e - s >= least] for z in edges)
+            todo += [(i + s, i + e, k + t, k + f) for s, e in one for t, f in two]
+    return found
+
+
+def _spans_of_runs(x: np.ndarray, both: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places i and j, number of shingles, which of both) of the stretches that begin and end with a run of one shingle and of which enough is common."""
+    cuts = np.append(0, np.flatnonzero((x[1:] != x[:-1]) | (x[1:] == 0)) + 1)
+    ends = np.append(cuts[1:], len(x))
+    value = x[cuts].astype(np.int64)
+    value[value == 0] = -1 - np.flatnonzero(value == 0)
+    known, which = np.unique(value, return_inverse=True)
+    has = np.zeros((len(cuts), len(cuts), len(known)), bool)  # the shingles of the runs from one on, up to another
+    for k in range(len(cuts)):
+        has[: k + 1, k:, which[k]] = True
+    size = has.sum(axis=2)
+    has = has[:, :, np.isin(known, both)]
+    # Ends that are not common only make up the length that is asked for.
+    common = np.isin(value, both)
+    good = (ends[None, :] - cuts[:, None] >= least) & (has.sum(axis=2) >= similarity * size - 1e-9)
+    good &= (common[:, None] | (ends[None, :] - ends[:, None] < least)) & (common[None, :] | (cuts[None, :] - cuts[:, None] < least))
+    i, j = np.nonzero(np.triu(good))
+    return np.stack((cuts[i], ends[j]), axis=1), size[i, j], has[i, j]
+
+
+def run_passages(a: np.ndarray, b: np.ndarray, both: np.ndarray, least: int, similarity: float, most: int = 64) -> list[tuple[int, int, int, int]] | None:
+    """shared_passages where shingles are repeated in a row: all there are, longest first; none if there are more than `most` runs.
+
+    A run that a stretch holds some of can be taken whole, which changes neither set.
+    """
+    if max(np.count_nonzero((x[1:] != x[:-1]) | (x[1:] == 0)) for x in (a, b)) >= most:
+        return None
+    (one, n, x), (two, m, y) = (_spans_of_runs(z, both, least, similarity) for z in (a, b))
+    found = []
+    if len(one) and len(two):
+        best = np.zeros(len(one), np.int64)
+        partner = np.zeros(len(one), np.int64)
+        y = y.astype(np.float32).T
+        for part in np.array_split(np.arange(len(one)), 1 + len(one) * len(two) // 1_000_000):
+            alike = (x[part].astype(np.float32) @ y) * (1 + similarity) >= similarity * (n[part][:, None] + m[None, :]) - 1e-4
+            total = np.where(alike, (two[:, 1] - two[:, 0])[None, :], 0)
+            partner[part] = total.argmax(axis=1)
+            best[part] = total.max(axis=1)
+        length = np.where(best > 0, one[:, 1] - one[:, 0], 0)
+        while length.any():
+            k = int(length.argmax())
+            i, j = one[k].tolist()
+            found.append((i, j, *two[partner[k]].tolist()))
+            length[(one[:, 0] < j) & (one[:, 1] > i)] = 0
+    return found
+
+
+def fewest_others(x: np.ndarray, both: np.ndarray, least: int) -> int:
+    """So many different shingles besides both at least are in any `least` places of x; each zero is one."""
+    t = np.flatnonzero(~_within(x, both) | (x == 0))
+    order = np.argsort(x[t], kind="stable")
+    before = np.full(len(t), -1)
+    same = (x[t][order][1:] == x[t][order][:-1]) & (x[t][order][1:] != 0)
+    before[order[1:][same]] = t[order[:-1][same]]
+    step = np.zeros(len(x) + 1, np.int64)  # a shingle is new to the places from i on up to its next if it was not there since i
+    last = len(x) - least
+    first = np.maximum(before + 1, t - least + 1).clip(0)
+    good = first <= np.minimum(t, last)
+    np.add.at(step, first[good], 1)
+    np.add.at(step, np.minimum(t, last)[good] + 1, -1)
+    return int(np.cumsum(step)[: last + 1].min())
+
+
+def repeated_stretches(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int]]:
+    """shared_passages of stretches that repeat some shingles: as they are, then by their runs; place by place only where neither tells."""
+    x, y = _distinct(a), _distinct(b)
+    both = x[_within(x, y) & (x != 0)]
+    if not len(both):
+        return []
+    if len(both) < similarity / (1 - similarity) - 1e-9:
+        return _alike(a, b, least)  # one shingle more would be too many
+    n, m = (len(z) + max(0, np.count_nonzero(w == 0) - 1) for z, w in ((x, a), (y, b)))
+    if len(both) >= similarity * (n + m - len(both)) - 1e-9:
+        ends = [(int(w[0]), int(w[-1]) + 1) for w in (np.flatnonzero(_within(z, both)) for z in (a, b))]
+        return [(*ends[0], *ends[1])] if min(j - i for i, j in ends) >= least else [(0, len(a), 0, len(b))]
+    if fewest_others(a, both, least) + fewest_others(b, both, least) > len(both) * (1 - similarity) / similarity + 1e-9:
+        return []
+    found = run_passages(a, b, both, least, similarity)
+    return shared_passages(a, b, least, similarity) if found is None else found
+
+
+class Block:
+    """Sequences of shingles that are compared with each other."""
+
+    def __init__(self, seqs: list[np.ndarray], least: int, similarity: float) -> None:
+        self.seqs, self.least, self.similarity = seqs, least, similarity
+        size = np.array([len(x) for x in seqs])
+        self.start = np.append(0, np.cumsum(size))
+        known, self.ids = np.unique(np.concatenate(seqs), return_inverse=True)
+        self.zero = bool(known[0] == 0)
+        owner = np.repeat(np.arange(len(seqs)), size)
+        # What each sequence holds, once: which, where first and how often.
+        one, first, times = np.unique(owner * len(known) + self.ids, return_index=True, return_counts=True)
+        which, whose = one % len(known), one // len(known)
+        again = times > 1
+        if self.zero:
+            here = which > 0
+            one, first, times, which, whose, again = one[here], first[here], times[here], which[here], whose[here], again[here]
+        self.which, self.first, self.times = which.astype(np.int32), (first - self.start[whose]).astype(np.int32), times.astype(np.int32)
+        self.bound = np.searchsorted(whose, np.arange(len(seqs) + 1))
+        self.again = np.zeros(len(self.ids), bool)
+        if again.any():
+            order = np.sort(one[again])
+            self.again = _within(owner * len(known) + self.ids, order)
+        self.repeats = np.add.reduceat(self.again, self.start[:-1]) > 0
+        self.weight, self.at, self.mark = np.zeros(len(known), np.int32), np.full(len(known), -1, np.int32), np.zeros(len(known), bool)
+        self.runs: dict[int, dict[int, list]] = {}
+
+    def same_run(self, k: int) -> dict[int, list]:
+        """The stretches of one and the same shingle, by its number."""
+        if k not in self.runs:
+            x = self.ids[self.start[k] : self.start[k + 1]]
+            cuts = np.append(0, np.flatnonzero(x[1:] != x[:-1]) + 1)
+            ends = np.append(cuts[1:], len(x))
+            out = defaultdict(list)
+            for i, j in zip(cuts[ends - cuts >= self.least].tolist(), ends[ends - cuts >= self.least].tolist(), strict=True):
+                out[int(x[i])].append((i, j))
+            self.runs[k] = out
+        return self.runs[k]
+
+    def links(self, a: int, others: np.ndarray) -> Iterator[tuple[int, list]]:
+        """(b, shared_passages of a and b) for the others that have any."""
+        enough = self.similarity * self.least - 1e-9
+        mine = slice(self.bound[a], self.bound[a + 1])
+        which = self.which[mine]
+        self.weight[which], self.at[which] = self.times[mine], self.first[mine]
+        # So many places at a time that the arrays stay small.
+        for part in np.array_split(others, 1 + int((self.bound[others + 1] - self.bound[others]).sum()) // 2_000_000):
+            lo, hi = self.bound[part], self.bound[part + 1]
+            ends = np.cumsum(hi - lo)
+            where = np.arange(ends[-1]) + np.repeat(hi - ends, hi - lo)
+            there = self.which[where]
+            w = self.weight[there]
+            hit = w > 0
+            sums = lambda x, ends=ends: np.diff(np.append(0, np.append(0, np.cumsum(x, dtype=np.int64))[ends]))
+            ours = sums(w)
+            theirs = sums(hit * self.times[where])
+            good = np.flatnonzero((ours >= enough) & (theirs >= enough))
+            if not len(good):
+                continue
+            common, total = sums(hit), sums(hit * there)
+            for b, n, x, y, z in zip(part[good].tolist(), common[good].tolist(), ours[good].tolist(), theirs[good].tolist(), total[good].tolist(), strict=True):
+                if n == 1:
+                    got = [(*p, *q) for p in self.same_run(a).get(z, ()) for q in self.same_run(b).get(z, ())]
+                else:
+                    got = self.passages(a, b, n, n == x and n == y)
+                if got:
+                    yield b, got
+        self.weight[which], self.at[which] = 0, -1
+
+    def passages(self, a: int, b: int, common: int, once: bool) -> list:
+        least, similarity, seqs = self.least, self.similarity, self.seqs
+        at = self.at[self.ids[self.start[b] : self.start[b + 1]]]
+        if once and not self.repeats[a] and not self.repeats[b]:
+            q = np.flatnonzero(at >= 0)
+            p = at[q]
+            if (p[1:] > p[:-1]).all():
+                return ordered_passages(p, q, len(seqs[a]), least, similarity, len(seqs[b]))
+        if common < similarity / (1 - similarity) - 1e-9:
+            return _alike(seqs[a], seqs[b], least)
+        theirs = self.which[self.bound[b] : self.bound[b + 1]]
+        self.mark[theirs] = True
+        one = covered(~self.mark[self.ids[self.start[a] : self.start[a + 1]]], least, 1 - similarity)
+        self.mark[theirs] = False
+        two = covered(at < 0, least, 1 - similarity) if one else []
+        found = []
+        for i, j in one:
+            alone = not self.again[self.start[a] + i : self.start[a] + j].any()
+            for k, m in two:
+                if alone and not self.again[self.start[b] + k : self.start[b] + m].any():
+                    q = np.flatnonzero((at[k:m] >= i) & (at[k:m] < j))
+                    p = at[k:m][q] - i
+                    if (p[1:] > p[:-1]).all():
+                        found += [(i + x, i + y, k + z, k + w) for x, y, z, w in ordered_passages(p, q, j - i, least, similarity, m - k)]
+                        continue
+                got = repeated_stretches(seqs[a][i:j], seqs[b][k:m], least, similarity)
+                found += [(i + x, i + y, k + z, k + w) for x, y, z, w in got]
+        return found
+
+
 def _packed(*columns: tuple[np.ndarray, int]) -> bytes:
     """So many lower bytes of each column of whole numbers, byte by byte, which compresses well."""
     return b"".join(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes() for x, n in columns)
@@ -619,18 +861,23 @@ def _verified(batches: Iterator[pa.RecordBatch], least: int, similarity: float)
     """For each block its classes and an iterator of (a, b, similar stretches) of its pairs; a pair of stretches of one document is none."""
     for batch in batches:
         for n in range(batch.num_rows):
-            known = {x["c"]: x for x in batch.column("classes")[n].as_py()}
-            for x in known.values():
-                x["seq"] = np.frombuffer(x["seq"], np.uint32)
-            pairs = np.unique(np.frombuffer(b"".join(batch.column("pairs")[n].as_py()), np.int64).reshape(-1, 2), axis=0).tolist()
-
-            def links(known: dict = known, pairs: list = pairs) -> Iterator[tuple]:
-                for a, b in pairs:
-                    a, b = sorted((known[a], known[b]), key=lambda x: (x["low"]["doc"], x["low"]["lo"], x["c"]))
-                    if len({x[e]["doc"] for x in (a, b) for e in ("low", "high")}) > 1 and (got := shared_passages(a["seq"], b["seq"], least, similarity)):
-                        yield a, b, got
-
-            yield known, links()
+            known = sorted(batch.column("classes")[n].as_py(), key=lambda x: (x["low"]["doc"], x["low"]["lo"], x["c"]))
+            order = np.array([x["c"] for x in known], np.int64)
+            by = np.argsort(order)
+            pairs = by[np.searchsorted(order[by], np.frombuffer(b"".join(batch.column("pairs")[n].as_py()), np.int64))].reshape(-1, 2)
+            pairs = np.unique(pairs.min(axis=1) * len(known) + pairs.max(axis=1))
+            block = Block([np.frombuffer(x["seq"], np.uint32) for x in known], least, similarity)
+
+            def links(known: list = known, pairs: np.ndarray = pairs, block: Block = block) -> Iterator[tuple]:
+                low, high = (np.array([x[e]["doc"] for x in known], np.int64) for e in ("low", "high"))
+                a, b = pairs // len(known), pairs % len(known)
+                kept = (np.minimum(low[a], low[b]) != np.maximum(high[a], high[b]))
+                a, b = a[kept], b[kept]
+                for i, j in zip(cuts := np.flatnonzero(np.diff(a, prepend=-1)).tolist(), [*cuts[1:], len(a)], strict=True):
+                    for k, got in block.links(int(a[i]), b[i:j]):
+                        yield known[a[i]], known[k], got
+
+            yield {x["c"]: x for x in known}, links()
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 51, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
