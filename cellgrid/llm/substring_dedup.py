@@ -337,8 +337,13 @@ def ordered_passages(at: np.ndarray, bt: np.ndarray, n: int, least: int, similar
     A pair of stretches holds the common places from one t to another, so its similarity is a sum over t. Only where
     fewer than `least` are common can a stretch be shorter than asked for; places beside it make up for that.
     """
-    found = []
     need = int(np.ceil(2 * similarity * least / (1 + similarity) - 1e-9))
+    if len(at) < need:
+        return []
+    i, j, k, w = int(at[0]), int(at[-1]) + 1, int(bt[0]), int(bt[-1]) + 1
+    if min(j - i, w - k) >= least and (1 + similarity) * len(at) >= similarity * (j - i + w - k) - 1e-9:
+        return [(i, j, k, w)]
+    found = []
     gain = (1 + similarity) * np.arange(len(at)) - similarity * (at + bt)
     todo = [(0, len(at), 0, n)]
     while todo:
@@ -376,20 +381,29 @@ def ordered_passages(at: np.ndarray, bt: np.ndarray, n: int, least: int, similar
     return found
 
 
-def _alike(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
-    """Stretches of at least `least` places that hold the same set of shingles."""
-    found, todo = [], [(0, len(a), 0, len(b))]
+def _alike(a: np.ndarray, b: np.ndarray, least: int, ours: np.ndarray, theirs: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Stretches of at least `least` places that hold the same set of shingles; ours and theirs tell which places of a and b are common."""
+
+    def long(good: np.ndarray) -> list[tuple[int, int]]:
+        edge = np.concatenate(([-1], np.flatnonzero(~good), [len(good)]))
+        at = np.flatnonzero(edge[1:] - edge[:-1] > least)
+        return list(zip((edge[at] + 1).tolist(), edge[at + 1].tolist(), strict=True))
+
+    found, todo = [], []
+    if one := long(ours):
+        todo = [(*x, *y) for y in long(theirs) for x in one]
+    sets: dict[tuple, set] = {}
     while todo:
         i, j, k, m = todo.pop()
-        x, y = _distinct(a[i:j]), _distinct(b[k:m])
-        if x[0] != 0 and np.array_equal(x, y):
+        for t, z, lo, hi in ((0, a, i, j), (1, b, k, m)):
+            if (t, lo, hi) not in sets:
+                sets[t, lo, hi] = set(_distinct(z[lo:hi]).tolist())
+        x, y = sets[0, i, j], sets[1, k, m]
+        if x == y:
             found.append((i, j, k, m))
-            continue
-        both = x[_within(x, y) & (x != 0)]
-        if len(both):
-            edges = [np.flatnonzero(np.diff(np.concatenate(([False], _within(z, both), [False])))).reshape(-1, 2) for z in (a[i:j], b[k:m])]
-            one, two = ([(s, e) for s, e in z.tolist() if e - s >= least] for z in edges)
-            todo += [(i + s, i + e, k + t, k + f) for s, e in one for t, f in two]
+        elif both := x & y:
+            known = np.array(sorted(both), a.dtype)
+            todo += [(i + s, i + e, k + t, k + f) for s, e in long(_within(a[i:j], known)) for t, f in long(_within(b[k:m], known))]
     return found
 
 
@@ -463,7 +477,7 @@ def repeated_stretches(a: np.ndarray, b: np.ndarray, least: int, similarity: flo
     if not len(both):
         return []
     if len(both) < similarity / (1 - similarity) - 1e-9:
-        return _alike(a, b, least)  # one shingle more would be too many
+        return _alike(a, b, least, _within(a, both), _within(b, both))  # one shingle more would be too many
     n, m = (len(z) + max(0, np.count_nonzero(w == 0) - 1) for z, w in ((x, a), (y, b)))
     if len(both) >= similarity * (n + m - len(both)) - 1e-9:
         ends = [(int(w[0]), int(w[-1]) + 1) for w in (np.flatnonzero(_within(z, both)) for z in (a, b))]
@@ -481,24 +495,31 @@ class Block:
         self.seqs, self.least, self.similarity = seqs, least, similarity
         size = np.array([len(x) for x in seqs])
         self.start = np.append(0, np.cumsum(size))
-        known, self.ids = np.unique(np.concatenate(seqs), return_inverse=True)
-        self.zero = bool(known[0] == 0)
-        owner = np.repeat(np.arange(len(seqs)), size)
+        flat = np.concatenate(seqs).astype(np.uint64)
+        flat = np.sort(flat << np.uint64(32) | np.arange(len(flat), dtype=np.uint64))
+        order = (flat & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        flat >>= np.uint64(32)
+        new = np.append(True, flat[1:] != flat[:-1])
+        known = np.cumsum(new) - 1
+        self.ids = np.empty(len(flat), np.int64)
+        self.ids[order] = known
         # What each sequence holds, once: which, where first and how often.
-        one, first, times = np.unique(owner * len(known) + self.ids, return_index=True, return_counts=True)
-        which, whose = one % len(known), one // len(known)
-        again = times > 1
-        if self.zero:
-            here = which > 0
-            one, first, times, which, whose, again = one[here], first[here], times[here], which[here], whose[here], again[here]
-        self.which, self.first, self.times = which.astype(np.int32), (first - self.start[whose]).astype(np.int32), times.astype(np.int32)
+        whose = np.repeat(np.arange(len(seqs)), size)[order]
+        cuts = np.flatnonzero(new | np.append(True, whose[1:] != whose[:-1]))
+        times = np.diff(np.append(cuts, len(flat)))
+        several = (times > 1) & (flat[cuts] > 0)
+        self.again = np.empty(len(flat), bool)
+        self.again[order] = np.repeat(several, times)
+        here = flat[cuts] > 0
+        cuts, times = cuts[here], times[here]
+        by = np.argsort(whose[cuts].astype(np.uint16 if len(seqs) < 1 << 16 else np.int64), kind="stable")
+        cuts = cuts[by]
+        whose = whose[cuts]
+        self.which, self.first, self.times = known[cuts].astype(np.int32), (order[cuts] - self.start[whose]).astype(np.int32), times[by].astype(np.int32)
         self.bound = np.searchsorted(whose, np.arange(len(seqs) + 1))
-        self.again = np.zeros(len(self.ids), bool)
-        if again.any():
-            order = np.sort(one[again])
-            self.again = _within(owner * len(known) + self.ids, order)
         self.repeats = np.add.reduceat(self.again, self.start[:-1]) > 0
-        self.weight, self.at, self.mark = np.zeros(len(known), np.int32), np.full(len(known), -1, np.int32), np.zeros(len(known), bool)
+        width = int(known[-1]) + 1
+        self.at, self.mark = np.full(width, -1, np.int32), np.zeros(width, bool)
         self.runs: dict[int, dict[int, list]] = {}
 
     def same_run(self, k: int) -> dict[int, list]:
@@ -513,35 +534,49 @@ class Block:
             self.runs[k] = out
         return self.runs[k]
 
-    def links(self, a: int, others: np.ndarray) -> Iterator[tuple[int, list]]:
-        """(b, shared_passages of a and b) for the others that have any."""
+    def links(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, list]]:
+        """(a, b, shared_passages of a and b) for the pairs that have any; a ascends."""
         enough = self.similarity * self.least - 1e-9
-        mine = slice(self.bound[a], self.bound[a + 1])
-        which = self.which[mine]
-        self.weight[which], self.at[which] = self.times[mine], self.first[mine]
-        # So many places at a time that the arrays stay small.
-        for part in np.array_split(others, 1 + int((self.bound[others + 1] - self.bound[others]).sum()) // 2_000_000):
-            lo, hi = self.bound[part], self.bound[part + 1]
-            ends = np.cumsum(hi - lo)
-            where = np.arange(ends[-1]) + np.repeat(hi - ends, hi - lo)
+        width = len(self.at)
+        places = np.append(0, np.cumsum(self.bound[b + 1] - self.bound[b]))
+        row = np.cumsum(np.diff(a, prepend=a[:1]) != 0)
+        start, now = 0, -1
+        while start < len(a):
+            # So many pairs at a time that the arrays stay small.
+            stop = min(int(np.searchsorted(places, places[start] + 2_000_000, "right")) - 1, int(np.searchsorted(row, row[start] + 4_000_000 // width, "right")))
+            stop = max(stop, start + 1)
+            x, y, r = a[start:stop], b[start:stop], row[start:stop] - row[start]
+            whole = x[np.flatnonzero(np.diff(r, prepend=-1))]
+            weight = np.zeros(len(whole) * width, np.int32)
+            for k, one in enumerate(whole.tolist()):
+                mine = slice(self.bound[one], self.bound[one + 1])
+                weight[self.which[mine] + k * width] = self.times[mine]
+            size = self.bound[y + 1] - self.bound[y]
+            ends = np.cumsum(size)
+            cuts = ends - size
+            where = np.arange(ends[-1]) + np.repeat(self.bound[y] - cuts, size)
             there = self.which[where]
-            w = self.weight[there]
+            w = weight[there + np.repeat(r * width, size)]
             hit = w > 0
-            sums = lambda x, ends=ends: np.diff(np.append(0, np.append(0, np.cumsum(x, dtype=np.int64))[ends]))
-            ours = sums(w)
-            theirs = sums(hit * self.times[where])
-            good = np.flatnonzero((ours >= enough) & (theirs >= enough))
-            if not len(good):
-                continue
-            common, total = sums(hit), sums(hit * there)
-            for b, n, x, y, z in zip(part[good].tolist(), common[good].tolist(), ours[good].tolist(), theirs[good].tolist(), total[good].tolist(), strict=True):
+            ours = np.add.reduceat(w, cuts)
+            good = np.flatnonzero(ours >= enough)
+            if len(good):
+                theirs = np.add.reduceat(hit * self.times[where], cuts)
+                good = good[theirs[good] >= enough]
+                common, total = np.add.reduceat(hit, cuts, dtype=np.int64), np.add.reduceat(hit * there, cuts, dtype=np.int64)
+            for k, m, n, u, v, z in zip(*(q[good].tolist() for q in (x, y, common, ours, theirs, total)), strict=True) if len(good) else ():
                 if n == 1:
-                    got = [(*p, *q) for p in self.same_run(a).get(z, ()) for q in self.same_run(b).get(z, ())]
+                    got = [(*p, *q) for p in self.same_run(k).get(z, ()) for q in self.same_run(m).get(z, ())]
                 else:
-                    got = self.passages(a, b, n, n == x and n == y)
+                    if k != now:
+                        if now >= 0:
+                            self.at[self.which[self.bound[now] : self.bound[now + 1]]] = -1
+                        mine, now = slice(self.bound[k], self.bound[k + 1]), k
+                        self.at[self.which[mine]] = self.first[mine]
+                    got = self.passages(k, m, n, n == u and n == v)
                 if got:
-                    yield b, got
-        self.weight[which], self.at[which] = 0, -1
+                    yield k, m, got
+            start = stop
 
     def passages(self, a: int, b: int, common: int, once: bool) -> list:
         least, similarity, seqs = self.least, self.similarity, self.seqs
@@ -551,12 +586,13 @@ class Block:
             p = at[q]
             if (p[1:] > p[:-1]).all():
                 return ordered_passages(p, q, len(seqs[a]), least, similarity, len(seqs[b]))
-        if common < similarity / (1 - similarity) - 1e-9:
-            return _alike(seqs[a], seqs[b], least)
         theirs = self.which[self.bound[b] : self.bound[b + 1]]
         self.mark[theirs] = True
-        one = covered(~self.mark[self.ids[self.start[a] : self.start[a + 1]]], least, 1 - similarity)
+        ours = self.mark[self.ids[self.start[a] : self.start[a + 1]]]
         self.mark[theirs] = False
+        if common < similarity / (1 - similarity) - 1e-9:
+            return _alike(seqs[a], seqs[b], least, ours, at >= 0)
+        one = covered(~ours, least, 1 - similarity)
         two = covered(at < 0, least, 1 - similarity) if one else []
         found = []
         for i, j in one:
@@ -806,21 +842,33 @@ def _met(pieces: DataFrame, least: int, share: float) -> DataFrame:
         cols = cols[:, np.lexsort(cols[[1, 2, 0]])]
         cuts = np.append(0, np.flatnonzero(np.diff(cols[0])) + 1)
         ends = np.append(cuts[1:], cols.shape[1])
-        found, many = defaultdict(list), 0
-        for start, end in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist(), strict=True):
+        told, many = [], 0
+        for size in range(2, 9):  # the many small ones together
+            first = cuts[ends - cuts == size]
+            for j in range(1, size):
+                for i in range(j) if len(first) else ():
+                    x, y = cols[:, first + i], cols[:, first + j]
+                    least4 = np.full(len(first), np.iinfo(np.int64).max)
+                    for k in range(3, 7):
+                        for m in range(3, 7):
+                            np.minimum(least4, x[k], out=least4, where=x[k] == y[m])
+                    here = (least4 == np.iinfo(np.int64).max) | (least4 == x[0])
+                    told.append(np.stack((x[2, here], y[2, here], x[1, here], y[1, here])))
+        if told:
+            told = np.concatenate(told, axis=1)
+            for k in range(0, told.shape[1], 500_000):
+                part = told[:, k : k + 500_000]
+                part = part[:, np.lexsort(part[[1, 0]])]
+                at = np.flatnonzero(np.append(True, (part[:2, 1:] != part[:2, :-1]).any(axis=0))) if part.shape[1] else np.empty(0, np.int64)
+                rows = [(int(part[0, i]), int(part[1, i]), np.ascontiguousarray(part[2:, i:j].T).tobytes()) for i, j in zip(at.tolist(), [*at[1:].tolist(), part.shape[1]], strict=False)]
+                if rows:
+                    yield _rows(rows, ("ba", "bb", "data"))
+        found = defaultdict(list)
+        for start, end in zip(cuts[ends - cuts > 8].tolist(), ends[ends - cuts > 8].tolist(), strict=True):
             if many > 500_000:
                 yield _rows([(*k, np.vstack(v).astype(np.int64).tobytes()) for k, v in found.items()], ("ba", "bb", "data"))
                 found, many = defaultdict(list), 0
             key, c, block, sig = int(cols[0, start]), cols[1, start:end], cols[2, start:end], cols[3:, start:end].T
-            if len(c) <= 8:
-                ids, homes_, sigs = c.tolist(), block.tolist(), [set(x) for x in sig.tolist()]
-                for j in range(1, len(ids)):
-                    for i in range(j):
-                        both = sigs[i] & sigs[j]
-                        if not both or min(both) == key:
-                            found[homes_[i], homes_[j]].append((ids[i], ids[j]))
-                            many += 1
-                continue
             split = np.append(0, np.flatnonzero(np.diff(block)) + 1).tolist()
             split = [(i, min(i + 1000, j)) for i0, j in zip(split, [*split[1:], len(c)], strict=True) for i in range(i0, j, 1000)]
             for p, (i, j) in enumerate(split):
@@ -871,11 +919,10 @@ def _verified(batches: Iterator[pa.RecordBatch], least: int, similarity: float)
             def links(known: list = known, pairs: np.ndarray = pairs, block: Block = block) -> Iterator[tuple]:
                 low, high = (np.array([x[e]["doc"] for x in known], np.int64) for e in ("low", "high"))
                 a, b = pairs // len(known), pairs % len(known)
-                kept = (np.minimum(low[a], low[b]) != np.maximum(high[a], high[b]))
+                kept = np.minimum(low[a], low[b]) != np.maximum(high[a], high[b])
                 a, b = a[kept], b[kept]
-                for i, j in zip(cuts := np.flatnonzero(np.diff(a, prepend=-1)).tolist(), [*cuts[1:], len(a)], strict=True):
-                    for k, got in block.links(int(a[i]), b[i:j]):
-                        yield known[a[i]], known[k], got
+                for i, k, got in block.links(a, b):
+                    yield known[i], known[k], got
 
             yield {x["c"]: x for x in known}, links()
 
@@ -935,9 +982,9 @@ def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pieces = _pieces(docs, least, width, similarity, id_col, text_col)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: class x has similar stretches from s to e, n in all; 1: documents x and y are linked; 2: document x has n pairs with itself."""
+        """Kind 0: class x has similar stretches from s to e, n in all of its rows; 1: documents x and y are linked; 2: document x has n pairs with itself."""
         for known, links in _verified(batches, least, similarity):
-            spans, own, edges, root = Counter(), Counter(), set(), {c: c for c in known}
+            spans, total, own, edges, root = defaultdict(set), Counter(), Counter(), set(), {c: c for c in known}
 
             def top(c: int, root: dict = root) -> int:
                 while root[c] != c:
@@ -945,19 +992,30 @@ def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     c = root[c]
                 return c
 
-            multi = {c: Counter(x["multi"]) for c, x in known.items()}
+            multi = {c: Counter(x["multi"]) for c, x in known.items() if x["multi"]}
             for a, b, got in links:
-                p, q = multi[a["c"]], multi[b["c"]]
                 for i, j, k, m in got:
-                    spans[a["c"], i, j + width - 1] += b["n"] - (a is b)
-                    if a is not b:
-                        spans[b["c"], k, m + width - 1] += a["n"]
-                for doc in p.keys() & q.keys():
-                    own[doc] += len(got) * (p[doc] * (p[doc] - 1) if a is b else 2 * p[doc] * q[doc])
+                    spans[a["c"]].add((i, j + width - 1))
+                    spans[b["c"]].add((k, m + width - 1))
+                total[a["c"]] += len(got) * (b["n"] - (a is b))
+                if a is not b:
+                    total[b["c"]] += len(got) * a["n"]
+                if a["c"] in multi and b["c"] in multi:
+                    p, q = multi[a["c"]], multi[b["c"]]
+                    for doc in p.keys() & q.keys():
+                        own[doc] += len(got) * (p[doc] * (p[doc] - 1) if a is b else 2 * p[doc] * q[doc])
                 if (x := top(a["c"])) != (y := top(b["c"])):
                     root[x] = y
                     edges.add((a["low"]["doc"], b["low"]["doc"]))
-            rows = [(0, c, 0, s, e, n) for (c, s, e), n in spans.items()] + [(1, x, y, 0, 0, 0) for x, y in edges] + [(2, x, 0, 0, 0, n) for x, n in own.items() if n]
+            rows = [(1, x, y, 0, 0, 0) for x, y in edges] + [(2, x, 0, 0, 0, n) for x, n in own.items() if n]
+            for c, all_ in spans.items():
+                merged: list[list[int]] = []
+                for s, e in sorted(all_):
+                    if merged and s <= merged[-1][1]:
+                        merged[-1][1] = max(e, merged[-1][1])
+                    else:
+                        merged.append([s, e])
+                rows += [(0, c, 0, s, e, 0 if k else total[c]) for k, (s, e) in enumerate(merged)]
             yield _rows(rows, ("kind", "x", "y", "s", "e", "n"))
 
     found = stored(_met(pieces, least, 1 - similarity).mapInArrow(sums, "kind long, x long, y long, s long, e long, n long"), release=True)
