@@ -842,50 +842,46 @@ def _met(pieces: DataFrame, least: int, share: float) -> DataFrame:
         cols = cols[:, np.lexsort(cols[[1, 2, 0]])]
         cuts = np.append(0, np.flatnonzero(np.diff(cols[0])) + 1)
         ends = np.append(cuts[1:], cols.shape[1])
+        none = np.iinfo(np.int64).max
+
+        def flush(told: list) -> Iterator[pa.RecordBatch]:
+            all_ = np.concatenate(told, axis=1)
+            all_ = all_[:, np.lexsort(all_[[1, 0]])]
+            for k in range(0, all_.shape[1], 500_000):
+                part = all_[:, k : k + 500_000]
+                at = np.flatnonzero(np.append(True, (part[:2, 1:] != part[:2, :-1]).any(axis=0))).tolist()
+                yield _rows([(int(part[0, i]), int(part[1, i]), np.ascontiguousarray(part[2:, i:j].T).tobytes()) for i, j in zip(at, [*at[1:], part.shape[1]], strict=True)], ("ba", "bb", "data"))
+
         told, many = [], 0
         for size in range(2, 9):  # the many small ones together
             first = cuts[ends - cuts == size]
             for j in range(1, size):
                 for i in range(j) if len(first) else ():
                     x, y = cols[:, first + i], cols[:, first + j]
-                    least4 = np.full(len(first), np.iinfo(np.int64).max)
+                    least4 = np.full(len(first), none)
                     for k in range(3, 7):
                         for m in range(3, 7):
                             np.minimum(least4, x[k], out=least4, where=x[k] == y[m])
-                    here = (least4 == np.iinfo(np.int64).max) | (least4 == x[0])
+                    here = (least4 == none) | (least4 == x[0])
                     told.append(np.stack((x[2, here], y[2, here], x[1, here], y[1, here])))
-        if told:
-            told = np.concatenate(told, axis=1)
-            for k in range(0, told.shape[1], 500_000):
-                part = told[:, k : k + 500_000]
-                part = part[:, np.lexsort(part[[1, 0]])]
-                at = np.flatnonzero(np.append(True, (part[:2, 1:] != part[:2, :-1]).any(axis=0))) if part.shape[1] else np.empty(0, np.int64)
-                rows = [(int(part[0, i]), int(part[1, i]), np.ascontiguousarray(part[2:, i:j].T).tobytes()) for i, j in zip(at.tolist(), [*at[1:].tolist(), part.shape[1]], strict=False)]
-                if rows:
-                    yield _rows(rows, ("ba", "bb", "data"))
-        found = defaultdict(list)
         for start, end in zip(cuts[ends - cuts > 8].tolist(), ends[ends - cuts > 8].tolist(), strict=True):
-            if many > 500_000:
-                yield _rows([(*k, np.vstack(v).astype(np.int64).tobytes()) for k, v in found.items()], ("ba", "bb", "data"))
-                found, many = defaultdict(list), 0
-            key, c, block, sig = int(cols[0, start]), cols[1, start:end], cols[2, start:end], cols[3:, start:end].T
-            split = np.append(0, np.flatnonzero(np.diff(block)) + 1).tolist()
-            split = [(i, min(i + 1000, j)) for i0, j in zip(split, [*split[1:], len(c)], strict=True) for i in range(i0, j, 1000)]
-            for p, (i, j) in enumerate(split):
-                for k, m in split[p:]:
-                    least4 = np.full((j - i, m - k), np.iinfo(np.int64).max)
-                    for x in range(4):
-                        for y in range(4):
-                            here = sig[i:j, x, None] == sig[None, k:m, y]
-                            if here.any():
-                                least4 = np.minimum(least4, np.where(here, sig[i:j, x, None], least4))
-                    told = (least4 == np.iinfo(np.int64).max) | (least4 == key)
-                    x, y = np.nonzero(np.triu(told, 1) if (i, j) == (k, m) else told)
-                    if len(x):
-                        found[int(block[i]), int(block[k])].append(np.stack((c[i + x], c[k + y]), axis=1))
-                        many += len(x)
-        if found:
-            yield _rows([(*k, np.vstack(v).astype(np.int64).tobytes()) for k, v in found.items()], ("ba", "bb", "data"))
+            key = cols[0, start]
+            for i in range(start, end, 1000):
+                for k in range(i, end, 1000):
+                    x, y = cols[1:, i : min(i + 1000, end)], cols[1:, k : min(k + 1000, end)]
+                    least4 = np.full((x.shape[1], y.shape[1]), none)
+                    for p in range(2, 6):
+                        for q in range(2, 6):
+                            np.minimum(least4, x[p][:, None], out=least4, where=x[p][:, None] == y[q])
+                    here = (least4 == none) | (least4 == key)
+                    u, v = np.nonzero(np.triu(here, 1) if i == k else here)
+                    told.append(np.stack((x[1, u], y[1, v], x[0, u], y[0, v])))
+                    many += len(u)
+                    if many > 500_000:
+                        yield from flush(told)
+                        told, many = [], 0
+        if told:
+            yield from flush(told)
 
     def selves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -908,13 +904,22 @@ def _met(pieces: DataFrame, least: int, share: float) -> DataFrame:
 def _verified(batches: Iterator[pa.RecordBatch], least: int, similarity: float) -> Iterator[tuple]:
     """For each block its classes and an iterator of (a, b, similar stretches) of its pairs; a pair of stretches of one document is none."""
     for batch in batches:
+        classes, cuts = batch.column("classes").values, batch.column("classes").offsets.to_numpy()
+        ids, many, seqs, multi = (classes.field(x) for x in ("c", "n", "seq", "multi"))
+        ids, many = ids.to_numpy(), many.to_numpy()
+        (low, lo), (high, hi) = ([classes.field(e).field(x).to_numpy() for x in ("doc", "lo")] for e in ("low", "high"))
         for n in range(batch.num_rows):
-            known = sorted(batch.column("classes")[n].as_py(), key=lambda x: (x["low"]["doc"], x["low"]["lo"], x["c"]))
-            order = np.array([x["c"] for x in known], np.int64)
+            at = np.arange(cuts[n], cuts[n + 1])
+            at = at[np.lexsort((ids[at], lo[at], low[at]))]
+            order = ids[at]
+            known = [
+                {"c": c, "n": k, "low": {"doc": d, "lo": i}, "high": {"doc": e, "lo": j}, "multi": multi[x].as_py(), "seq": np.frombuffer(seqs[x].as_buffer(), np.uint32)}
+                for x, c, k, d, i, e, j in zip(at.tolist(), *(z[at].tolist() for z in (ids, many, low, lo, high, hi)), strict=True)
+            ]
             by = np.argsort(order)
             pairs = by[np.searchsorted(order[by], np.frombuffer(b"".join(batch.column("pairs")[n].as_py()), np.int64))].reshape(-1, 2)
             pairs = np.unique(pairs.min(axis=1) * len(known) + pairs.max(axis=1))
-            block = Block([np.frombuffer(x["seq"], np.uint32) for x in known], least, similarity)
+            block = Block([x["seq"] for x in known], least, similarity)
 
             def links(known: list = known, pairs: np.ndarray = pairs, block: Block = block) -> Iterator[tuple]:
                 low, high = (np.array([x[e]["doc"] for x in known], np.int64) for e in ("low", "high"))

@@ -144,6 +144,48 @@ def test_no_similar_stretches_are_lost():
     assert all(substring_dedup.shared_passages(a, b, 47, 0.8) for a, b in zip(docs[::2], docs[1::2], strict=True))
 
 
+def test_blocks_are_compared_in_full():
+    """As brute force, without repeats and with runs and repeated lines; many near copies do not take the place-by-place search."""
+    rng = random.Random(29)
+    stretches = lambda x: [set(x[i:j].tolist()) for i in range(len(x)) for j in range(i + 6, len(x) + 1)]
+    found = 0
+    for kind in range(3):
+        for _ in range(60):
+            one = [rng.randrange(1, 12)] * rng.randint(0, 9) + rng.sample(range(20, 40), rng.randint(3, 8)) + [rng.randrange(1, 4)] * rng.randint(0, 9) if kind else rng.sample(range(1, 60), 13)
+            seqs = [np.array(x, np.uint32) for x in ([[y if rng.random() < 0.9 else 100 + 20 * k + i for i, y in enumerate(one)] for k in range(3)] if kind < 2 else [one * 2, one[::-1], one])]
+            seqs = [x for x in seqs if len(x) >= 6]
+            pairs = np.array([(a, b) for a in range(len(seqs)) for b in range(a, len(seqs))])
+            got = {(a, b): x for a, b, x in substring_dedup.Block(seqs, 6, 0.8).links(*pairs.T)} if len(pairs) else {}
+            for a, b in pairs.tolist():
+                for i, j, k, m in got.get((a, b), []):
+                    x, y = set(seqs[a][i:j].tolist()), set(seqs[b][k:m].tolist())
+                    assert min(j - i, m - k) >= 6 and len(x & y) >= 0.8 * len(x | y)
+                if not kind:
+                    assert ((a, b) in got) == any(len(x & y) >= 0.8 * len(x | y) for x in stretches(seqs[a]) for y in stretches(seqs[b]))
+                elif substring_dedup.shared_passages(seqs[a], seqs[b], 6, 0.8):
+                    assert (a, b) in got
+            found += len(got)
+    assert found > 300
+
+
+def test_near_copies_are_solved_as_a_sum(monkeypatch):
+    """Pairs of near copies were searched place by place, which took longer than the limits at 0.5 GB."""
+    rng = np.random.default_rng(5)
+    text, calls = rng.choice(1 << 30, 400, replace=False).astype(np.uint32) + 1, []
+    seqs = []
+    for _ in range(40):
+        x = text.copy()
+        for at in rng.integers(0, 395, 9):
+            x[at : at + 5] = 0
+        seqs.append(x)
+    pairs = np.array([(a, b) for a in range(40) for b in range(a + 1, 40)])
+    slow = substring_dedup.best_box
+    want = {(a, b) for a, b in pairs[::7].tolist() if substring_dedup.shared_passages(seqs[a], seqs[b], 47, 0.8)}
+    monkeypatch.setattr(substring_dedup, "best_box", lambda *x: calls.append(1) or slow(*x))
+    got = {(a, b) for a, b, _ in substring_dedup.Block(seqs, 47, 0.8).links(*pairs.T)}
+    assert want <= got and len(want) > 50 and not calls
+
+
 @pytest.mark.parametrize("phrase", [0, 8, 28])
 def test_passages_with_edits_are_found(spark, phrase):
     """Also where all of them hold one phrase, and ids that say nothing of who belongs to whom."""
